@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procera.llm import mixing
+from procera.llm import decontamination, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +19,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {"op9_mixing": op9_mixing}
-ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {"op8_decontamination": op8_decontamination, "op9_mixing": op9_mixing}
+ORACLES: dict[str, str] = {"op8_decontamination": decontamination.ORACLE, "op9_mixing": mixing.ORACLE}
