@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procera.llm import decontamination, mixing
+from procera.llm import decontamination, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +19,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {"op8_decontamination": op8_decontamination, "op9_mixing": op9_mixing}
-ORACLES: dict[str, str] = {"op8_decontamination": decontamination.ORACLE, "op9_mixing": mixing.ORACLE}
+QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op8_decontamination": op8_decontamination,
+    "op9_mixing": op9_mixing,
+}
+#: Where SQL can express the whole result.
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality.ORACLE,
+    "op8_decontamination": decontamination.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+}
