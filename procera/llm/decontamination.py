@@ -71,11 +71,11 @@ def candidates(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
 
 def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Pairs with containment of at least `percent`: doc_id, item_id, n_shared, n_item, containment."""
-    found = written(candidates(docs, items, n, percent), "decontamination-candidates")
-    pick = lambda df, key: df.select(F.col(key).alias(f"_{key}"), "text")
-    item = pick(items, "item_id").withColumn("item_set", F.array_distinct(shingles(F.col("text"), n, joined))).drop("text")
-    pairs = found.join(item, same(F.col("item_id"), F.col("_item_id"))).select("doc_id", "item_id", "item_set")
-    rows = pick(docs, "doc_id").join(small(written(pairs, "decontamination-pairs")), same(F.col("doc_id"), F.col("_doc_id")))
+    found = small(written(candidates(docs, items, n, percent), "decontamination-candidates"))
+    sets = items.select(F.col("item_id").alias("_item_id"), F.array_distinct(shingles(F.col("text"), n, joined)).alias("item_set"))
+    sets = small(written(sets, "decontamination-items"), 10_000)
+    texts = docs.select(F.col("doc_id").alias("_doc_id"), "text").join(found, same(F.col("doc_id"), F.col("_doc_id")))
+    rows = texts.join(sets, same(F.col("item_id"), F.col("_item_id")))
     exact = rows.withColumn("n_shared", F.size(F.array_intersect("item_set", shingles(F.col("text"), n, joined)))).withColumn("n_item", F.size("item_set"))
     kept = exact.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     ratio = F.col("n_shared").cast("double") / F.col("n_item")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procera.llm import decontamination, mixing, quality
+from procera.llm import decontamination, mixing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,18 +23,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
 }
 #: Where SQL can express the whole result.
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op4_secret_scan": secrets.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
