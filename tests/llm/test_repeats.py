@@ -2,9 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from procera.llm import repeats, substring
+from procera.llm import repeats, substring, suffixes
 from procera.llm.registry import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -72,3 +73,40 @@ def test_words_fixture(spark, monkeypatch, most):
 
 def test_empty_table(spark):
     assert substring.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert suffixes.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_bytes(rows, w=200):
+    docs = [(d, (t or "").encode()) for d, t in rows]
+    counts = Counter(b[i : i + w] for _, b in docs for i in range(len(b) - w + 1))
+    out = []
+    for d, b in docs:
+        flags = covered(b, counts, w)
+        kept = bytes(x for x, f in zip(b, flags, strict=True) if not f)
+        starts = sum(f and not p for f, p in zip(flags, [False, *flags], strict=False))
+        out.append((d, len(b), sum(flags), starts, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_bytes_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    assert result(QUERIES["op2_suffix_array"](spark, SF)) == brute_bytes([tuple(r) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("most", [256, 2])
+def test_bytes_fixture(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "MOST", most)
+    rows = fixture(6)
+    docs = spark.createDataFrame([(d, t, 1, "k") for d, t in rows], "doc_id long, text string, k1 int, spans string").repartition(5)
+    assert result(suffixes.report(docs)) == brute_bytes(rows)
+
+
+def test_columns_give_the_suffix_array():
+    rng = random.Random(3)
+    strings = [np.array([rng.randrange(3) for _ in range(rng.randrange(0, 25))], np.int64) for _ in range(40)]
+    sid, length, lcp = suffixes.columns(strings)
+    every = sorted((tuple(s[len(s) - n :].tolist()), i, n) for i, s in enumerate(strings) for n in range(len(s) + 1))
+    assert [x[0] for x in every] == [tuple(strings[i][len(strings[i]) - n :].tolist()) for i, n in zip(sid, length, strict=True)]
+    for a, b, got in zip(every[:-1], every[1:], lcp[1:].tolist(), strict=True):
+        want = next((k for k, (x, y) in enumerate(zip(a[0], b[0], strict=False)) if x != y), min(len(a[0]), len(b[0])))
+        assert got == want
