@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procera.llm.common import let, same, small, words, written
+from procera.llm.common import let, packed, same, small, words, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -85,7 +85,7 @@ def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
 def clean(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`docs` without the documents that contain an item. A doc_id shared by several rows falls with any of them."""
     bad = small(written(contained(docs, items, n, percent).select(F.col("doc_id").alias("_bad")).distinct(), "decontamination-bad"))
-    return docs.join(bad, same(docs["doc_id"], F.col("_bad")), "left_anti")
+    return packed(docs, "doc_id").join(bad, same(F.col("doc_id"), F.col("_bad")), "left_anti").select("row.*")
 
 
 def _shingle_rows(table: str, key: str) -> str:

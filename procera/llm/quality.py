@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from procera.llm.common import let, small, words, written
+from procera.llm.common import let, packed, small, words, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -149,7 +149,7 @@ def keep(docs: DataFrame) -> DataFrame:
     """`docs` without the rejected rows, all columns as they were. Texts are measured twice and never shuffled."""
     core = docs.select("lang", "source", "text")
     limits = written(thresholds(sketches(measured(core))), "quality-thresholds")
-    return judged(measured(docs), limits).where("_kept").select(*docs.columns)
+    return judged(measured(packed(docs, "lang", "source", "text")), limits).where("_kept").select("row.*")
 
 
 _FENCE = """{keys} metric, max(total) AS total, min(bucket) FILTER (WHERE upto * 100 >= total * 25) AS q1, min(bucket) FILTER (WHERE upto * 100 >= total * 50) AS q2,

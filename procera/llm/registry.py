@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procera.llm import decontamination, mixing, quality, secrets, simhash, substring, suffixes
+from procera.llm import decontamination, mixing, quality, secrets, simhash, substring, suffixes, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_array": op2_suffix_array,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
+    "op10_line_templates": op10_line_templates,
 }
 #: Where SQL can express the whole result.
 ORACLES: dict[str, str] = {

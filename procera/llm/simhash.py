@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procera.llm.common import same, small, written
+from procera.llm.common import packed, same, small, written
 from procera.llm.components import components
 
 SHINGLE = 3
@@ -134,5 +134,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = written(grouped(docs), "simhash-groups")
     first = found.where(same(F.col("doc_id"), F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"))
     first = written(first, "simhash-kept")
-    kept = docs.join(small(first.select("_id")), same(docs["doc_id"], F.col("_id")), "left_semi")
-    return kept if first.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    kept = packed(docs, "doc_id").join(small(first.select("_id")), same(F.col("doc_id"), F.col("_id")), "left_semi")
+    return (kept if first.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])).select("row.*")
