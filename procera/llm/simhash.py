@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procera.llm.common import packed, same, small, written
@@ -63,18 +63,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_prints, f"doc_id {kind}, fp bigint")
 
 
-def keys(width: int, left_out: int) -> Column:
-    """One key for every choice of blocks that leaves `left_out` out: the choice's number above, the kept bits packed below."""
-    n = 64 // width
-    block = lambda i: F.call_function("shiftrightunsigned", F.col("fp"), F.lit(i * width)).bitwiseAND(F.lit((1 << width) - 1))
-    out = []
-    for k, gone in enumerate(combinations(range(n), left_out)):
-        kept = [i for i in range(n) if i not in gone]
-        packed = F.lit(k).cast("bigint")
-        for i in kept:
-            packed = F.shiftleft(packed, width).bitwiseOR(block(i))
-        out.append(packed)
-    return F.explode(F.array(*out)).alias("key")
+def keyed(distinct: DataFrame, width: int, left_out: int) -> DataFrame:
+    """Rows (fp, choice, key): for every choice of `width`-bit blocks that leaves `left_out` out, the fingerprint with those cleared."""
+    whole = (1 << 64) - 1
+    masks = []
+    for gone in combinations(range(0, 64, width), left_out):
+        mask = whole - sum(((1 << width) - 1) << at for at in gone)
+        masks.append(mask - (mask >> 63 << 64))
+    rows = distinct.select("fp", F.posexplode(F.lit(masks).cast("array<bigint>")).alias("choice", "mask"))
+    return rows.select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
 def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +100,12 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all fingerprints at distance 2 or less, from a table of distinct `fp`."""
-    keyed = distinct.select("fp", keys(16, 2))
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
-    few, many = shared.where(F.col("n") <= MOST).select("key"), shared.where(F.col("n") > MOST).select("key")
-    crowded = keyed.join(many, "key", "left_semi").select("fp").distinct()
-    group = lambda rows: rows.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    groups = group(keyed.join(few, "key", "left_semi")).union(group(crowded.select("fp", keys(4, 2))))
+    keys = keyed(distinct, 16, 2)
+    shared = written(keys.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
+    few, many = shared.where(F.col("n") <= MOST).drop("n"), shared.where(F.col("n") > MOST).drop("n")
+    crowded = keys.join(many, ["choice", "key"], "left_semi").select("fp").distinct()
+    group = lambda rows: rows.groupBy("choice", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    groups = group(keys.join(few, ["choice", "key"], "left_semi")).union(group(keyed(crowded, 4, 2)))
     return groups.mapInArrow(_links, "u bigint, v bigint")
 
 
