@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procera.llm import decontamination, mixing, quality, secrets, simhash, substring, suffixes, templates
+from procera.llm import chat, decontamination, html, mixing, quality, secrets, simhash, substring, suffixes, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,10 +35,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(table(spark, sf_dir, "conversations")).drop("part", "pos")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +60,9 @@ QUERIES: dict[str, Query] = {
     "op2_suffix_array": op2_suffix_array,
     "op3_substring": op3_substring,
     "op4_secret_scan": op4_secret_scan,
+    "op5_html_text": op5_html_text,
     "op6_simhash": op6_simhash,
+    "op7_chat_format": op7_chat_format,
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
     "op10_line_templates": op10_line_templates,
