@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from procera.llm.common import packed, same, small, written
 from procera.llm.components import components
+from procera.llm.runs import mixed
 
 SHINGLE = 3
 SEED = 42
@@ -126,10 +127,129 @@ def report(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of every component: the one with the least doc_id (any of equal ids; all columns stay)."""
-    found = written(grouped(docs), "simhash-groups")
+# Similar documents: a wide fingerprint for similarities that move many bits.
+
+#: Words per shingle, 64-bit words of a wide fingerprint, bits of a band, words compared, and bits of them that may differ.
+WIDE_SHINGLE, WIDE, BAND, COMPARED, APART = 5, 16, 16, 4, 52
+#: Documents of one band value that are compared in one task.
+CROWD = 4096
+#: Least ratio of shingle counts, in percent, and count below which only equal fingerprints link.
+RATIO, TINY = 80, 5
+
+
+def majority(rows: np.ndarray) -> np.ndarray:
+    """For each bit position, how many of the rows (n x words) set it: bit-sliced carry-save addition."""
+    total = np.zeros(rows.shape[1] * 64, np.int64)
+    weight, level = 1, rows
+    while len(level):
+        carries = []
+        while len(level) > 1:
+            third = len(level) // 3
+            if third:
+                a, b, c = level[:third], level[third : 2 * third], level[2 * third : 3 * third]
+                x = a ^ b
+                carries.append((a & b) | (x & c))
+                level = np.concatenate((x ^ c, level[3 * third :]))
+            else:
+                carries.append(level[:1] & level[1:2])
+                level = level[:1] ^ level[1:2]
+        total += weight * np.unpackbits(np.ascontiguousarray(level[0]).view(np.uint8), bitorder="little").astype(np.int64)
+        weight *= 2
+        level = np.concatenate(carries) if carries else level[:0]
+    return total
+
+
+def wide(text: str | None) -> tuple[np.ndarray, int]:
+    """Fingerprint of WIDE 64-bit words over distinct 5-word shingles, and their number."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(WIDE, np.int64), 0
+    n = WIDE_SHINGLE
+    runs = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else iter([b" ".join(words)])
+    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in runs), np.uint64, max(1, len(words) - n + 1)))
+    seeds = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    set_ = np.zeros(WIDE * 64, np.int64)
+    for at in range(0, len(hashes), SLAB):
+        set_ += majority(mixed(hashes[at : at + SLAB, None] ^ seeds[None, :]))
+    return np.packbits(set_ * 2 > len(hashes), bitorder="little").view("<i8"), len(hashes)
+
+
+def _wide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [wide(t.as_py()) for t in b.column(1)]
+        flat = pa.array(np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.int64))
+        prints = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * WIDE), flat)
+        yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array([n for _, n in found], pa.int64())], ["doc_id", "wide", "n"])
+
+
+def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning-forest edges among the similar documents of each band value."""
+    for b in batches:
+        us: list[int] = []
+        vs: list[int] = []
+        for group in b.column(0):
+            rows = group.values.flatten()
+            ids, sizes = rows[0].to_numpy(), rows[1].to_numpy()
+            prints = np.stack([rows[2 + i].to_numpy() for i in range(COMPARED)], axis=1).view(np.uint64)
+            waiting = np.arange(len(ids))
+            while len(waiting) > 1:
+                reached, waiting = [waiting[0]], waiting[1:]
+                while reached and len(waiting):
+                    at = reached.pop()
+                    apart = np.bitwise_count(prints[waiting] ^ prints[at]).sum(1)
+                    least, most = np.minimum(sizes[waiting], sizes[at]), np.maximum(sizes[waiting], sizes[at])
+                    near = (apart <= APART) & (least * 100 >= most * RATIO) & ((most >= TINY) | (apart == 0))
+                    us += [int(ids[at])] * int(near.sum())
+                    vs += ids[waiting[near]].tolist()
+                    reached += waiting[near].tolist()
+                    waiting = waiting[~near]
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, component_id of the documents whose 5-word shingles are similar (0.8 or more).
+
+    The wide fingerprint is cut into bands of BAND bits; documents that share a band are compared on COMPARED words. At
+    similarity 0.8 a pair shares one of the 64 bands with probability 0.99, at 0.9 and more with practical certainty.
+    Bands of over CROWD documents are compared under this and the next band together.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    prints = written(docs.select("doc_id", "text").mapInArrow(_wide, f"doc_id {kind}, wide array<bigint>, n bigint").withColumn("id", F.xxhash64("wide", "n")), "similar-prints")
+    nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.any_value("wide").alias("wide"), F.max("n").alias("n")), "similar-nodes")
+    per = 64 // BAND
+    word = lambda j: F.get("wide", F.floor(j / per).cast("int"))
+    value = lambda j: F.call_function("shiftrightunsigned", word(j), (j % per * BAND).cast("int")).bitwiseAND(F.lit((1 << BAND) - 1))
+    count = WIDE * per
+    both = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.struct(F.shiftleft(j.cast("bigint"), 32).bitwiseOR(value(j)).alias("key"), value((j + 1) % count).alias("next")))
+    banded = nodes.select("id", "n", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(COMPARED)), F.explode(both).alias("b")).select("id", "n", *(f"w{i}" for i in range(COMPARED)), "b.key", "b.next")
+    sizes = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "similar-bands")
+    kept = banded.join(sizes, "key")
+    row = F.collect_list(F.struct("id", "n", *(f"w{i}" for i in range(COMPARED)))).alias("rows")
+    light = kept.where(F.col("size") <= CROWD).groupBy("key").agg(row).select("rows")
+    heavy = kept.where(F.col("size") > CROWD).groupBy("key", "next").agg(row).select("rows")
+    edges = light.union(heavy).where(F.size("rows") > 1).mapInArrow(_alike, "u bigint, v bigint")
+    star = components(edges)
+    member = star.select(F.col("u").alias("id"), F.col("v").alias("root")).union(star.select(F.col("v"), F.col("v")).distinct())
+    roots = member.join(nodes.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = member.join(roots, "root").select("id", "component_id", F.lit(True).alias("linked"))
+    class_ = nodes.select("id", "first").join(linked, "id", "left").select("id", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    return prints.select("doc_id", "id").join(class_, "id").select("doc_id", "component_id")
+
+
+def one_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of `docs` for every component of `groups` (doc_id, component_id): the one with the least doc_id (any of equal ids)."""
+    found = written(groups, "simhash-groups")
     first = found.where(same(F.col("doc_id"), F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"))
     first = written(first, "simhash-kept")
     kept = packed(docs, "doc_id").join(small(first.select("_id")), same(F.col("doc_id"), F.col("_id")), "left_semi")
     return (kept if first.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])).select("row.*")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of every component of fingerprints at distance 2 or less; all columns stay."""
+    return one_each(docs, grouped(docs).select("doc_id", "component_id"))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One row of every group of similar documents; all columns stay."""
+    return one_each(docs, similar(docs))
