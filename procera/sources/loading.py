@@ -52,6 +52,5 @@ def load_sqlite(spark: SparkSession, path: str | None, table: str, schema: T.Str
 
     if path is None or not os.path.exists(path) or table not in table_names(path):
         return empty(spark, schema)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteDataSource)
     return normalise_dates(checked(spark.read.format("sqlite_table").option("path", path).option("table", table).load()))

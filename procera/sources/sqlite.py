@@ -1,4 +1,7 @@
-"""SQLite as a Python data source: typed schema, pushed comparisons, rowid-range splits, and writes.
+"""SQLite as a Python data source: typed schema, rowid-range splits, and writes.
+
+Filters run in Spark: with this Spark, what a Python reader pushed down for one query
+still holds for the next query on the same frame.
 
 The file must be reachable by every executor (a shared mount). Each read split
 opens its own read-only connection and streams Arrow batches.
@@ -11,7 +14,7 @@ import sqlite3
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 BATCH = 8192
@@ -47,31 +50,10 @@ class Span(InputPartition):
 
 
 class SqliteReader(DataSourceReader):
-    OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-
     def __init__(self, options: dict):
         self.path, self.table = options["path"], options["table"]
         self.splits = int(options.get("splits", "1"))
         self.fields = columns(self.path, self.table)
-        self.where: list[str] = []
-        self.values: list[object] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        known = {name for name, *_ in self.fields}
-        for f in filters:
-            name = ".".join(getattr(f, "attribute", ()))
-            if name not in known:
-                yield f
-            elif type(f) in self.OPERATORS and isinstance(f.value, (int, float, str)):
-                self.where.append(f"{quoted(name)} {self.OPERATORS[type(f)]} ?")
-                self.values.append(f.value)
-            elif isinstance(f, In) and f.value and all(isinstance(v, (int, float, str)) for v in f.value):
-                self.where.append(f"{quoted(name)} IN ({', '.join('?' * len(f.value))})")
-                self.values += f.value
-            elif isinstance(f, IsNotNull):
-                self.where.append(f"{quoted(name)} IS NOT NULL")
-            else:
-                yield f
 
     def partitions(self) -> list[InputPartition]:
         with connect(self.path) as db:
@@ -84,10 +66,9 @@ class SqliteReader(DataSourceReader):
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(name, kind) for name, _, kind in self.fields])
         names = ", ".join(quoted(name) for name, *_ in self.fields)
-        where = " AND ".join(["rowid >= ?", "rowid < ?", *self.where])
         db = connect(self.path)
         try:
-            cursor = db.execute(f"SELECT {names} FROM {quoted(self.table)} WHERE {where} ORDER BY rowid", [partition.low, partition.high, *self.values])
+            cursor = db.execute(f"SELECT {names} FROM {quoted(self.table)} WHERE rowid >= ? AND rowid < ? ORDER BY rowid", [partition.low, partition.high])
             while rows := cursor.fetchmany(BATCH):
                 arrays = []
                 for (_, kind, arrow), values in zip(self.fields, zip(*rows, strict=True), strict=True):
