@@ -1,0 +1,101 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for the native operators."""
+
+import hashlib
+import random
+import re
+
+from procera.llm import decontamination, mixing, quality, secrets
+from procera.llm.trigrams import trigram_query
+
+WORDS = " ".join(f"word{i} of" for i in range(60))
+
+
+def test_quality(spark):
+    rows = [(None, None, None, None), (1, "", "en", "a"), (2, " \n\t", "en", None), (3, WORDS, "en", "a"), (3, WORDS, "en", "a"), (4, "a b c " * 40, None, "a"), (5, WORDS + " # $ |" * 40, "en", "a"), (6, "x " * 100_000, "en", "a")]
+    rows += [(100 + i, f"{WORDS} tail{i}", "en", "a") for i in range(40)]
+    docs = spark.createDataFrame([(*r, "q", 1, "m") for r in rows], "doc_id long, text string, lang string, source string, _q string, bucket int, metric string")
+    got = {r.doc_id: r for r in quality.assess(docs).collect()}
+    assert quality.assess(docs).count() == len(rows)
+    assert (got[None].n_words, got[None].base_failed, got[None].kept) == (0, True, False)
+    assert (got[4].n_words, got[4].n_repeat_words, got[4].base_failed) == (120, 120, True)
+    assert (got[6].n_words, got[6].n_repeat_words) == (100_000, 100_000)
+    assert got[3].kept and not got[5].kept and not got[5].base_failed
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id = 3").count() == 2 and kept.where("doc_id = 5").isEmpty()
+    assert quality.assess(docs.limit(0)).count() == 0 and quality.keep(docs.limit(0)).count() == 0
+
+
+def test_junk_in_under_half_of_a_source_is_rejected(spark):
+    rows = [(i, f"{WORDS} {i}" + (" ### $$$" * 30 if i < 45 else ""), "en", "a") for i in range(100)]
+    got = quality.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(45, 100))
+
+
+def plain_spans(text):
+    text = text or ""
+    found = []
+    for i, rule in enumerate(secrets.RULES):
+        for m in re.finditer(rule.regex, text, re.ASCII):
+            if len(m[rule.group]) >= rule.least:
+                found.append((m.start(), i, m.end()))
+    return sorted(found)
+
+
+def test_secrets(spark):
+    rng = random.Random(4)
+    bits = ["password", "PassWd", "token", "api_key", "ApiKey", "=", ": ", '"', "'", " ", "\n", "é😀", "abc123", "AKIA", "ABCD1234", "0123456789abcdef", "deadbeef", "ghp_", "x" * 40, "xoxb-", "-----BEGIN RSA PRIVATE KEY-----", "eyJabcdefgh.", "secret"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(1, 40)))) for i in range(300)]
+    rows += [(None, None), (None, "token=abcdef1"), (7, "password: hunter22"), (7, "password: hunter22"), (8, ""), (9, "token = value12 " * 3000)]
+    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, mask string, trigram int")
+    got = sorted(((r.doc_id, [(s.start, s.kind, s.end) for s in r.spans]) for r in secrets.scan(docs).collect()), key=str)
+    assert got == sorted(((d, plain_spans(t)) for d, t in rows), key=str)
+    empty = {r.doc_id: r for r in secrets.report(docs).where("doc_id = 8").collect()}[8]
+    assert (empty.n_assign, empty.spans, empty.base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
+    assert secrets.report(docs.limit(0)).count() == 0
+
+
+def test_trigram_queries_hold_for_every_match():
+    rng = random.Random(5)
+    for regex in [r.regex for r in secrets.RULES] + [r"ab(c|d)+efg?hij", r"(foo|ba[rz]){2}x*quux", r"^hello\s+world$", r"a.c", r"[a-z]{3}bcd"]:
+        query = trigram_query(regex)
+        alphabet = sorted(set(re.sub(r"\W", "", regex)) | set("abcdefhijkloqruxz =:_-. 0123456789KEYAPRIVTBGN"))
+        for _ in range(300):
+            seed = "".join(rng.choice(["password", "abcefghij", "foobarquux", "hello  world", "xbcd", "AKIA", "eyJ", "ghp_", *alphabet]) for _ in range(12))
+            for m in re.finditer(regex, seed):
+                assert any(all(t in m[0].lower() for t in c) for c in query)
+
+
+def test_decontamination(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    items = spark.createDataFrame([(1, item), (1, item), (None, "Short item"), (3, None), (4, "  ")], "item_id long, text string")
+    words = item.split()
+    rows = [(1, f"before {item.upper()} after"), (None, item), (2, " ".join(words[:12])), (3, " ".join(words[:11])), (4, None), (5, ""), (6, "short ITEM"), (7, "a short item here"), (8, item), (8, item), (9, "filler " * 50_000 + item)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, item_id int, hash string")
+    got = sorted(((r.doc_id, r.item_id, r.n_shared) for r in decontamination.contained(docs, items).collect()), key=str)
+    want = []
+    for d, t in rows:
+        for i, x in [(1, item), (1, item), (None, "Short item")]:
+            cut = lambda s: {tuple(w[i : i + 5]) for w in [s.lower().split()] for i in range(max(1, len(w) - 4))} if s and s.split() else set()
+            a, b = cut(x), cut(t)
+            if len(a & b) * 100 >= 80 * len(a):
+                want.append((d, i, len(a & b)))
+    assert got == sorted(want, key=str)
+    clean = decontamination.clean(docs, items)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 7]
+    assert decontamination.contained(docs.limit(0), items).count() == 0
+    assert decontamination.contained(docs, items.limit(0)).count() == 0
+
+
+def test_mixing(spark):
+    rows = [(i, "w " * (i % 9), f"s{i % 3}") for i in range(300)] + [(None, "a b", None), (None, "a b", None), (5, None, "s0"), (5, None, "s0"), (6, "one", "tiny"), (7, "", "void")]
+    docs = spark.createDataFrame([(*r, 3, "z") for r in rows], "doc_id long, text string, source string, size int, queue string")
+    once, again = (sorted(map(tuple, mixing.mix(d).collect()), key=str) for d in (docs, docs.repartition(7)))
+    assert once == again and len(once) == len(rows)
+    taken, target, total = {}, {}, sum(r[1] for r in once)
+    for _, size, source_size, goal, took, source in once:
+        assert took <= 3 * size and (size == 0 or took % size == 0) and goal <= 3 * source_size
+        taken[source], target[source] = taken.get(source, 0) + took, goal
+    assert abs(sum(target.values()) - total) < 1e-6 and 0 <= total - sum(taken.values()) <= 9
+    assert all(abs(taken[s] - target[s]) <= 9 for s in taken)
+    assert mixing.mix(docs.limit(0)).count() == 0
+    assert [r.taken for r in mixing.mix(docs.where("text IS NULL")).collect()] == [0, 0]
