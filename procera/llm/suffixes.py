@@ -212,7 +212,7 @@ def decide(light: DataFrame, crowded: DataFrame) -> DataFrame:
     middle = small.mapInArrow(_by_core, VERDICT)
     alone = sized.where(F.col("blocks") > repeats.MOST).select("key", "h", "first", "before", "after", "bytes").mapInArrow(_single, "window binary, key bigint, h bigint, at bigint")
     many = alone.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    far = alone.join(many, "window").select("key", "h", F.array("at").alias("dup"))
+    far = written(alone.join(many, "window").select("key", "h", F.array("at").alias("dup")), "suffixes-windows")  # a plan of its own, whose skew Spark splits
     return near.union(middle).union(far).groupBy("key", "h").agg(F.array_distinct(F.flatten(F.collect_list("dup"))).alias("dup"))
 
 
