@@ -66,6 +66,11 @@ def sheet(df: DataFrame) -> DataFrame:
     return grouped.select(key, F.concat(head, body).alias("texto"))
 
 
+def rows_of(df: DataFrame, value: str) -> DataFrame:
+    """All columns of one patient's records, in record order: what the patient export writes."""
+    return df.where(F.col(key_of(df)) == value).orderBy("registro_id")
+
+
 def repeated(df: DataFrame, more_than: int = 1) -> DataFrame:
     """Patients with several procedures; types sorted and joined, first non-null chart number."""
     kept = df.where(F.col("cpf").isNotNull() & F.col("nome").isNotNull())

@@ -91,6 +91,8 @@ def test_patients(facts):
     repeated = patients.repeated(facts.unionByName(facts.withColumn("registro_id", F.col("registro_id") + 10)))
     assert [tuple(r) for r in repeated.collect()] == [("1", "Ana", 2, "ANGIOPLASTIA CAROTIDA | ANGIOPLASTIA MMII", "10"), ("2", "Bob", 2, "ANGIOPLASTIA MMII | OTHER", "11")]
     assert sorted(set(column(patients.history(facts), "cpf"))) == ["1", "2"]
+    assert column(patients.rows_of(facts, "1"), "registro_id") == [1, 2]
+    assert [r.nome for r in patients.header(facts).orderBy("cpf").collect()] == ["Ana", "Bob"]
     text = patients.sheet(facts).where("cpf = '2'").first().texto
     assert text == "Bob\nCPF 2 - 11\n2\n[1] — - ANGIOPLASTIA MMII - X Y Z - —\n[2] 02/02/2024 - OTHER - W - —\n"
 
