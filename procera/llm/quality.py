@@ -146,10 +146,13 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """`docs` without the rejected rows, all columns as they were. Texts are measured twice and never shuffled."""
-    core = docs.select("lang", "source", "text")
-    limits = written(thresholds(sketches(measured(core))), "quality-thresholds")
-    return judged(measured(packed(docs, "lang", "source", "text")), limits).where("_kept").select("row.*")
+    """`docs` without the rejected rows, all columns as they were.
+
+    Rows are written with their metrics: a filter on them over the plan that computes them would compute them again.
+    """
+    core = written(measured(packed(docs, "lang", "source", "text")).drop("text"), "quality-rows")
+    limits = written(thresholds(sketches(core)), "quality-thresholds")
+    return judged(core, limits).where("_kept").select("row.*")
 
 
 _FENCE = """{keys} metric, max(total) AS total, min(bucket) FILTER (WHERE upto * 100 >= total * 25) AS q1, min(bucket) FILTER (WHERE upto * 100 >= total * 50) AS q2,
