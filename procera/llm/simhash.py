@@ -133,6 +133,8 @@ def report(docs: DataFrame) -> DataFrame:
 WIDE_SHINGLE, WIDE, BAND, COMPARED, APART = 5, 16, 16, 4, 52
 #: Documents of one band value that are compared in one task.
 CROWD = 4096
+#: Group size up to which pairs are compared for many groups at once.
+PAIRS = 24
 #: Least ratio of shingle counts, in percent, and count below which only equal fingerprints link.
 RATIO, TINY = 80, 5
 
@@ -182,28 +184,46 @@ def _wide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array([n for _, n in found], pa.int64())], ["doc_id", "wide", "n"])
 
 
+def near(prints: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether documents a and b (positions, pairwise) are similar."""
+    apart = np.bitwise_count(prints[a] ^ prints[b]).sum(1)
+    least, most = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    return (apart <= APART) & (least * 100 >= most * RATIO) & ((most >= TINY) | (apart == 0))
+
+
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning-forest edges among the similar documents of each band value."""
+    """Edges that connect the similar documents of each band value: a spanning forest, in groups of up to PAIRS all links."""
     for b in batches:
-        us: list[int] = []
-        vs: list[int] = []
-        for group in b.column(0):
-            rows = group.values.flatten()
-            ids, sizes = rows[0].to_numpy(), rows[1].to_numpy()
-            prints = np.stack([rows[2 + i].to_numpy() for i in range(COMPARED)], axis=1).view(np.uint64)
-            waiting = np.arange(len(ids))
+        groups = b.column(0)
+        rows = groups.flatten().flatten()
+        ids, sizes = rows[0].to_numpy(), rows[1].to_numpy()
+        prints = np.stack([rows[2 + i].to_numpy() for i in range(COMPARED)], axis=1).view(np.uint64)
+        members = np.diff(groups.offsets.to_numpy())
+        start = np.cumsum(members) - members
+        few = np.flatnonzero(np.repeat(members <= PAIRS, members))
+        of = np.repeat(np.arange(len(members)), members)[few]
+        us, vs = [], []
+        for d in range(1, PAIRS):
+            pair = np.flatnonzero(of[d:] == of[:-d]) if d < len(of) else few[:0]
+            if not len(pair):
+                break
+            x, y = few[pair], few[pair + d]
+            ok = near(prints, sizes, x, y)
+            us.append(ids[x[ok]])
+            vs.append(ids[y[ok]])
+        for g in np.flatnonzero(members > PAIRS):
+            waiting = np.arange(start[g], start[g] + members[g])
             while len(waiting) > 1:
                 reached, waiting = [waiting[0]], waiting[1:]
                 while reached and len(waiting):
                     at = reached.pop()
-                    apart = np.bitwise_count(prints[waiting] ^ prints[at]).sum(1)
-                    least, most = np.minimum(sizes[waiting], sizes[at]), np.maximum(sizes[waiting], sizes[at])
-                    near = (apart <= APART) & (least * 100 >= most * RATIO) & ((most >= TINY) | (apart == 0))
-                    us += [int(ids[at])] * int(near.sum())
-                    vs += ids[waiting[near]].tolist()
-                    reached += waiting[near].tolist()
-                    waiting = waiting[~near]
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                    ok = near(prints, sizes, np.array([at]), waiting)
+                    us.append(np.full(int(ok.sum()), ids[at]))
+                    vs.append(ids[waiting[ok]])
+                    reached += waiting[ok].tolist()
+                    waiting = waiting[~ok]
+        both = [np.concatenate(x) if x else ids[:0] for x in (us, vs)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], ["u", "v"])
 
 
 def similar(docs: DataFrame) -> DataFrame:

@@ -74,3 +74,26 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
         for b in fps:
             if (a ^ b).bit_count() <= 2:
                 assert find(a) == find(b)
+
+
+def test_similar_documents_are_found_in_small_and_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 4)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for g in range(6):
+        base = words[g * 300 : g * 300 + 120]
+        for k in range(3 + 4 * g):
+            copy = list(base)
+            copy[5 + k] = f"edit{g}x{k}"
+            rows.append((100 * g + k, " ".join(copy)))
+    rows += [(5000 + i, " ".join(words[2000 + 90 * i : 2090 + 90 * i])) for i in range(20)] + [(None, None), (9000, "")]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c == (9000 if d in (None, 9000) else d if d >= 5000 else d // 100 * 100) for d, c in got.items())
+
+
+def test_majority_counts_bits():
+    import numpy as np
+
+    rows = np.random.default_rng(0).integers(0, 1 << 63, (77, 3), dtype=np.uint64)
+    want = [sum(int(w) >> b & 1 for w in rows[:, i]) for i in range(3) for b in range(64)]
+    assert simhash.majority(rows).tolist() == want
