@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a counted side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+_own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -29,11 +30,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where the session names none."""
+    """The folder named in spark.checkpoint.dir; a local one only where the session names none, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
+        path = _own[app]
     return path.rstrip("/")
 
 
