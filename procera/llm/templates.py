@@ -7,12 +7,13 @@ positions are generalised. A template that recurs in many documents is
 boilerplate, and all its lines are dropped.
 
 What counts is the number of different surroundings a template has over
-documents, one per document. The surroundings of a line are told by two weighted
+different texts, one per text. The surroundings of a line are told by two weighted
 MinHash picks (long lines weigh more) among the document's other lines, so that copies
 of one document, edited ones too, show few surroundings however many they are: a
 copied document keeps its lines and is left to document-level dedup. Dropped: at
-least CONTEXTS surroundings, making at least 1 / SPREAD of the documents that hold
-the template.
+least CONTEXTS surroundings, making at least 1 / SPREAD of the different texts that
+hold the template. Equal texts weigh one, however many rows have them; edited copies
+weigh one each.
 
 Leaves are only opened if their contexts could suffice, told by a broadcast
 bitmap of fixed size (a leaf let in by chance is judged like any other). A leaf with
@@ -172,16 +173,16 @@ def tree(lines: DataFrame) -> DataFrame:
 
 
 def recurring(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Opened rows (written) and the lines to drop: (line, template, shown, docs, contexts)."""
+    """Opened rows (written) and the lines to drop: (line, template, shown, texts, contexts)."""
     docs = tagged(rows)
     counts = docs.select("text").mapInArrow(_contexts, "leaf bigint, context bigint").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
     held = written(opened(docs, bitmap(counts.where(F.col("n") >= CONTEXTS), "leaf")), "template-lines")
     distinct = held.groupBy("line").agg(F.count("*").alias("n"), F.min("tokens").alias("tokens"))
     named = written(tree(written(distinct, "template-distinct")), "template-tree")
-    per_doc = held.join(named, "line").groupBy("template", "k1", "k2").agg(F.min("context").alias("context"))
-    per_context = per_doc.groupBy("template", "context").agg(F.count("*").alias("docs"))
-    per = per_context.groupBy("template").agg(F.sum("docs").alias("docs"), F.count("*").alias("contexts"))
-    bad = per.where((F.col("contexts") >= CONTEXTS) & (F.col("contexts") * SPREAD >= F.col("docs")))
+    per_text = held.join(named, "line").groupBy("template", "k2").agg(F.min("context").alias("context"))
+    per_context = per_text.groupBy("template", "context").agg(F.count("*").alias("texts"))
+    per = per_context.groupBy("template").agg(F.sum("texts").alias("texts"), F.count("*").alias("contexts"))
+    bad = per.where((F.col("contexts") >= CONTEXTS) & (F.col("contexts") * SPREAD >= F.col("texts")))
     return held, written(named.join(bad, "template"), "template-dropped")
 
 

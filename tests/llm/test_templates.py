@@ -91,3 +91,12 @@ def test_variables_copies_and_edges(spark, monkeypatch, most):
 
 def test_empty_table(spark):
     assert templates.cleaned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_group_of_copies_does_not_protect_a_line(spark):
+    own = lambda i: "\n".join(f"own {chr(97 + i)} part {chr(97 + k)} {chr(97 + i) * (k + 5)}" for k in range(6))
+    rows = [(i, f"All rights stay with us\n{own(i)}") for i in range(15)]
+    rows += [(100 + i, f"All rights stay with us\n{own(20)}") for i in range(2000)]
+    got = {r[0]: r[1] for r in result(templates.cleaned(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert all(got[i] == own(i) for i in range(15))
+    assert all(got[100 + i] == own(20) for i in range(2000))
