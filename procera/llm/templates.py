@@ -17,8 +17,10 @@ weigh one each.
 
 Leaves are only opened if their contexts could suffice, told by a broadcast
 bitmap of fixed size (a leaf let in by chance is judged like any other). A leaf with
-more than MOST different lines is split by twice as many leading tokens, until
-lines that differ are apart.
+more than MOST different lines is grown in slices, and the slices' templates are
+grown again like lines, at the same depth and similarity, until they fit one task.
+Where rounds no longer shrink a leaf, its templates are compared slice against slice,
+and those linked are one template.
 
 Defined results: NULL text is empty, with no lines; blank lines are never dropped nor
 counted; a text all of whose lines go becomes empty. Lines end at \\n
@@ -32,12 +34,14 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procera.llm.common import packed, written
+from procera.llm.components import components
 from procera.llm.repeats import bitmap, hit, tagged
 
 DEPTH = 3
@@ -49,6 +53,7 @@ ANY = "<*>"
 SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 _VARIABLE = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _DIGIT = re.compile(r"[0-9]")
+GROWN = "line bigint, template bigint, tokens binary"
 
 
 def digest(data: bytes) -> int:
@@ -120,27 +125,27 @@ def opened(docs: DataFrame, leaves) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(emit, "k1 bigint, k2 bigint, leaf bigint, line bigint, context bigint, tokens binary")
 
 
-def grown(lines: list[tuple[int, list[bytes]]]) -> list[tuple[int, int, str]]:
-    """Templates of one leaf: (line name, template name, template), in the given order of lines."""
-    found: list[tuple[int, list[bytes | None]]] = []
+def grown(lines: list[tuple[int, list[bytes]]]) -> list[tuple[int, int, bytes]]:
+    """Templates of one leaf: (line name, template name, template), in the given order of lines. A generalised position is an empty token."""
+    found: list[tuple[int, list[bytes]]] = []
     of: list[int] = []
     for line, words in lines:
         best, where = -1, -1
         for i, (_, t) in enumerate(found):
-            equal = sum(a == b for a, b in zip(t, words, strict=True))
+            equal = sum(a == b != b"" for a, b in zip(t, words, strict=True))
             if equal > best:
                 best, where = equal, i
         if best >= SIMILAR * len(words):
             template = found[where][1]
             for i, (a, b) in enumerate(zip(template, words, strict=True)):
                 if a != b:
-                    template[i] = None
+                    template[i] = b""
         else:
             where = len(found)
             found.append((line, list(words)))
         of.append(where)
-    shown = [b" ".join(x if x is not None else ANY.encode() for x in t).decode("utf-8", "replace") for _, t in found]
-    return [(line, found[i][0], shown[i]) for (line, _), i in zip(lines, of, strict=True)]
+    merged = [b" ".join(t) for _, t in found]
+    return [(line, found[i][0], merged[i]) for (line, _), i in zip(lines, of, strict=True)]
 
 
 def _grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,30 +155,72 @@ def _grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = sorted(((-x["n"], x["tokens"], x["line"]) for x in group.as_py()))
             rows += grown([(line, words.split(b" ")) for _, words, line in lines])
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["line", "template", "shown"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["line", "template", "tokens"])
+
+
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among the templates of one slice, or between those of two."""
+    for b in batches:
+        us: list[int] = []
+        vs: list[int] = []
+        for group in b.column(0):
+            items = group.as_py()
+            names = np.array([x["line"] for x in items], np.int64)
+            words = [x["tokens"].split(b" ") for x in items]
+            code: dict[bytes, int] = {b"": 0}
+            codes = np.array([[code.setdefault(w, len(code)) for w in t] for t in words], np.int64)
+            for i in range(len(items) - 1):
+                equal = ((codes[i + 1 :] == codes[i]) & (codes[i] != 0)).sum(1)
+                linked = names[i + 1 :][equal >= SIMILAR * codes.shape[1]]
+                us += [int(names[i])] * len(linked)
+                vs += linked.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
+def met(crowded: DataFrame) -> DataFrame:
+    """(line, template) for the linked ones of (leaf, line, tokens, n, size): every slice of a leaf is compared with every other."""
+    count = F.ceil(F.col("size") * 2 / MOST).cast("int")
+    own = crowded.select("leaf", F.struct("line", "tokens").alias("item"), count.alias("k"), F.pmod(F.xxhash64("line"), count).cast("int").alias("own"))
+    pairs = own.select("leaf", "item", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    at = (F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    groups = pairs.select("leaf", "item", *at).groupBy("leaf", "p", "q").agg(F.collect_list("item").alias("items")).select("items")
+    star = components(groups.mapInArrow(_meet, "u bigint, v bigint"))
+    return star.select(F.col("u").alias("line"), F.col("v").alias("template"))
 
 
 def tree(lines: DataFrame) -> DataFrame:
-    """(line, template, shown) from distinct lines (line, tokens, n)."""
+    """(line, template) from distinct lines (line, tokens, n)."""
     words = F.split(F.col("tokens").cast("string"), " ")
-    rest, depth, done = lines, DEPTH, None
+    now = lines.withColumn("leaf", F.xxhash64(F.size(words), F.slice(words, 1, DEPTH)))
+    # `of` leads from a line to the template, among `now`, that it has become; None: each is its own.
+    of, done, left, turn = None, None, None, 0
+
+    def named(part: DataFrame) -> DataFrame:
+        return part if of is None else of.withColumnRenamed("template", "_item").join(part.withColumnRenamed("line", "_item"), "_item").select("line", "template")
+
     while True:
-        leaf = F.xxhash64(F.size(words), F.slice(words, 1, depth))
-        placed = rest.withColumn("leaf", leaf)
-        size = placed.groupBy("leaf").agg(F.count("*").alias("size"))
-        placed = written(placed.join(size, "leaf"), "template-leaves")
-        grouped = placed.where(F.col("size") <= MOST).groupBy("leaf").agg(F.collect_list(F.struct("line", "tokens", "n")).alias("lines")).select("lines")
-        part = grouped.mapInArrow(_grow, "line bigint, template bigint, shown string")
+        size = now.groupBy("leaf").agg(F.count("*").alias("size"))
+        placed = written(now.join(size, "leaf"), "template-leaves")
+        group = F.collect_list(F.struct("line", "tokens", "n")).alias("lines")
+        fits, crowded = placed.where(F.col("size") <= MOST), placed.where(F.col("size") > MOST)
+        part = named(fits.groupBy("leaf").agg(group).select("lines").mapInArrow(_grow, GROWN).select("line", "template"))
         done = part if done is None else done.union(part)
-        rest = placed.where(F.col("size") > MOST).drop("leaf", "size")
-        if rest.isEmpty():
+        before, left = left, crowded.count()
+        if not left:
             return done
-        depth *= 2
-        words = F.split(F.col("tokens").cast("string"), " ")
+        if before is not None and left * 10 > before * 9:
+            linked = met(crowded.select("leaf", "line", "tokens", "size"))
+            last = crowded.select("line").join(linked, "line", "left").select("line", F.coalesce("template", "line").alias("template"))
+            return done.union(named(last))
+        slice_ = F.pmod(F.xxhash64("line", F.lit(turn)), F.ceil(F.col("size") * 2 / MOST))
+        step = written(crowded.groupBy("leaf", slice_.alias("slice")).agg(group).select("lines").mapInArrow(_grow, GROWN), "template-slices")
+        of = written(named(step.select("line", "template")), "template-of")
+        merged = step.join(crowded.select("line", "leaf", "n"), "line").groupBy("template", "leaf", "tokens").agg(F.sum("n").alias("n"))
+        now, turn = merged.select(F.col("template").alias("line"), "tokens", "n", "leaf"), turn + 1
 
 
 def recurring(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Opened rows (written) and the lines to drop: (line, template, shown, texts, contexts)."""
+    """Opened rows (written) and the lines to drop: (line, template, texts, contexts)."""
     docs = tagged(rows)
     counts = docs.select("text").mapInArrow(_contexts, "leaf bigint, context bigint").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
     held = written(opened(docs, bitmap(counts.where(F.col("n") >= CONTEXTS), "leaf")), "template-lines")

@@ -100,3 +100,16 @@ def test_a_group_of_copies_does_not_protect_a_line(spark):
     got = {r[0]: r[1] for r in result(templates.cleaned(spark.createDataFrame(rows, "doc_id long, text string")))}
     assert all(got[i] == own(i) for i in range(15))
     assert all(got[100 + i] == own(20) for i in range(2000))
+
+
+@pytest.mark.parametrize("most", [1000, 8])
+def test_a_template_of_many_names_in_a_crowded_leaf(spark, monkeypatch, most):
+    monkeypatch.setattr(templates, "MOST", most)
+    count = 1500 if most == 1000 else 60
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    own = lambda i: f"Own {name(i)} text {name(i * 7 + 3)} of page {name(i * 11 + 5)}\nClosing {name(i)} words {name(i + 9)}"
+    rows = [(i, f"Read more about {name(i)} in our archive today\n{own(i)}") for i in range(count)]
+    rows += [(count + i, f"Read more about {name(i)} {name(i * 3 + 1)} {name(i * 5 + 2)} {name(i * 7)} {name(i * 9 + 4)}") for i in range(count)]
+    got = {r[0]: r[1] for r in result(templates.cleaned(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert all(got[i] == own(i) for i in range(count))
+    assert all(got[count + i] == rows[count + i][1] for i in range(count))
