@@ -231,7 +231,7 @@ def similar(docs: DataFrame) -> DataFrame:
 
     The wide fingerprint is cut into bands of BAND bits; documents that share a band are compared on COMPARED words. At
     similarity 0.8 a pair shares one of the 64 bands with probability 0.99, at 0.9 and more with practical certainty.
-    Bands of over CROWD documents are compared under this and the next band together.
+    Bands of over CROWD documents are cut into slices, and every slice is compared with every other in a task of its own.
     """
     kind = dict(docs.dtypes)["doc_id"]
     prints = written(docs.select("doc_id", "text").mapInArrow(_wide, f"doc_id {kind}, wide array<bigint>, n bigint").withColumn("id", F.xxhash64("wide", "n")), "similar-prints")
@@ -240,13 +240,15 @@ def similar(docs: DataFrame) -> DataFrame:
     word = lambda j: F.get("wide", F.floor(j / per).cast("int"))
     value = lambda j: F.call_function("shiftrightunsigned", word(j), (j % per * BAND).cast("int")).bitwiseAND(F.lit((1 << BAND) - 1))
     count = WIDE * per
-    both = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.struct(F.shiftleft(j.cast("bigint"), 32).bitwiseOR(value(j)).alias("key"), value((j + 1) % count).alias("next")))
-    banded = nodes.select("id", "n", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(COMPARED)), F.explode(both).alias("b")).select("id", "n", *(f"w{i}" for i in range(COMPARED)), "b.key", "b.next")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.shiftleft(j.cast("bigint"), 32).bitwiseOR(value(j)))
+    banded = nodes.select("id", "n", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(COMPARED)), F.explode(keys).alias("key"))
     sizes = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "similar-bands")
     kept = banded.join(sizes, "key")
     row = F.collect_list(F.struct("id", "n", *(f"w{i}" for i in range(COMPARED)))).alias("rows")
     light = kept.where(F.col("size") <= CROWD).groupBy("key").agg(row).select("rows")
-    heavy = kept.where(F.col("size") > CROWD).groupBy("key", "next").agg(row).select("rows")
+    slices = F.ceil(F.col("size") * 2 / CROWD).cast("int")
+    heavy = kept.where(F.col("size") > CROWD).withColumns({"own": F.pmod(F.xxhash64("id"), slices).cast("int"), "other": F.explode(F.sequence(F.lit(0), slices - 1))})
+    heavy = heavy.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(row).select("rows")
     edges = light.union(heavy).where(F.size("rows") > 1).mapInArrow(_alike, "u bigint, v bigint")
     star = components(edges)
     member = star.select(F.col("u").alias("id"), F.col("v").alias("root")).union(star.select(F.col("v"), F.col("v")).distinct())

@@ -97,3 +97,14 @@ def test_majority_counts_bits():
     rows = np.random.default_rng(0).integers(0, 1 << 63, (77, 3), dtype=np.uint64)
     want = [sum(int(w) >> b & 1 for w in rows[:, i]) for i in range(3) for b in range(64)]
     assert simhash.majority(rows).tolist() == want
+
+
+def test_crowded_bands_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 1)
+    rows = []
+    for g in range(40):
+        base = [f"w{g}x{i}" for i in range(200)]
+        copy = [f"e{i}" if i in (30, 80, 130, 170) else x for i, x in enumerate(base)]  # similarity 176 of 216 shingles
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * g + 1] == 2 * g for g in range(40)) >= 38
