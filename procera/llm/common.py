@@ -62,7 +62,7 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def packed(docs: DataFrame, *names: str) -> DataFrame:
+def packed(docs: DataFrame, *names: str | Column) -> DataFrame:
     """All columns in one struct `row`, beside the named ones: added columns then clash with none of them."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *names)
 

@@ -83,9 +83,11 @@ def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """`docs` without the documents that contain an item. A doc_id shared by several rows falls with any of them."""
-    bad = small(written(contained(docs, items, n, percent).select(F.col("doc_id").alias("_bad")).distinct(), "decontamination-bad"))
-    return packed(docs, "doc_id").join(bad, same(F.col("doc_id"), F.col("_bad")), "left_anti").select("row.*")
+    """`docs` without the documents that contain an item. Rows are told apart by doc_id and text: only those with the item fall."""
+    key = F.struct(F.xxhash64("doc_id").alias("k1"), F.xxhash64("text").alias("k2")).alias("_key")
+    named = docs.select(key.alias("doc_id"), "text")
+    bad = small(written(contained(named, items, n, percent).select(F.col("doc_id").alias("_bad")).distinct(), "decontamination-bad"))
+    return packed(docs, key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").select("row.*")
 
 
 def _shingle_rows(table: str, key: str) -> str:

@@ -17,7 +17,7 @@ component_id is the least non-null doc_id of the component, NULL if it has none.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procera.llm.common import packed, same, small, written
+from procera.llm.common import packed, small, written
 from procera.llm.components import components
 from procera.llm.runs import mixed
 
@@ -258,20 +258,26 @@ def similar(docs: DataFrame) -> DataFrame:
     return prints.select("doc_id", "id").join(class_, "id").select("doc_id", "component_id")
 
 
-def one_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of `docs` for every component of `groups` (doc_id, component_id): the one with the least doc_id (any of equal ids)."""
-    found = written(groups, "simhash-groups")
-    first = found.where(same(F.col("doc_id"), F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"))
+def one_each(docs: DataFrame, grouped_by: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of `docs` for every component that `grouped_by` finds: the one with the least non-null doc_id (any of rows equal in doc_id and text).
+
+    Rows are told apart by doc_id and text: different texts under one doc_id, or without any, stand for themselves.
+    """
+    keys = {"k1": F.xxhash64("doc_id"), "k2": F.xxhash64("text")}
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *(k.alias(n) for n, k in keys.items())).alias("doc_id"), "text")
+    found = written(grouped_by(named).select("doc_id", "component_id"), "simhash-groups")
+    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.k1").alias("_k1"), F.col("doc_id.k2").alias("_k2")).agg(F.count("*").alias("n"))
     first = written(first, "simhash-kept")
-    kept = packed(docs, "doc_id").join(small(first.select("_id")), same(F.col("doc_id"), F.col("_id")), "left_semi")
-    return (kept if first.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])).select("row.*")
+    rows = packed(docs, *(k.alias(n) for n, k in keys.items()))
+    kept = rows.join(small(first.select("_k1", "_k2")), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left_semi")
+    return (kept if first.where("n > 1").isEmpty() else kept.dropDuplicates(["k1", "k2"])).select("row.*")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of every component of fingerprints at distance 2 or less; all columns stay."""
-    return one_each(docs, grouped(docs).select("doc_id", "component_id"))
+    return one_each(docs, grouped)
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One row of every group of similar documents; all columns stay."""
-    return one_each(docs, similar(docs))
+    return one_each(docs, similar)

@@ -99,3 +99,16 @@ def test_empty_and_odd_tables(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, str(tmp_path)), "test-odd")
         assert docs.count() == (1 if rows else 0)
+
+
+def test_rows_without_or_with_repeated_id_stand_for_themselves(spark):
+    text = lambda i: " ".join(f"t{i}w{k}" for k in range(60))
+    rows = [(None, text(i), 1) for i in range(10)] + [(7, text(20), 1), (7, text(21), 1), (8, text(20), 1), (7, text(20), 1), (None, text(3), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 int")
+    want = sorted([(None, text(i)) for i in range(10)] + [(7, text(20)), (7, text(21))], key=str)
+    for dedup in (simhash.distinct_documents, simhash.deduplicated):
+        got = dedup(docs)
+        assert got.columns == docs.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == want
+    items = spark.createDataFrame([(1, text(3)), (2, text(21))], "item_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in decontamination.clean(docs, items).collect()), key=str)
+    assert got == sorted(((d, t) for d, t, _ in rows if t not in (text(3), text(21))), key=str)
