@@ -5,6 +5,10 @@ represented by its minimiser, the least-hashed K-gram inside it (leftmost of
 equals). Equal windows have equal minimisers, so windows are only ever compared
 under one key. Consecutive windows with the same minimiser occurrence form a run,
 which travels as one row.
+
+Defined results: a text of fewer than W symbols (NULL, empty and blank ones too) has no
+runs; texts of any length are taken in blocks of bounded size; equal minimisers in one
+window go by the leftmost.
 """
 
 from __future__ import annotations
@@ -61,6 +65,9 @@ class Runs:
     at: np.ndarray
     key: np.ndarray
 
+    def where(self, kept: np.ndarray) -> Runs:
+        return Runs(self.start[kept], self.count[kept], self.at[kept], self.key[kept])
+
 
 def runs(symbols: np.ndarray, window: int, k: int) -> Runs | None:
     """All windows of one document, in runs. `symbols` are well-mixed 64-bit values."""

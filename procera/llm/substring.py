@@ -1,28 +1,31 @@
 """Substring dedup: repeated 35-word windows are found by Rabin-Karp hashes and removed.
 
-Every window has a rolling polynomial hash of its words' hashes (two bases, 128
-bits). Windows travel in runs (see `repeats`); a run that recurs whole is
-settled by its hash, the windows of contested runs are hashed one by one and counted
-in Spark, weighted by how often their run occurs. Windows under one minimiser meet
-in one task; crowded minimisers are counted by window with partial sums instead. The
-repeated windows of a document merge into maximal removed intervals.
+Every window of a contested run has a rolling polynomial hash of its words' 128-bit
+hashes (two bases, one on each half). Windows travel in runs (see `repeats`): a run whose
+words recur whole is repeated throughout, the windows of contested runs are hashed one by
+one and counted among all runs that share their minimiser. Runs are compared by their
+words, not by the symbols that choose the minimiser. The repeated windows of a document
+merge into maximal removed intervals.
 
 Defined results: NULL, empty or short texts (under 35 words) keep all their words;
 equal windows in one document count as repeated; repeated rows are copies of each
-other. Windows are judged on the input. Extra columns are ignored.
+other. Windows are judged on the input. An empty table gives no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procera.llm.repeats import Spec, gaps, merged, spans, tagged
+from procera.llm.repeats import Piece, Spec, Text, gaps, merged, spans, tagged
 from procera.llm.runs import mixed
 
 WINDOW = 35
@@ -52,57 +55,44 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_ids(text: str | None) -> np.ndarray:
-    """A 64-bit polynomial hash of each word's bytes."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    start, end = word_spans(raw)
+def word_ids(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial number of each word, for minimisers only: different words may share one."""
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _powers(_BASE, len(raw))[:-1], dtype=np.uint64)))
     return mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(raw))[start] + (end - start).astype(np.uint64))
 
 
-def read(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    ids = word_ids(text)
-    return ids, ids
-
-
-SPEC = Spec(WINDOW, GRAM, read)
+def read(text: str | None) -> Text:
+    """Words as symbols; behind them the words themselves, joined by one space."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    raw = np.frombuffer(data, np.uint8)
+    start, end = word_spans(raw)
+    edge = np.concatenate((np.zeros(1, np.int64), np.cumsum(end - start + 1)))
+    return Text(word_ids(raw, start, end), b" ".join(data.split()), edge, 1)
 
 
-def rabin_karp(ids: np.ndarray, window: int) -> list[np.ndarray]:
-    """Rolling hashes of all windows for each base, from prefix sums."""
-    out = []
-    for base in _BASES:
+def rabin_karp(words: list[bytes], window: int) -> np.ndarray:
+    """Rolling hashes of all windows, one row each, from prefix sums: two bases over the halves of the words' hashes."""
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+    out = np.empty((len(words) - window + 1, 2), np.uint64)
+    for i, base in enumerate(_BASES):
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * _powers(base, len(ids))[:-1], dtype=np.uint64)))
-        rolled = (sums[window:] - sums[:-window]) * _powers(inverse, len(ids))[: len(ids) - window + 1]
-        out.append(mixed(rolled).view(np.int64))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(halves[:, i] * _powers(base, len(words))[:-1], dtype=np.uint64)))
+        out[:, i] = (sums[window:] - sums[:-window]) * _powers(inverse, len(words))[: len(out)]
     return out
 
 
-def hashed(runs: DataFrame) -> DataFrame:
-    """key, h, n and the window hashes w1, w2 of each distinct run."""
-
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pairs = [rabin_karp(np.frombuffer(x.as_py(), np.uint64), WINDOW) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([p[i] for p in pairs], pa.list_(pa.int64())) for i in (0, 1))], ["key", "h", "n", "w1", "w2"])
-
-    return runs.select("key", "h", "n", "body").mapInArrow(emit, "key bigint, h bigint, n bigint, w1 array<bigint>, w2 array<bigint>")
-
-
-def windows(runs: DataFrame) -> DataFrame:
-    return runs.select("key", "h", "n", F.posexplode(F.arrays_zip("w1", "w2"))).select("key", "h", "n", F.col("pos").cast("bigint").alias("at"), "col.w1", "col.w2")
+def judge(groups: list[list[Piece]], width: int) -> list[tuple[int, int, int]]:
+    """(group, piece, offset) of the windows whose hash is counted twice or more in their group."""
+    out = []
+    for g, group in enumerate(groups):
+        rolled = [rabin_karp(x.body.split(b" "), WINDOW).tobytes() for x in group]
+        places = [(w[at : at + 16], i, at // 16) for i, w in enumerate(rolled) for at in range(0, len(w), 16)]
+        counts = Counter(w for w, _, _ in places)
+        out += [(g, i, at) for w, i, at in places if counts[w] > 1]
+    return out
 
 
-def decide(light: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Offsets of repeated windows in each contested run."""
-    together = windows(hashed(light.repartition("key")).repartition("key"))
-    found = together.groupBy("key", "w1", "w2").agg(F.sum("n").alias("n"), F.collect_list(F.struct("h", "at")).alias("in")).where("n > 1").select("key", F.explode("in").alias("x"))
-    near = found.groupBy("key", "x.h").agg(F.collect_list("x.at").alias("dup"))
-    single = windows(hashed(crowded))
-    many = single.groupBy("key", "w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-    far = single.join(many, ["key", "w1", "w2"]).groupBy("key", "h").agg(F.collect_list("at").alias("dup"))
-    return near.union(far)
+SPEC = Spec(WINDOW, GRAM, read, lambda body: body.split(b" "), b" ".join, (7, 1), judge)
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +111,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (remaining words joined by one space)."""
     rows = tagged(docs.select("doc_id", "text"))
-    joined = rows.join(spans(rows, SPEC, decide, "substring"), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans(rows, SPEC, "substring"), ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint, n_removed bigint, kept string")
 
 

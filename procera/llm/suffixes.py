@@ -14,13 +14,14 @@ j - 1 gives, and updates the neighbours' common prefixes by range minima over th
 previous round's column. Suffixes whose common prefix with a neighbour reaches
 WIDTH are repeated windows.
 
-A minimiser under which very many different runs meet is split by cores, and a core
-under which very many different strings meet is split into single windows, whose
-equality is counted; no task gathers an unbounded group.
+A minimiser or core under which very many different strings meet is narrowed to
+blocks of fewer windows with a longer core (see `repeats`), and the same construction
+decides those; no task gathers an unbounded group.
 
 Defined results: NULL text is empty; strings never cross documents; repeats inside
 one document and overlapping ones count; repeated rows are copies of each
-other. Windows are judged on the input. Extra columns are ignored.
+other. Windows are judged on the input. An empty table gives no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,45 +30,23 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procera.llm import repeats
-from procera.llm.common import written
-from procera.llm.repeats import Spec, gaps, merged, spans, tagged
+from procera.llm.repeats import Piece, Spec, Text, blocks, gaps, merged, spans, tagged
 from procera.llm.runs import mixed
 
 WINDOW = 200
 GRAM = 64
 WIDTH = 16
-CORE = WINDOW - WIDTH + 1
 #: Symbols of one collection.
 SLICE = 1 << 19
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def read(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    return _BYTE[raw], raw
-
-
-SPEC = Spec(WINDOW, GRAM, read)
-
-#: A block: core, bytes left and right of it, offset in the run of its leftmost window.
-Block = tuple[bytes, bytes, bytes, int]
-
-
-def blocks(body: bytes, count: int, left: int) -> Iterator[Block]:
-    """Blocks of a run of `count` windows whose minimiser is `left` bytes after the first window's start.
-
-    Windows are named by their distance to the minimiser, which falls from `left`.
-    """
-    last = left - count + 1
-    for q in range(last // WIDTH, left // WIDTH + 1):
-        far, near = min(left, q * WIDTH + WIDTH - 1), max(last, q * WIDTH)
-        core = left - q * WIDTH
-        yield body[core : core + CORE], body[left - far : core], body[core + CORE : left - near + WINDOW], left - far
+def read(text: str | None) -> Text:
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return Text(_BYTE[np.frombuffer(data, np.uint8)], data)
 
 
 def columns(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,113 +86,54 @@ def columns(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return sid, length, lcp
 
 
-def repeated(found: list[tuple[int, Block]]) -> list[tuple[int, int]]:
-    """(owner, offset in its run) of windows that occur twice or more among blocks of different owners."""
-    names: dict[bytes, int] = {}
-    ids = [names.setdefault(core, len(names)) for _, (core, *_) in found]
+#: Where a string comes from (group, piece, offset of its first window), its core, and the bytes left and right of it.
+String = tuple[tuple[int, int, int], tuple[int, bytes], bytes, bytes]
+
+
+def repeated(found: list[String], width: int) -> list[tuple[int, int, int]]:
+    """(group, piece, offset) of windows, `width` symbols each, that occur twice or more in strings of one group."""
+    names: dict[tuple[int, bytes], int] = {}
+    ids = [names.setdefault(x[1], len(names)) for x in found]
     uses = np.bincount(ids) if ids else np.zeros(0, int)
-    kept = [(i, x) for i, x in zip(ids, found, strict=True) if uses[i] > 1]
-    out: list[tuple[int, int]] = []
+    kept = sorted(((i, x) for i, x in zip(ids, found, strict=True) if uses[i] > 1), key=lambda x: x[0])
+    out: list[tuple[int, int, int]] = []
     strings: list[np.ndarray] = []
-    owners: list[tuple[int, int]] = []
-    total = 0
+    owners: list[tuple[int, int, int]] = []
+    total, before = 0, -1
 
     def flush() -> None:
         nonlocal strings, owners, total
         if strings:
             sid, length, lcp = columns(strings)
-            near = lcp >= WIDTH
+            near = lcp >= width
             near[:-1] |= near[1:].copy()
             for s, n in zip(sid[near].tolist(), length[near].tolist(), strict=True):
-                owner, first = owners[s]
-                out.append((owner, first + len(strings[s]) - n))
+                group, piece, first = owners[s]
+                out.append((group, piece, first + len(strings[s]) - n))
         strings, owners, total = [], [], 0
 
-    kept.sort(key=lambda x: x[0])
-    before = -1
-    for i, (owner, (_, left, right, first)) in kept:
+    for i, (owner, _, left, right) in kept:
         if total >= SLICE and i != before:  # strings of one core stay together
             flush()
         before = i
         strings.append(np.concatenate((np.frombuffer(left, np.uint8).astype(np.int64), [256 + i], np.frombuffer(right, np.uint8).astype(np.int64))))
-        owners.append((owner, first))
+        owners.append(owner)
         total += len(strings[-1])
     flush()
     return out
 
 
-def answered(keys: list[int], hs: list[int], found: list[tuple[int, int]]) -> pa.RecordBatch:
-    dup: dict[int, set[int]] = {}
-    for owner, at in found:
-        dup.setdefault(owner, set()).add(at)
-    rows = sorted(dup)
-    return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in rows], pa.int64()), pa.array([hs[i] for i in rows], pa.int64()), pa.array([sorted(dup[i]) for i in rows], pa.list_(pa.int64()))], ["key", "h", "dup"])
-
+def judge(groups: list[list[Piece]], width: int) -> list[tuple[int, int, int]]:
+    size = WINDOW - width + 1
+    found = []
+    for g, group in enumerate(groups):
+        for i, x in enumerate(group):
+            for _, first, _, _, core, part in blocks(x.body, x.count, x.left, width, WINDOW):
+                found.append(((g, i, first), (g, part[core : core + size]), part[:core], part[core + size :]))
+    return repeated(found, width)
 
-VERDICT = "key bigint, h bigint, dup array<bigint>"
 
-
-def _by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of runs under one key, as (key, array of runs)."""
-    for b in batches:
-        keys, hs, found = [], [], []
-        for key, group in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            for run in group.as_py():
-                owner = len(keys)
-                keys.append(key)
-                hs.append(run["h"])
-                found += [(owner, (key.to_bytes(8, "little", signed=True) + x[0], *x[1:])) for x in blocks(run["body"], run["count"], run["left"])]
-        yield answered(keys, hs, repeated(found))
-
-
-def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of crowded keys' runs as rows of their own, with a 128-bit name of key and core."""
-    for b in batches:
-        rows: list[list] = [[] for _ in range(7)]
-        for key, h, count, left, body in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            for core, before, after, first in blocks(body, count, left):
-                name = xxhash.xxh3_128_digest(key.to_bytes(8, "little", signed=True) + core)
-                for column, value in zip(rows, (name, key, h, first, before, after, core), strict=True):
-                    column.append(value)
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["core", "key", "h", "first", "before", "after", "bytes"])
-
-
-def _by_core(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys, hs, found = [], [], []
-        for core, group in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            for x in group.as_py():
-                found.append((len(keys), (core, x["before"], x["after"], x["first"])))
-                keys.append(x["key"])
-                hs.append(x["h"])
-        yield answered(keys, hs, repeated(found))
-
-
-def _single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single windows of crowded cores' blocks: the block narrowed until its core is the whole window."""
-    for b in batches:
-        rows: list[list] = [[] for _ in range(4)]
-        for key, h, first, before, after, core in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            whole = before + core + after
-            for at in range(len(whole) - WINDOW + 1):
-                for column, value in zip(rows, (xxhash.xxh3_128_digest(whole[at : at + WINDOW]), key, h, first + at), strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), *(pa.array(x, pa.int64()) for x in rows[1:])], ["window", "key", "h", "at"])
-
-
-def decide(light: DataFrame, crowded: DataFrame) -> DataFrame:
-    near = light.groupBy("key").agg(F.collect_list(F.struct("h", "count", "left", "body")).alias("runs")).mapInArrow(_by_key, VERDICT)
-    pieces = crowded.select("key", "h", "count", "left", "body").mapInArrow(_split, "core binary, key bigint, h bigint, first bigint, before binary, after binary, bytes binary")
-    pieces = written(pieces, "suffixes-blocks")
-    size = written(pieces.groupBy("core").agg(F.count("*").alias("blocks")).where("blocks > 1"), "suffixes-cores")
-    sized = pieces.join(size, "core")
-    small = sized.where(F.col("blocks") <= repeats.MOST).groupBy("core").agg(F.collect_list(F.struct("key", "h", "first", "before", "after")).alias("blocks"))
-    middle = small.mapInArrow(_by_core, VERDICT)
-    alone = sized.where(F.col("blocks") > repeats.MOST).select("key", "h", "first", "before", "after", "bytes").mapInArrow(_single, "window binary, key bigint, h bigint, at bigint")
-    many = alone.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    far = written(alone.join(many, "window").select("key", "h", F.array("at").alias("dup")), "suffixes-windows")  # a plan of its own, whose skew Spark splits
-    return near.union(middle).union(far).groupBy("key", "h").agg(F.array_distinct(F.flatten(F.collect_list("dup"))).alias("dup"))
+SPEC = Spec(WINDOW, GRAM, read, lambda body: body, bytes, (WIDTH, 4, 1), judge)
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +151,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, which may cut a character)."""
     rows = tagged(docs.select("doc_id", "text"))
-    joined = rows.join(spans(rows, SPEC, decide, "suffixes"), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans(rows, SPEC, "suffixes"), ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from procera.llm.common import packed, written
 from procera.llm.components import components
-from procera.llm.repeats import bitmap, hit, tagged
+from procera.llm.repeats import Sieve, hit, tagged
 
 DEPTH = 3
 SIMILAR = 0.7
@@ -223,7 +223,8 @@ def recurring(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Opened rows (written) and the lines to drop: (line, template, texts, contexts)."""
     docs = tagged(rows)
     counts = docs.select("text").mapInArrow(_contexts, "leaf bigint, context bigint").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
-    held = written(opened(docs, bitmap(counts.where(F.col("n") >= CONTEXTS), "leaf")), "template-lines")
+    leaves = Sieve(written(counts.where(F.col("n") >= CONTEXTS).select("leaf"), "template-open"), "leaf")
+    held = written(leaves.behind(opened(docs, leaves.bits), "leaf"), "template-lines")
     distinct = held.groupBy("line").agg(F.count("*").alias("n"), F.min("tokens").alias("tokens"))
     named = written(tree(written(distinct, "template-distinct")), "template-tree")
     per_text = held.join(named, "line").groupBy("template", "k2").agg(F.min("context").alias("context"))

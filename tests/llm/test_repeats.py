@@ -71,6 +71,47 @@ def test_words_fixture(spark, monkeypatch, most):
     assert result(substring.report(docs)) == brute_words(rows)
 
 
+def thue_morse(n, flip):
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
+def test_words_whose_numbers_collide_stay_apart(spark):
+    """Two different words with one polynomial number modulo 2^64: the documents share no window."""
+    a, b = thue_morse(1024, 0), thue_morse(1024, 1)
+    assert substring.read(a).symbols[0] == substring.read(b).symbols[0] and a != b
+    lead = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{lead} {a}"), (2, f"{lead} {b}"), (3, f"{lead} {b} tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(substring.report(docs)) == brute_words(rows)
+    assert [r[2] for r in result(substring.report(docs))] == [0, 35, 35]
+
+
+@pytest.mark.parametrize("operator", [substring, suffixes])
+def test_many_rows_equal_in_id_and_text_and_a_full_bitmap(spark, monkeypatch, operator):
+    monkeypatch.setattr(repeats, "FULL", 0)
+    text = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, text)] * 1000 + [(i, f"{text[: 5 * i]} v{i} {text}") for i in range(2, 40)] + [(99, "alone " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    brute = brute_words if operator is substring else brute_bytes
+    assert result(operator.report(docs)) == brute(rows)
+
+
+@pytest.mark.parametrize("operator", [substring, suffixes])
+def test_near_copies_that_crowd_one_key(spark, monkeypatch, operator):
+    """One passage with a different word changed in each of 300 documents: every round of narrowing has work."""
+    monkeypatch.setattr(repeats, "MOST", 8)
+    rng = random.Random(4)
+    base = [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(300):
+        ws = list(base)
+        ws[rng.randrange(90)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    brute = brute_words if operator is substring else brute_bytes
+    assert result(operator.report(docs)) == brute(rows)
+
+
 def test_empty_table(spark):
     assert substring.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert suffixes.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
