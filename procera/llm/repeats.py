@@ -44,6 +44,8 @@ PAGE = 1 << 15
 FULL = SLOTS // 4
 #: Distinct contents under one name that one task compares.
 MOST = 256
+#: Bytes of groups that are judged at once.
+AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -212,25 +214,33 @@ PIECE = "struct<key:bigint,h:bigint,first:bigint,count:bigint,left:bigint,body:b
 def judged(groups: DataFrame, spec: Spec, width: int) -> DataFrame:
     """(key, h, at, n): ranges of repeated windows in the runs of each (bounded) group of different pieces."""
 
+    def ranges(owners: list[list[tuple[int, int, int]]], pieces: list[list[Piece]]) -> pa.RecordBatch:
+        out: list[tuple[int, int, int, int]] = []
+        before = None
+        for g, i, at in sorted(spec.judge(pieces, width)):
+            key, h, first = owners[g][i]
+            if before == (g, i, at - 1):
+                out[-1] = (*out[-1][:3], out[-1][3] + 1)
+            elif before != (g, i, at):
+                out.append((key, h, first + at, 1))
+            before = (g, i, at)
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "h", "at", "n"])
+
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             owners: list[list[tuple[int, int, int]]] = []
             pieces: list[list[Piece]] = []
+            size = 0
             for group in b.column(0):
                 rows = group.as_py()
                 owners.append([(x["key"], x["h"], x["first"]) for x in rows])
                 pieces.append([Piece(x["body"], x["count"], x["left"]) for x in rows])
-            out: list[tuple[int, int, int, int]] = []
-            before = None
-            for g, i, at in sorted(spec.judge(pieces, width)):
-                key, h, first = owners[g][i]
-                if before == (g, i, at - 1):
-                    out[-1] = (*out[-1][:3], out[-1][3] + 1)
-                elif before != (g, i, at):
-                    out.append((key, h, first + at, 1))
-                before = (g, i, at)
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "h", "at", "n"])
+                size += sum(len(x["body"]) for x in rows)
+                if size > AT_ONCE:
+                    yield ranges(owners, pieces)
+                    owners, pieces, size = [], [], 0
+            yield ranges(owners, pieces)
 
     return groups.mapInArrow(emit, "key bigint, h bigint, at bigint, n bigint")
 
