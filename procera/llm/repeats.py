@@ -271,7 +271,7 @@ def settled(bodies: DataFrame, spec: Spec, name: str) -> DataFrame:
     found = None
     # The first round takes whole runs, their blocks being cut inside the judge.
     for i, width in enumerate((spec.widths[0], *spec.widths)):
-        size = now.groupBy("name").agg(F.count("*").alias("size")).where("size > 1")
+        size = written(now.groupBy("name").agg(F.count("*").alias("size")).where("size > 1"), f"{name}-sizes")
         sized = written(now.join(size, "name"), f"{name}-sized")
         few = sized.where(F.col("size") <= MOST).groupBy("name").agg(F.collect_list("piece").alias("pieces")).select("pieces")
         part = judged(few, spec, width)
@@ -284,7 +284,7 @@ def settled(bodies: DataFrame, spec: Spec, name: str) -> DataFrame:
         joined = blocks_.join(held, ["name", "t"])
         # Equal blocks of several runs are repeated throughout: a plan of its own, whose skew Spark splits.
         found = found.union(written(joined.where("n > 1").select("piece.key", "piece.h", F.col("piece.first").alias("at"), F.col("piece.count").alias("n")), f"{name}-equal"))
-        now = joined.where(F.struct("piece.key", "piece.h", "piece.first") == F.col("one")).select("name", "piece")
+        now = written(joined.where(F.struct("piece.key", "piece.h", "piece.first") == F.col("one")).select("name", "piece"), f"{name}-now")
     return found
 
 
