@@ -52,7 +52,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return templates.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {

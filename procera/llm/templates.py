@@ -6,17 +6,17 @@ at least SIMILAR of their tokens equal in place share a template, whose differin
 positions are generalised. A template that recurs in many documents is
 boilerplate, and all its lines are dropped.
 
-What counts is the number of different surroundings a template has over
-different texts, one per text. The surroundings of a line are told by two weighted
-MinHash picks (long lines weigh more) among the document's other lines, so that copies
-of one document, edited ones too, show few surroundings however many they are: a
-copied document keeps its lines and is left to document-level dedup. Dropped: at
-least CONTEXTS surroundings, making at least 1 / SPREAD of the different texts that
-hold the template. Equal texts weigh one, however many rows have them; edited copies
-weigh one each.
-
-Leaves are only opened if their contexts could suffice, told by a broadcast
-bitmap of fixed size (a leaf let in by chance is judged like any other). A leaf with
+What counts are different texts with content of their own. Every line has three sketches,
+each the least of a hash over its 5-word shingles (over the whole of a shorter line); a line is a text's own if none of them
+stands in any other text. So an edited line of a copied document still is no own line, as at least one of its
+sketches mostly survives the edit, while a short body under a long licence is one. A text gives
+evidence on its templates if its own lines make OWN percent of its words. Dropped: templates with
+evidence from at least CONTEXTS texts, and from at least 1 / SPREAD of the different texts that
+hold them. So copies of one document, edited ones too, keep their lines, however many they are,
+and are left to document-level dedup. Equal texts weigh one, however many rows have them.
+
+Leaves are only opened if rows enough have them, told by a sieve (see `repeats`; a leaf
+let in by chance is judged like any other). A leaf with
 more than MOST different lines is grown in slices, and the slices' templates are
 grown again like lines, at the same depth and similarity, until they fit one task.
 Where rounds no longer shrink a leaf, its templates are compared slice against slice,
@@ -24,13 +24,12 @@ and those linked are one template.
 
 Defined results: NULL text is empty, with no lines; blank lines are never dropped nor
 counted; a text all of whose lines go becomes empty. Lines end at \\n
-only. Repeated rows are copies. Extra columns stay as they are.
+only. Repeated rows are copies. Rows are told apart by doc_id and text. An empty table
+stays empty. Extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -43,14 +42,18 @@ from pyspark.sql import functions as F
 from procera.llm.common import packed, written
 from procera.llm.components import components
 from procera.llm.repeats import Sieve, hit, tagged
+from procera.llm.runs import mixed
+from procera.llm.substring import word_ids, word_spans
 
 DEPTH = 3
 SIMILAR = 0.7
 CONTEXTS = 10
-SPREAD = 2
+SPREAD = 4
+OWN = 5
+SHINGLE = 5
 MOST = 1000
 ANY = "<*>"
-SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+SALTS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D], np.uint64)
 _VARIABLE = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _DIGIT = re.compile(r"[0-9]")
 GROWN = "line bigint, template bigint, tokens binary"
@@ -79,50 +82,79 @@ def parsed(text: str | None) -> list[tuple[int, int, bytes] | None]:
     return out
 
 
-def picks(lines: dict[int, bytes], salt: int) -> list[int]:
-    """The two lines that come first in a random order that favours long ones."""
+def sketches(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each line with words: its number, its words, and its sketches (one row each)."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    start, end = word_spans(raw)
+    line = np.searchsorted(np.flatnonzero(raw == 10), start)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(line)), bool), line[1:] != line[:-1])))
+    gram = word_ids(raw, start, end)
+    ids = gram
+    words = np.diff(np.append(first, len(line)))
+    from_end = np.repeat(first + words, words) - np.arange(len(line))
+    short = np.repeat(words < SHINGLE, words)
+    for step in range(1, SHINGLE):
+        near = np.zeros_like(ids)
+        near[:-step] = np.where(line[step:] == line[:-step], mixed(ids[step:] + np.uint64(step)), np.uint64(0))
+        gram = gram + near
+    whole = np.where(short, from_end == np.repeat(words, words), from_end >= SHINGLE)
+    least = [np.minimum.reduceat(np.where(whole, mixed(gram ^ salt), ~np.uint64(0)), first) if len(first) else gram for salt in SALTS]
+    return line[first], words, np.stack(least, axis=1).view(np.int64)
 
-    def rank(line: int, whole: bytes) -> float:
-        u = (((line ^ salt) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 11) + 1
-        return -math.log(u / (1 << 53)) / len(whole)
 
-    return [line for _, line in heapq.nsmallest(2, ((rank(line, whole), line) for line, whole in lines.items()))]
+LEAF, SKETCH = 0, 1
 
 
-def seen(text: str | None) -> dict[int, tuple[int, int, bytes]]:
-    """Line name -> (leaf, surroundings, line) for the different lines of a text."""
-    found = {x[1]: x for x in parsed(text) if x}
-    lines = {name: whole for name, (_, _, whole) in found.items()}
-    first = [[*picks(lines, salt), 0, 0] for salt in SALTS]
-    out = {}
-    for name, (leaf, _, whole) in found.items():
-        around = [two[0] if two[0] != name else two[1] for two in first]
-        out[name] = (leaf, digest(b"%d %d" % (around[0], around[1])), whole)
-    return out
-
-
-def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves of a text, and its lines' sketches with the line's words and those of the text."""
     for b in batches:
-        rows = [(leaf, context) for text in b.column(0) for leaf, context, _ in seen(text.as_py()).values()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["leaf", "context"])
-
-
-def opened(docs: DataFrame, leaves) -> DataFrame:
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for k2, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            text = text.as_py()
+            leaves = np.array(sorted({x[0] for x in parsed(text) if x}), np.int64)
+            line, words, both = sketches(text)
+            if not len(line):
+                continue
+            values, at = np.unique(both.ravel(), return_index=True)
+            n, m = len(leaves), len(values)
+            none = np.zeros(n, np.int64)
+            of = at // len(SALTS)
+            for column, part in zip(out, ((np.full(n, LEAF), np.full(m, SKETCH)), (leaves, values), (none + k2, np.full(m, k2)), (none, line[of]), (none, words[of]), (none, np.full(m, words.sum()))), strict=True):
+                column += part
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], ["kind", "value", "k2", "line", "words", "total"])
+
+
+def marks(docs: DataFrame) -> DataFrame:
+    """Per leaf and sketch: rows, and of one of them the line, its words and the text's; `lo` and `hi` are equal if one text has it."""
+    rows = docs.select("k2", "text").mapInArrow(_marks, "kind bigint, value bigint, k2 bigint, line bigint, words bigint, total bigint")
+    one = F.min(F.struct("line", "words", "total")).alias("one")
+    return rows.groupBy("kind", "value").agg(F.count("*").alias("n"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), one)
+
+
+def evidence(marked: DataFrame) -> DataFrame:
+    """(k2) of the texts whose own lines make OWN percent of their words."""
+    alone = marked.where((F.col("kind") == SKETCH) & (F.col("lo") == F.col("hi"))).select(F.col("lo").alias("k2"), "one.*")
+    own = alone.groupBy("k2", "line", "words", "total").agg(F.count("*").alias("n")).where(F.col("n") == len(SALTS))
+    return own.groupBy("k2", "total").agg(F.sum("words").alias("own")).where(F.col("own") * 100 >= F.col("total") * OWN).select("k2")
+
+
+def opened(docs: DataFrame, leaves: Sieve) -> DataFrame:
     """One row per document and different line in the chosen leaves."""
+    kept = leaves.bits
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for k1, k2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                found = seen(text.as_py())
-                rows += [(k1, k2, leaf, line, context, whole) for line, (leaf, context, whole) in found.items()]
+                rows += [(k1, k2, *x) for x in {x[1]: x for x in parsed(text.as_py()) if x}.values()]
             if rows:
-                columns = [pa.array(x, pa.binary() if i == 5 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))]
-                batch = pa.RecordBatch.from_arrays(columns, ["k1", "k2", "leaf", "line", "context", "tokens"])
-                yield batch.filter(pa.array(hit(leaves.value, batch.column(2).to_numpy())))
+                columns = [pa.array(x, pa.binary() if i == 4 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))]
+                batch = pa.RecordBatch.from_arrays(columns, ["k1", "k2", "leaf", "line", "tokens"])
+                yield batch.filter(pa.array(hit(kept.value, batch.column(2).to_numpy())))
 
-    return docs.select("k1", "k2", "text").mapInArrow(emit, "k1 bigint, k2 bigint, leaf bigint, line bigint, context bigint, tokens binary")
+    rows = docs.select("k1", "k2", "text").mapInArrow(emit, "k1 bigint, k2 bigint, leaf bigint, line bigint, tokens binary")
+    return leaves.behind(rows, "leaf")
 
 
 def grown(lines: list[tuple[int, list[bytes]]]) -> list[tuple[int, int, bytes]]:
@@ -220,23 +252,22 @@ def tree(lines: DataFrame) -> DataFrame:
 
 
 def recurring(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Opened rows (written) and the lines to drop: (line, template, texts, contexts)."""
+    """Opened rows (written) and the lines to drop: (line, template, texts, evidence)."""
     docs = tagged(rows)
-    counts = docs.select("text").mapInArrow(_contexts, "leaf bigint, context bigint").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
-    leaves = Sieve(written(counts.where(F.col("n") >= CONTEXTS).select("leaf"), "template-open"), "leaf")
-    held = written(leaves.behind(opened(docs, leaves.bits), "leaf"), "template-lines")
+    marked = written(marks(docs), "template-marks")
+    leaves = Sieve(marked.where((F.col("kind") == LEAF) & (F.col("n") >= CONTEXTS)), "value")
+    held = written(opened(docs, leaves), "template-lines")
     distinct = held.groupBy("line").agg(F.count("*").alias("n"), F.min("tokens").alias("tokens"))
     named = written(tree(written(distinct, "template-distinct")), "template-tree")
-    per_text = held.join(named, "line").groupBy("template", "k2").agg(F.min("context").alias("context"))
-    per_context = per_text.groupBy("template", "context").agg(F.count("*").alias("texts"))
-    per = per_context.groupBy("template").agg(F.sum("texts").alias("texts"), F.count("*").alias("contexts"))
-    bad = per.where((F.col("contexts") >= CONTEXTS) & (F.col("contexts") * SPREAD >= F.col("texts")))
+    per_text = written(held.select("line", "k2").join(named, "line").groupBy("template", "k2").agg(F.count("*").alias("lines")), "template-texts")
+    told = written(evidence(marked).withColumn("own", F.lit(1)), "template-evidence")
+    per = per_text.join(told, "k2", "left").groupBy("template").agg(F.count("*").alias("texts"), F.count("own").alias("evidence"))
+    bad = per.where((F.col("evidence") >= CONTEXTS) & (F.col("evidence") * SPREAD >= F.col("texts")))
     return held, written(named.join(bad, "template"), "template-dropped")
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """`docs` with dropped lines taken out of `text`, and the columns n_lines, n_dropped appended (in place of any such)."""
-    docs = docs.drop("n_lines", "n_dropped")
+def _stripped(docs: DataFrame) -> DataFrame:
+    """`row` (all columns of `docs`, dropped lines taken out of `text`), n_lines, n_dropped."""
     held, bad = recurring(docs.select("doc_id", "text"))
     marks = held.join(bad.select("line"), "line").groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
     at = docs.columns.index("text")
@@ -260,4 +291,14 @@ def cleaned(docs: DataFrame) -> DataFrame:
     joined = rows.join(marks, ["k1", "k2"], "left")
     touched = joined.where(F.col("gone").isNotNull()).select("row", "n_lines", "gone").mapInArrow(strip, f"row {rows.schema['row'].dataType.simpleString()}, n_lines bigint, n_dropped bigint")
     whole = joined.where(F.col("gone").isNull()).select("row", "n_lines", F.lit(0).cast("bigint").alias("n_dropped"))
-    return whole.union(touched).select("row.*", "n_lines", "n_dropped")
+    return whole.union(touched)
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """`docs` with dropped lines taken out of `text`, all other columns as they were."""
+    return _stripped(docs).select("row.*")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, text without dropped lines, n_lines, n_dropped."""
+    return _stripped(docs.select("doc_id", "text")).select("row.*", "n_lines", "n_dropped")

@@ -1,5 +1,4 @@
-import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -15,33 +14,56 @@ def words(line):
     return ["<*>" if any(c in "0123456789" for c in x) else x for x in out]
 
 
-def brute(rows, least=templates.CONTEXTS):
+def hashed(texts):
+    """Texts whose lines with sketches of their own make the wanted share: sketches as the operator hashes them, counted plainly."""
+    seen = {t: [(n, pair) for n, pair in zip(*(x.tolist() for x in templates.sketches(t)[1:]), strict=True)] for t in texts}
+    counts = Counter(x for lines in seen.values() for x in {y for _, pair in lines for y in pair})
+    out = set()
+    for t, lines in seen.items():
+        taken, own = set(), 0
+        for n, pair in lines:
+            own += n * (all(counts[x] == 1 and x not in taken for x in pair) and len(set(pair)) == len(pair))
+            taken |= set(pair)
+        if own * 100 >= templates.OWN * sum(n for n, _ in lines) and own:
+            out.add(t)
+    return out
+
+
+def plain(texts):
+    """The same by definition: an own line shares no run of five words (or whole shorter line) with another text."""
+    runs = {}
+    for t in texts:
+        runs[t] = []
+        for line in (t or "").split("\n"):
+            w = [x for x in "".join(" " if c in BLANKS else c for c in line).split(" ") if x]
+            if w:
+                runs[t].append((len(w), {tuple(w[i : i + templates.SHINGLE]) for i in range(max(1, len(w) - templates.SHINGLE + 1))}))
+    counts = Counter(x for lines in runs.values() for x in set().union(*(r for _, r in lines)))
+    return {t for t, lines in runs.items() if lines and sum(n for n, r in lines if all(counts[x] == 1 for x in r)) * 100 >= templates.OWN * sum(n for n, _ in lines)}
+
+
+def brute(rows, least=templates.CONTEXTS, telling=hashed):
     """The same tree, grown over all lines at once with plain dictionaries."""
-    docs = sorted({(repr(d), repr(t)): (d, t) for d, t in rows}.items())
-    occurrences = defaultdict(dict)
-    for key, (_, text) in docs:
-        lines = {tuple(words(x)) for x in (text or "").split("\n")} - {()}
-        for x in lines:
-            around = []
-            for salt in templates.SALTS:
-                ranks = []
-                for y in lines - {x}:
-                    code = " ".join(y).encode()
-                    u = (((templates.digest(code) ^ salt) * 0x9E3779B97F4A7C15) % (1 << 64) >> 11) + 1
-                    ranks.append((-math.log(u / (1 << 53)) / len(code), templates.digest(code)))
-                around.append(min(ranks)[1] if ranks else 0)
-            occurrences[x][key] = templates.digest(b"%d %d" % tuple(around))
-    leaves, at_leaf = defaultdict(list), defaultdict(set)
-    for x, where in occurrences.items():
+    occurrences = defaultdict(set)
+    for text in {t for _, t in rows}:
+        for x in {tuple(words(x)) for x in (text or "").split("\n")} - {()}:
+            occurrences[x].add(text)
+    copies = Counter(t for _, t in rows)
+    told = telling(set(copies))
+    leaves, rows_at = defaultdict(list), defaultdict(set)
+    for x, texts in occurrences.items():
         leaf = (len(x), x[: templates.DEPTH])
         leaves[leaf].append(x)
-        at_leaf[leaf] |= set(where.values())
+        rows_at[leaf] |= texts
+    held = Counter()
+    for x, texts in occurrences.items():
+        held[x] = len({(repr(d), t) for d, t in rows if t in texts})
     bad = set()
     for leaf, lines in leaves.items():
-        if len(at_leaf[leaf]) < least:
+        if sum(copies[t] for t in rows_at[leaf]) < least:
             continue
         groups = []
-        for x in sorted(lines, key=lambda x: (-len(occurrences[x]), " ".join(x).encode())):
+        for x in sorted(lines, key=lambda x: (-held[x], " ".join(x).encode())):
             scores = [sum(a == b for a, b in zip(t, x, strict=True)) for t, _ in groups]
             if scores and max(scores) >= templates.SIMILAR * len(x):
                 t, members = groups[scores.index(max(scores))]
@@ -50,12 +72,9 @@ def brute(rows, least=templates.CONTEXTS):
             else:
                 groups.append((list(x), [x]))
         for _, members in groups:
-            per = {}
-            for x in members:
-                for key, context in occurrences[x].items():
-                    per[key] = min(context, per.get(key, context))
-            contexts = len(set(per.values()))
-            if contexts >= least and contexts * templates.SPREAD >= len(per):
+            texts = set().union(*(occurrences[x] for x in members))
+            good = len(texts & told)
+            if good >= least and good * templates.SPREAD >= len(texts):
                 bad |= set(members)
     out = []
     for d, text in rows:
@@ -82,8 +101,10 @@ def test_variables_copies_and_edges(spark, monkeypatch, most):
     rows = [(i, f"start of document number{i} is here\nPage {i} of 300 printed\nbody {chr(97 + i % 26) * (i + 1)} text\n\nend {i}x") for i in range(20)]
     rows += [(100 + i, "one copy\nof the same text\nthrice told") for i in range(40)] + [(None, None), (7, ""), (8, "\n\n"), (None, "Page 4 of 300 printed")]
     docs = spark.createDataFrame([(d, t, 5, "x") for d, t in rows], "doc_id long, text string, n_lines int, gone string").repartition(4)
-    got = result(templates.cleaned(docs).drop("gone"))
-    assert got == brute(rows)
+    got = result(templates.report(docs))
+    assert got == brute(rows) == brute(rows, telling=plain)
+    kept = templates.cleaned(docs)
+    assert kept.columns == docs.columns and {(r.n_lines, r.gone) for r in kept.collect()} == {(5, "x")}
     by_id = {r[0]: r for r in got}
     assert by_id[3][1].startswith("body")
     assert by_id[120][1] == "one copy\nof the same text\nthrice told"
@@ -113,3 +134,29 @@ def test_a_template_of_many_names_in_a_crowded_leaf(spark, monkeypatch, most):
     got = {r[0]: r[1] for r in result(templates.cleaned(spark.createDataFrame(rows, "doc_id long, text string")))}
     assert all(got[i] == own(i) for i in range(count))
     assert all(got[count + i] == rows[count + i][1] for i in range(count))
+
+
+@pytest.mark.parametrize("lines", [2, 8])
+def test_a_licence_longer_than_the_documents_goes(spark, lines):
+    """Long lines that always stand together, under short bodies of their own."""
+    licence = "\n".join(" ".join(f"{chr(97 + k)}law{chr(97 + j)}" for j in range(26)) for k in range(lines))
+    own = lambda i: f"short {chr(97 + i % 26)}{chr(97 + i // 26)} body of {chr(97 + i // 26)}{chr(97 + i % 26)} in"
+    rows = [(i, f"{licence}\n{own(i)}\n{own(i)[::-1]}") for i in range(100)]
+    got = result(templates.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows, telling=plain)
+    assert {r[0]: r[1] for r in got} == {i: f"{own(i)}\n{own(i)[::-1]}" for i in range(100)}
+
+
+def test_edited_copies_keep_their_lines(spark):
+    import random
+
+    rng = random.Random(9)
+    base = [[f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(40)] for _ in range(8)]
+    rows = []
+    for i in range(300):
+        lines = [list(x) for x in base]
+        for _ in range(9):
+            lines[rng.randrange(8)].insert(rng.randrange(40), "new" + "".join(chr(97 + rng.randrange(26)) for _ in range(3)))
+        rows.append((i, "\n".join(map(" ".join, lines))))
+    got = {r[0]: r[1] for r in result(templates.cleaned(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert sum(got[d] == t for d, t in rows) == len(rows)
