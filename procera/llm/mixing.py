@@ -8,12 +8,15 @@ that order that fits the budget.
 
 The order is never made by one task. Cumulative words are prefix sums over
 hash buckets of each source (so that a source with a third of the rows spreads
-over all tasks), and the cut is found by a histogram of finish times followed by
-a sort of the one interval that the budget ends in.
+over all tasks), and the cut is found by histograms of finish times, each over the
+interval that the budget ends in by the one before, until that interval holds at
+most EDGE turns, which are sorted. Finish times of one queue differ, so intervals shrink to
+at most a turn a source.
 
 Defined results: NULL text has size 0 and is never taken; NULL source is a
 source of its own, last in order; repeated rows count each for themselves; an
-empty table gives no rows. Extra columns are ignored.
+empty table gives no rows. Extra columns are ignored by `mix`, and kept by `drawn`,
+where rows equal in doc_id and text become one. Ties go by source, then place.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from procera.llm.common import words, written
+from procera.llm.common import packed, words, written
 
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
 SEED = 17
 BUCKETS = 4096
-#: Intervals of virtual time per unit, and the units that have intervals of their own.
-TICKS, UNITS = 1024, 4
+#: Intervals of a histogram, units of virtual time that the first one spans, and turns that one task sorts.
+TICKS, UNITS, EDGE = 1024, 4, 20_000
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -44,6 +47,8 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
         F.size(words(F.col("text"))).cast("bigint").alias("size"),
         (number(1, 4) % BUCKETS).cast("int").alias("bucket"),
         number(5, 14).alias("place"),
+        F.xxhash64("doc_id").alias("k1"),
+        F.xxhash64("text").alias("k2"),
     )
 
 
@@ -74,12 +79,12 @@ def finish(epoch: int) -> Column:
     return (F.col("served") + F.col("source_size") * epoch).cast("double") / F.col("target")
 
 
-def tick(epoch: int) -> Column:
-    return F.least(F.floor(finish(epoch) * TICKS), F.lit(TICKS * UNITS)).cast("int")
+def tick(epoch: int, low: float, width: float) -> Column:
+    """Interval of a finish time at or after `low`, in TICKS intervals that span `width`; later ones fall into the last."""
+    return F.greatest(F.lit(0), F.least(F.floor((finish(epoch) - low) / (width / TICKS)), F.lit(TICKS - 1))).cast("int")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """Per row of `docs`: doc_id, size, source_size, target, taken (words, repeats counted), source."""
+def _mixed(docs: DataFrame, weights: tuple[int, ...], repeats: int, seed: int) -> DataFrame:
     sizes = written(sized(docs, seed), "mix-sizes")
     per_bucket = sizes.groupBy("queue", "source", "bucket").agg(F.sum("size").alias("size"))
     goal = targets(per_bucket, weights, repeats)
@@ -91,28 +96,59 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
         .withColumn("served", F.col("start") + F.sum("size").over(here.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("turn", F.row_number().over(here))
     )
-    placed = written(placed.select("doc_id", "source", "queue", "bucket", "turn", "size", "source_size", "target", "served"), "mix-queues")
+    placed = written(placed.select("doc_id", "source", "queue", "bucket", "turn", "size", "source_size", "target", "served", "k1", "k2"), "mix-queues")
     some = placed.where("size > 0")
-
-    ticks = some.select("size", F.explode(F.array(*map(tick, range(repeats)))).alias("tick")).groupBy("tick").agg(F.sum("size").alias("size"))
-    so_far = F.sum("size").over(W.orderBy("tick").rowsBetween(W.unboundedPreceding, 0))
     budget = some.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()[0]
-    edge = ticks.select("tick", "size", so_far.alias("upto")).where(F.col("upto") >= budget).orderBy("tick").limit(1).first()
-    if edge is None:
-        return placed.select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), "source")
-
-    rank = lambda e: F.struct(finish(e).alias("f"), "queue", "bucket", "turn", F.lit(e).alias("e"))
-    last = some.select("size", F.explode(F.array(*(F.when(tick(e) == edge["tick"], rank(e)) for e in range(repeats)))).alias("r")).where("r IS NOT NULL")
-    filled = F.sum("size").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, 0)) + (edge["upto"] - edge["size"])
-    cut = last.select("r", filled.alias("filled")).where(F.col("filled") <= budget).agg(F.max("r")).first()[0]
-    if cut is None:
-        taken = [tick(e) < edge["tick"] for e in range(repeats)]
-    else:
-        end = F.struct(F.lit(cut["f"]).alias("f"), F.lit(cut["queue"]).alias("queue"), F.lit(cut["bucket"]).alias("bucket"), F.lit(cut["turn"]).alias("turn"), F.lit(cut["e"]).alias("e"))
-        taken = [(tick(e) < edge["tick"]) | (rank(e) <= end) for e in range(repeats)]
+
+    # Turns before the interval at hand are taken, those behind it are not; `inside` tells those in it.
+    taken, inside = [F.lit(False)] * repeats, [F.lit(True)] * repeats
+    low, width, before, endless = 0.0, float(UNITS), 0, True  # endless: the last interval has no end
+    while True:
+        bins = [F.when(i, tick(e, low, width)) for e, i in enumerate(inside)]
+        held = some.select("size", F.explode(F.array_compact(F.array(*bins))).alias("tick")).groupBy("tick").agg(F.sum("size").alias("size"), F.count("*").alias("turns"))
+        upto = F.sum("size").over(W.orderBy("tick").rowsBetween(W.unboundedPreceding, 0)) + before  # TICKS rows at most
+        edge = held.select("tick", "size", "turns", upto.alias("upto")).where(F.col("upto") >= budget).orderBy("tick").limit(1).first()
+        if edge is None:
+            taken = [t | i for t, i in zip(taken, inside, strict=True)]
+            break
+        at = [F.coalesce(b, F.lit(-1)) for b in bins]
+        taken = [t | ((b >= 0) & (b < edge["tick"])) for t, b in zip(taken, at, strict=True)]
+        inside = [b == edge["tick"] for b in at]
+        before = edge["upto"] - edge["size"]
+        finer = width / TICKS
+        if edge["turns"] <= EDGE or low + edge["tick"] * finer + finer / TICKS == low + edge["tick"] * finer:  # few, or all at one time
+            rank = lambda e: F.struct(finish(e).alias("f"), "queue", "bucket", "turn", F.lit(e).alias("e"))
+            last = some.select("size", F.explode(F.array_compact(F.array(*(F.when(i, rank(e)) for e, i in enumerate(inside))))).alias("r"))
+            filled = F.sum("size").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, 0)) + before
+            cut = last.select("r", filled.alias("filled")).where(F.col("filled") <= budget).agg(F.max("r")).first()[0]
+            if cut is not None:
+                end = F.struct(*(F.lit(cut[c]).alias(c) for c in ("f", "queue", "bucket", "turn", "e")))
+                taken = [t | (i & (rank(e) <= end)) for e, (t, i) in enumerate(zip(taken, inside, strict=True))]
+            break
+        endless &= edge["tick"] == TICKS - 1
+        low, width = low + edge["tick"] * finer, width * TICKS if endless else finer
     times = sum((F.when(t, 1).otherwise(0) for t in taken), F.lit(0))
     words_taken = F.when(F.col("size") > 0, F.col("size") * times).otherwise(0).cast("bigint")
-    return placed.select("doc_id", "size", "source_size", "target", words_taken.alias("taken"), "source")
+    return placed.select("doc_id", "size", "source_size", "target", words_taken.alias("taken"), "source", "k1", "k2")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """Per row of `docs`: doc_id, size, source_size, target, taken (words, repeats counted), source."""
+    return _mixed(docs, weights, repeats, seed).drop("k1", "k2")
+
+
+def drawn(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """The mix itself: all columns of `docs` in a struct `row`, size, source_size, target, taken and copies (times it stands in the mix)."""
+    turns = _mixed(docs, weights, repeats, seed).where("taken > 0")
+    per = turns.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(
+        F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("n")
+    )
+    per = written(per, "mix-taken")
+    rows = packed(docs, F.xxhash64("doc_id").alias("k1"), F.xxhash64("text").alias("k2"))
+    kept = rows.join(per, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    if not per.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["k1", "k2"])
+    return kept.select("row", "size", "source_size", "target", "taken", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
 
 
 ORACLE = f"""

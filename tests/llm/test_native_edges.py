@@ -99,3 +99,16 @@ def test_mixing(spark):
     assert all(abs(taken[s] - target[s]) <= 9 for s in taken)
     assert mixing.mix(docs.limit(0)).count() == 0
     assert [r.taken for r in mixing.mix(docs.where("text IS NULL")).collect()] == [0, 0]
+
+
+def test_the_cut_in_rounds_is_the_cut_of_one_sort(spark, monkeypatch):
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 13)), f"s{i * i % 5}") for i in range(400)] + [(1000, "w " * 9000, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "TICKS", 4)
+    for most in (1, 40):
+        monkeypatch.setattr(mixing, "EDGE", most)
+        assert sorted(map(tuple, mixing.mix(docs).collect())) == want
+    assert sum(r[4] for r in want) <= sum(r[1] for r in want)
+    twice = mixing.drawn(docs.union(docs))
+    assert twice.count() == twice.select("row.doc_id").distinct().count() and all(r.taken == r.copies * r.size for r in twice.collect())

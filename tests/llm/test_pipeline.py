@@ -82,11 +82,26 @@ def test_every_stage_equals_its_brute_force(spark):
     want = {tuple(r) for r in by_sql(mixing.ORACLE, pa.Table.from_pandas(before)) if r[4] > 0}
     got = {(r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mixed.collect()}
     assert {(a, b, c, e) for a, b, c, _, e in got} == {(a, b, c, e) for a, b, c, _, e in want}
+    texts = dict(zip(before.doc_id, before.text, strict=True))
+    assert all(r.text == texts[r.doc_id] and r.taken == r.copies * r.size for r in mixed.collect())
 
 
 def test_run_is_the_stages_one_after_the_other(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert rows and all(0 < r.taken <= 3 * r.size for r in rows)
+    assert rows and all(0 < r.taken <= 3 * r.size and r.text and r.copies for r in rows)
+
+
+def test_columns_that_clash_with_the_stages_own_stay(spark, tmp_path):
+    text = lambda i: " ".join(f"own{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(70))
+    rows = [(i, f"{text(i)}\nAll rights of this house are reserved", "en", "s", 777, 778, f"k{i}", "row") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_lines long, n_dropped int, k1 string, row string")
+    spark.createDataFrame([(1, text(3))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, str(tmp_path)), "test-clash")
+        assert name == "mix_sources" or len(docs.columns) == 8
+    got = {r.doc_id: r for r in docs.collect()}
+    assert len(got) > 50 and 3 not in got
+    assert all((r.text, r.n_lines, r.n_dropped, r.k1, r.row) == (text(d), 777, 778, f"k{d}", "row") for d, r in got.items())
 
 
 def test_empty_and_odd_tables(spark, tmp_path):
