@@ -13,6 +13,8 @@ Defined results: words are runs of non-blank characters, lower-cased in A-Z;
 fewer than three words are one shingle; texts without words (NULL, empty, blank)
 have fingerprint 0 and link like any other. Repeated rows keep their rows.
 component_id is the least non-null doc_id of the component, NULL if it has none.
+Texts of any length are taken whole. An empty table gives no rows. Extra columns are ignored,
+whatever their names, and kept where documents are returned.
 """
 
 from __future__ import annotations
@@ -129,8 +131,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 # Similar documents: a wide fingerprint for similarities that move many bits.
 
-#: Words per shingle, 64-bit words of a wide fingerprint, bits of a band, words compared, and bits of them that may differ.
-WIDE_SHINGLE, WIDE, BAND, COMPARED, APART = 5, 16, 16, 4, 52
+#: Words per shingle, 64-bit words of a wide fingerprint, bits of a band, words compared at first, bits of them that may differ.
+WIDE_SHINGLE, WIDE, BAND, COMPARED, APART = 5, 16, 16, 4, 64
+#: Bits of the whole wide fingerprint that may differ: arccos(0.8) / pi of them.
+FAR = 209
 #: Documents of one band value that are compared in one task.
 CROWD = 4096
 #: Group size up to which pairs are compared for many groups at once.
@@ -199,6 +203,8 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes = rows[0].to_numpy(), rows[1].to_numpy()
         prints = np.stack([rows[2 + i].to_numpy() for i in range(COMPARED)], axis=1).view(np.uint64)
         members = np.diff(groups.offsets.to_numpy())
+        order = np.lexsort((ids, np.repeat(np.arange(len(members)), members)))  # the same links whatever the order of arrival
+        ids, sizes, prints = ids[order], sizes[order], prints[order]
         start = np.cumsum(members) - members
         few = np.flatnonzero(np.repeat(members <= PAIRS, members))
         of = np.repeat(np.arange(len(members)), members)[few]
@@ -227,11 +233,15 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, component_id of the documents whose 5-word shingles are similar (0.8 or more).
+    """Per row: doc_id, component_id of the documents whose 5-word shingles are similar (cosine of the sets 0.8 or more).
 
-    The wide fingerprint is cut into bands of BAND bits; documents that share a band are compared on COMPARED words. At
-    similarity 0.8 a pair shares one of the 64 bands with probability 0.99, at 0.9 and more with practical certainty.
-    Bands of over CROWD documents are cut into slices, and every slice is compared with every other in a task of its own.
+    What a SimHash measures is the cosine: two fingerprints differ in arccos(cosine) / pi of their bits, here in 209 of 1,024
+    or fewer. The wide fingerprint is cut into bands of BAND bits; documents that share a band and differ little on COMPARED
+    words are candidates, and the whole fingerprints of candidates decide. Bands of over CROWD documents are cut into
+    slices, and every slice is compared with every other in a task of its own.
+
+    NULL and empty texts have one fingerprint and are alike; texts of under TINY shingles only link if their fingerprints are
+    equal. Equal texts share a node, so copies are never compared. component_id is the least doc_id, NULL if there is none.
     """
     kind = dict(docs.dtypes)["doc_id"]
     prints = written(docs.select("doc_id", "text").mapInArrow(_wide, f"doc_id {kind}, wide array<bigint>, n bigint").withColumn("id", F.xxhash64("wide", "n")), "similar-prints")
@@ -250,7 +260,10 @@ def similar(docs: DataFrame) -> DataFrame:
     heavy = kept.where(F.col("size") > CROWD).withColumns({"own": F.pmod(F.xxhash64("id"), slices).cast("int"), "other": F.explode(F.sequence(F.lit(0), slices - 1))})
     heavy = heavy.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(row).select("rows")
     edges = light.union(heavy).where(F.size("rows") > 1).mapInArrow(_alike, "u bigint, v bigint")
-    star = components(edges)
+    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "similar-candidates")
+    whole = lambda end: nodes.select(F.col("id").alias(end), F.col("wide").alias(f"w{end}"))
+    apart = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
+    star = components(edges.join(whole("u"), "u").join(whole("v"), "v").where(apart <= FAR).select("u", "v"))
     member = star.select(F.col("u").alias("id"), F.col("v").alias("root")).union(star.select(F.col("v"), F.col("v")).distinct())
     roots = member.join(nodes.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("component_id"))
     linked = member.join(roots, "root").select("id", "component_id", F.lit(True).alias("linked"))
@@ -259,7 +272,7 @@ def similar(docs: DataFrame) -> DataFrame:
 
 
 def one_each(docs: DataFrame, grouped_by: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One row of `docs` for every component that `grouped_by` finds: the one with the least non-null doc_id (any of rows equal in doc_id and text).
+    """One row of `docs` for every component that `grouped_by` finds: the one with the least non-null doc_id (of rows equal in doc_id and text any, as its other columns are not compared).
 
     Rows are told apart by doc_id and text: different texts under one doc_id, or without any, stand for themselves.
     """

@@ -66,9 +66,12 @@ def test_every_stage_equals_its_brute_force(spark):
     groups = {r.doc_id: r.component_id for r in simhash.similar(lined).collect()}
     assert len(strong) > 30
     assert sum(groups[a] == groups[b] for a, b in strong) >= 0.97 * len(strong)
+    cosine = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a]) * len(sets[b])) ** 0.5
+    alike = [(a, b) for a, b in pairs if cosine(a, b) >= 0.8]
+    assert sum(groups[a] == groups[b] for a, b in alike) >= 0.95 * len(alike)
     loose = defaultdict(set)
     for a, b in pairs:
-        if similar(a, b) >= 0.55:
+        if cosine(a, b) >= 0.74:
             loose[a].add(b)
             loose[b].add(a)
     assert all(loose[d] for d, c in groups.items() if c != d and sets[d])
