@@ -133,8 +133,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 #: Words per shingle, 64-bit words of a wide fingerprint, bits of a band, words compared at first, bits of them that may differ.
 WIDE_SHINGLE, WIDE, BAND, COMPARED, APART = 5, 16, 16, 4, 64
-#: Bits of the whole wide fingerprint that may differ: arccos(0.8) / pi of them.
-FAR = 209
+#: Bits of the whole wide fingerprint that may differ: arccos(0.8) / pi of them is 210, and one standard deviation (13) more.
+FAR = 222
 #: Documents of one band value that are compared in one task.
 CROWD = 4096
 #: Group size up to which pairs are compared for many groups at once.
@@ -235,7 +235,7 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, component_id of the documents whose 5-word shingles are similar (cosine of the sets 0.8 or more).
 
-    What a SimHash measures is the cosine: two fingerprints differ in arccos(cosine) / pi of their bits, here in 209 of 1,024
+    What a SimHash measures is the cosine: two fingerprints differ in arccos(cosine) / pi of their bits, here in FAR of 1,024
     or fewer. The wide fingerprint is cut into bands of BAND bits; documents that share a band and differ little on COMPARED
     words are candidates, and the whole fingerprints of candidates decide. Bands of over CROWD documents are cut into
     slices, and every slice is compared with every other in a task of its own.
