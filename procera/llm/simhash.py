@@ -131,8 +131,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 # Similar documents: a wide fingerprint for similarities that move many bits.
 
-#: Words per shingle, 64-bit words of a wide fingerprint, bits of a band, words compared at first, bits of them that may differ.
-WIDE_SHINGLE, WIDE, BAND, COMPARED, APART = 5, 16, 16, 4, 64
+#: Words per shingle, 64-bit words of a wide fingerprint, words compared at first, bits of them that may differ.
+WIDE_SHINGLE, WIDE, COMPARED, APART = 5, 16, 2, 36
+#: Bits of a band, and from one band's start to the next one's: bands overlap by half.
+BAND, STEP = 16, 8
 #: Bits of the whole wide fingerprint that may differ: arccos(0.8) / pi of them is 210, and one standard deviation (13) more.
 FAR = 222
 #: Documents of one band value that are compared in one task.
@@ -188,11 +190,9 @@ def _wide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array([n for _, n in found], pa.int64())], ["doc_id", "wide", "n"])
 
 
-def near(prints: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether documents a and b (positions, pairwise) are similar."""
-    apart = np.bitwise_count(prints[a] ^ prints[b]).sum(1)
-    least, most = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-    return (apart <= APART) & (least * 100 >= most * RATIO) & ((most >= TINY) | (apart == 0))
+def near(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the compared words of documents a and b (positions, pairwise) differ little."""
+    return np.bitwise_count(prints[a] ^ prints[b]).sum(1) <= APART
 
 
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +200,11 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         groups = b.column(0)
         rows = groups.flatten().flatten()
-        ids, sizes = rows[0].to_numpy(), rows[1].to_numpy()
-        prints = np.stack([rows[2 + i].to_numpy() for i in range(COMPARED)], axis=1).view(np.uint64)
+        ids = rows[0].to_numpy()
+        prints = np.stack([rows[1 + i].to_numpy() for i in range(COMPARED)], axis=1).view(np.uint64)
         members = np.diff(groups.offsets.to_numpy())
         order = np.lexsort((ids, np.repeat(np.arange(len(members)), members)))  # the same links whatever the order of arrival
-        ids, sizes, prints = ids[order], sizes[order], prints[order]
+        ids, prints = ids[order], prints[order]
         start = np.cumsum(members) - members
         few = np.flatnonzero(np.repeat(members <= PAIRS, members))
         of = np.repeat(np.arange(len(members)), members)[few]
@@ -214,7 +214,7 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(pair):
                 break
             x, y = few[pair], few[pair + d]
-            ok = near(prints, sizes, x, y)
+            ok = near(prints, x, y)
             us.append(ids[x[ok]])
             vs.append(ids[y[ok]])
         for g in np.flatnonzero(members > PAIRS):
@@ -223,7 +223,7 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 reached, waiting = [waiting[0]], waiting[1:]
                 while reached and len(waiting):
                     at = reached.pop()
-                    ok = near(prints, sizes, np.array([at]), waiting)
+                    ok = near(prints, np.array([at]), waiting)
                     us.append(np.full(int(ok.sum()), ids[at]))
                     vs.append(ids[waiting[ok]])
                     reached += waiting[ok].tolist()
@@ -246,24 +246,27 @@ def similar(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     prints = written(docs.select("doc_id", "text").mapInArrow(_wide, f"doc_id {kind}, wide array<bigint>, n bigint").withColumn("id", F.xxhash64("wide", "n")), "similar-prints")
     nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.any_value("wide").alias("wide"), F.max("n").alias("n")), "similar-nodes")
-    per = 64 // BAND
-    word = lambda j: F.get("wide", F.floor(j / per).cast("int"))
-    value = lambda j: F.call_function("shiftrightunsigned", word(j), (j % per * BAND).cast("int")).bitwiseAND(F.lit((1 << BAND) - 1))
-    count = WIDE * per
-    keys = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.shiftleft(j.cast("bigint"), 32).bitwiseOR(value(j)))
-    banded = nodes.select("id", "n", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(COMPARED)), F.explode(keys).alias("key"))
+    per = 64 // STEP
+    word = lambda i: F.get("wide", i.cast("int"))
+    low = lambda j: F.call_function("shiftrightunsigned", word(F.floor(j / per)), (j % per * STEP).cast("int"))
+    high = lambda j: F.when(j % per == per - 1, F.shiftleft(word(F.floor(j / per) + 1), STEP)).otherwise(F.lit(0))  # noqa: E731  a band that two words share
+    value = lambda j: low(j).bitwiseOR(high(j)).bitwiseAND(F.lit((1 << BAND) - 1))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(WIDE * per - 2)), lambda j: F.shiftleft(j.cast("bigint"), 32).bitwiseOR(value(j)))
+    banded = nodes.select("id", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(COMPARED)), F.explode(keys).alias("key"))
     sizes = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "similar-bands")
     kept = banded.join(sizes, "key")
-    row = F.collect_list(F.struct("id", "n", *(f"w{i}" for i in range(COMPARED)))).alias("rows")
+    row = F.collect_list(F.struct("id", *(f"w{i}" for i in range(COMPARED)))).alias("rows")
     light = kept.where(F.col("size") <= CROWD).groupBy("key").agg(row).select("rows")
     slices = F.ceil(F.col("size") * 2 / CROWD).cast("int")
     heavy = kept.where(F.col("size") > CROWD).withColumns({"own": F.pmod(F.xxhash64("id"), slices).cast("int"), "other": F.explode(F.sequence(F.lit(0), slices - 1))})
     heavy = heavy.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(row).select("rows")
     edges = light.union(heavy).where(F.size("rows") > 1).mapInArrow(_alike, "u bigint, v bigint")
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "similar-candidates")
-    whole = lambda end: nodes.select(F.col("id").alias(end), F.col("wide").alias(f"w{end}"))
+    whole = lambda end: nodes.select(F.col("id").alias(end), F.col("wide").alias(f"w{end}"), F.col("n").alias(f"n{end}"))
     apart = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
-    star = components(edges.join(whole("u"), "u").join(whole("v"), "v").where(apart <= FAR).select("u", "v"))
+    least, most = F.least("nu", "nv"), F.greatest("nu", "nv")
+    sized = (least * 100 >= most * RATIO) & ((most >= TINY) | (apart == 0))
+    star = components(edges.join(whole("u"), "u").join(whole("v"), "v").where((apart <= FAR) & sized).select("u", "v"))
     member = star.select(F.col("u").alias("id"), F.col("v").alias("root")).union(star.select(F.col("v"), F.col("v")).distinct())
     roots = member.join(nodes.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("component_id"))
     linked = member.join(roots, "root").select("id", "component_id", F.lit(True).alias("linked"))
