@@ -1,4 +1,8 @@
-"""Shared pieces: words, let-bindings, tables in the cluster's shared folder, checked broadcasts."""
+"""Shared pieces: words, let-bindings, tables in the cluster's shared folder, checked broadcasts.
+
+Defined results: NULL, empty and blank texts have no words; texts of any length are taken whole; tables without rows
+are written and read like others; `packed` keeps columns apart from added ones of the same name.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +16,8 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these six ASCII blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a counted side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a counted side is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
@@ -33,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one only where the session names none, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -58,8 +64,9 @@ def release(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows are few; else leave the join to shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+    """Mark a written table for broadcast if its size and its counted rows allow; else leave the join to shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of its files
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= most else df
 
 
 def packed(docs: DataFrame, *names: str | Column) -> DataFrame:
