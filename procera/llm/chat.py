@@ -17,12 +17,14 @@ solved with its two ends fixed. One endless conversation is many pieces.
 Defined results: turns stand in order of turn (NULL first), then role and text;
 NULL text is empty; role names are trimmed and compared without case; NULL is an unknown role.
 NULL conv_id is one conversation. Repeated rows are turns of their own. A table without
-rows has none. Extra columns are ignored.
+rows has none. Extra columns are ignored, whatever their names. Rendered turns in order of place are the
+conversation's text, of any length; rows equal in all are next to each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from procera.llm.common import written
 ROLES = ("system", "user", "assistant")
 MERGE, RELABEL, UNKNOWN, INSERT = 1, 2, 1, 3
 PIECE = 4096
+#: Characters of a text that are looked at where turns are dealt to tasks.
+TIE = 64
 NEVER = 1 << 40
 START, SYSTEM, USER, ASSISTANT = range(4)
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
@@ -114,8 +118,9 @@ def staged(turns: DataFrame) -> DataFrame:
     role = F.lower(F.trim("role"))
     code = F.when(role == "system", 0).when(role == "user", 1).when(role == "assistant", 2).otherwise(3)
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), code.cast("bigint").alias("code"))
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.xxhash64("text")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order[:3], "text")
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first()]
+    # Ranges end between different beginnings of texts, so that the order by whole texts is one order.
+    ordered = rows.repartitionByRange(*order, F.substring("text", 1, TIE)).sortWithinPartitions(*order, "text")
     schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, code bigint, part bigint, pos bigint"
     return written(ordered.mapInArrow(_numbered, schema).withColumn("slab", F.floor(F.col("pos") / PIECE)), "chat-turns")
 
@@ -123,21 +128,23 @@ def staged(turns: DataFrame) -> DataFrame:
 def _matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [product([x["code"] for x in sorted(group.as_py(), key=lambda x: x["pos"])]).ravel().tolist() for group in b.column(3)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, pa.list_(pa.int64()))], ["conv_id", "part", "slab", "matrix"])
+        size = pa.array([len(group) for group in b.column(3)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, pa.list_(pa.int64())), size], ["conv_id", "part", "slab", "matrix", "n"])
 
 
 def _chained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The states between the pieces of a conversation."""
+    """The states between the pieces of a conversation, and the turns before each piece."""
     for b in batches:
         rows: list[tuple] = []
         for conv, group in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             pieces = sorted(group.as_py(), key=lambda x: (x["part"], x["slab"]))
             states = path([np.array(x["matrix"]).reshape(4, 4) for x in pieces], START, ENDS)
             last = [False] * (len(pieces) - 1) + [True]
-            rows += [(conv, x["part"], x["slab"], *ends) for x, *ends in zip(pieces, [START, *states], states, last, strict=False)]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (b.schema.field(0).type, *[pa.int64()] * 4, pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["conv_id", "part", "slab", "enter", "leave", "last"])
+            before = accumulate([0, *(x["n"] for x in pieces)])
+            rows += [(conv, x["part"], x["slab"], *ends) for x, *ends in zip(pieces, [START, *states], states, last, before, strict=False)]
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = (b.schema.field(0).type, *[pa.int64()] * 4, pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["conv_id", "part", "slab", "enter", "leave", "last", "before"])
 
 
 def solved(roles: list[int], enter: int, leave: int) -> list[int]:
@@ -162,7 +169,7 @@ def rendered(text: str, before: int, state: int, last: bool) -> tuple[str, tuple
 def _repaired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[tuple] = []
-        for conv, enter, leave, ends, group in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
+        for conv, enter, leave, ends, ahead_of, group in zip(*(b.column(i).to_pylist() for i in range(5)), b.column(5), strict=True):
             turns = sorted(group.as_py(), key=lambda x: x["pos"])
             states = solved([x["code"] for x in turns], enter, leave)
             for i, (x, before, state) in enumerate(zip(turns, [enter, *states], states, strict=False)):
@@ -170,31 +177,31 @@ def _repaired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 label = UNKNOWN if x["code"] == 3 else 0 if x["code"] == state - 1 else RELABEL
                 cost = label + MERGE * (before == state) + INSERT * len(ahead + behind)
                 names = [",".join(ROLES[s - 1] for s in states_) or None for states_ in (ahead, behind)]
-                rows.append((conv, x["part"], x["pos"], x["turn"], x["role"], ROLES[state - 1], before == state, *names, cost, text))
-        columns = list(zip(*rows, strict=True)) or [()] * 11
-        turn = b.column(4).type.value_type.field("turn").type
-        kinds = (b.schema.field(0).type, pa.int64(), pa.int64(), turn, pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["conv_id", "part", "pos", "turn", "role", "new_role", "merged", "inserted_before", "inserted_after", "cost", "rendered"])
+                rows.append((conv, ahead_of + i, x["turn"], x["role"], ROLES[state - 1], before == state, *names, cost, text))
+        columns = list(zip(*rows, strict=True)) or [()] * 10
+        turn = b.column(5).type.value_type.field("turn").type
+        kinds = (b.schema.field(0).type, pa.int64(), turn, pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["conv_id", "place", "turn", "role", "new_role", "merged", "inserted_before", "inserted_after", "cost", "rendered"])
 
 
 def repaired(turns: DataFrame) -> DataFrame:
-    """One row per turn: place (part, pos), new_role, merged, roles inserted before and after, cost, rendered text."""
+    """One row per turn: place (from 0, in its conversation), new_role, merged, roles inserted before and after, cost, rendered text."""
     conv, turn = (dict(turns.dtypes)[c] for c in ("conv_id", "turn"))
     rows = staged(turns)
     short = rows.groupBy("conv_id", "part", "slab").agg(F.collect_list(F.struct("pos", "code")).alias("turns"))
-    matrices = short.mapInArrow(_matrices, f"conv_id {conv}, part bigint, slab bigint, matrix array<bigint>")
-    chains = matrices.groupBy("conv_id").agg(F.collect_list(F.struct("part", "slab", "matrix")).alias("pieces"))
-    ends = chains.mapInArrow(_chained, f"conv_id {conv}, part bigint, slab bigint, enter bigint, leave bigint, last boolean")
+    matrices = short.mapInArrow(_matrices, f"conv_id {conv}, part bigint, slab bigint, matrix array<bigint>, n bigint")
+    chains = matrices.groupBy("conv_id").agg(F.collect_list(F.struct("part", "slab", "matrix", "n")).alias("pieces"))
+    ends = chains.mapInArrow(_chained, f"conv_id {conv}, part bigint, slab bigint, enter bigint, leave bigint, last boolean, before bigint")
     ends = written(ends.withColumnsRenamed({"conv_id": "_conv", "part": "_part", "slab": "_slab"}), "chat-ends")
     pieces = rows.groupBy("conv_id", "part", "slab").agg(F.collect_list(F.struct("part", "pos", "turn", "role", "code", "text")).alias("turns"))
     on = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")) & (F.col("slab") == F.col("_slab"))
-    fixed = pieces.join(ends, on).select("conv_id", "enter", "leave", "last", "turns")
-    schema = f"conv_id {conv}, part bigint, pos bigint, turn {turn}, role string, new_role string, merged boolean, inserted_before string, inserted_after string, cost bigint, rendered string"
+    fixed = pieces.join(ends, on).select("conv_id", "enter", "leave", "last", "before", "turns")
+    schema = f"conv_id {conv}, place bigint, turn {turn}, role string, new_role string, merged boolean, inserted_before string, inserted_after string, cost bigint, rendered string"
     return fixed.mapInArrow(_repaired, schema)
 
 
 def formatted(turns: DataFrame) -> DataFrame:
     """One row per conversation with its whole text: for conversations that fit a row."""
-    lines = F.array_sort(F.collect_list(F.struct("part", "pos", "rendered")))
+    lines = F.array_sort(F.collect_list(F.struct("place", "rendered")))
     grouped = repaired(turns).groupBy("conv_id").agg(lines.alias("lines"), F.sum("cost").alias("cost"), F.count("*").alias("n_turns"))
     return grouped.select("conv_id", "n_turns", "cost", F.array_join(F.transform("lines", lambda x: x["rendered"]), "").alias("text"))

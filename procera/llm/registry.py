@@ -44,7 +44,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.repaired(table(spark, sf_dir, "conversations")).drop("part", "pos")
+    return chat.repaired(table(spark, sf_dir, "conversations"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ matches whose measured group is too short are dropped after matching.
 
 Defined results: NULL text is empty and has no spans; repeated rows are scanned
 each for themselves; rows sharing a doc_id (NULL included) share candidates,
-which are a superset, and are verified apart. Extra columns are ignored.
+which are a superset, and are verified apart. Ties in start go by the rules' order. Texts of any
+length and number of matches are scanned whole, in time in proportion. An empty table gives no
+rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ class Rule:
     least: int = 0
 
 
+#: Matches whose spans are gathered at once.
+BLOCK = 256
 #: Kinds that the base digest covers.
 BASE = ("assign", "access", "hex")
 RULES = (
@@ -89,7 +93,15 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
             return F.struct((start + F.coalesce(x["n"], F.lit(0))).alias("at"), kept.alias("out"))
 
         empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda s: s["out"])
+        none = F.array().cast("array<array<struct<start:int,kind:int,end:int>>>")
+
+        # Spans gather in blocks, and blocks in a list of lists: a text of very many matches is not copied at each of them.
+        def add_block(state: Column, block: Column) -> Column:
+            inner = F.aggregate(block, F.struct(state["at"].alias("at"), empty.alias("out")), add)
+            return let(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(state["out"], F.array(i["out"])).alias("out")))
+
+        cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), lambda k: F.slice(s, k * BLOCK + 1, BLOCK))
+        return F.aggregate(let(steps, cut), F.struct(F.lit(0).alias("at"), none.alias("out")), add_block, lambda s: F.flatten(s["out"]))
 
     found = F.regexp_extract_all(text, regex, F.lit(0))
     return let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")))

@@ -89,3 +89,17 @@ def test_whole_table_and_edges(spark):
     edge = spark.createDataFrame([(None, None, None, None), (None, 1, "user", "a"), (None, 1, "user", "a")], "conv_id long, turn long, role string, text string")
     assert [(r.n_turns, legal([x[0] for x in blocks_of(r.text)])) for r in chat.formatted(edge).collect()] == [(3, True)]
     assert chat.repaired(edge.limit(0)).count() == 0
+
+
+def test_turns_equal_but_for_their_text_stand_in_order_of_text(spark):
+    rows = [(1, 1, "user", c) for c in "qwertyuiopasdfghjklzxcvbnm"] + [(1, 1, "user", "z" * 70 + c) for c in "cab"] + [(2, 1, "assistant", "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "5", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = [r for r in chat.repaired(frame).orderBy("place").collect() if r.conv_id == 1]
+            assert [r.place for r in got] == list(range(29))
+            assert "".join(r.rendered for r in got) == "<|user|>\n" + "\n\n".join(sorted(t for c, _, _, t in rows if c == 1)) + "\n<|end|>\n<|assistant|>\n<|end|>\n"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

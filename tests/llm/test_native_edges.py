@@ -112,3 +112,17 @@ def test_the_cut_in_rounds_is_the_cut_of_one_sort(spark, monkeypatch):
     assert sum(r[4] for r in want) <= sum(r[1] for r in want)
     twice = mixing.drawn(docs.union(docs))
     assert twice.count() == twice.select("row.doc_id").distinct().count() and all(r.taken == r.copies * r.size for r in twice.collect())
+
+
+def test_very_many_matches_in_one_text(spark):
+    import time
+
+    n = 40_000
+    text = "token=abcdef " * n
+    docs = spark.createDataFrame([(1, text), (2, "x " + "token=abcdef " * (2 * secrets.BLOCK) + "secret: short")], "doc_id long, text string")
+    secrets.report(docs.where("doc_id = 2")).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.report(docs).collect()}
+    assert time.perf_counter() - began < 15
+    assert got[1].n_assign == n and got[1].spans == ",".join(f"assign:{13 * i}:{13 * i + 12}" for i in range(n))
+    assert got[2].n_assign == 2 * secrets.BLOCK
