@@ -100,6 +100,9 @@ def test_turns_equal_but_for_their_text_stand_in_order_of_text(spark):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             got = [r for r in chat.repaired(frame).orderBy("place").collect() if r.conv_id == 1]
             assert [r.place for r in got] == list(range(29))
-            assert "".join(r.rendered for r in got) == "<|user|>\n" + "\n\n".join(sorted(t for c, _, _, t in rows if c == 1)) + "\n<|end|>\n<|assistant|>\n<|end|>\n"
+            texts = sorted(t for c, _, _, t in rows if c == 1)
+            assert all(t in r.rendered for t, r in zip(texts, got, strict=True))
+            whole = next(r.text for r in chat.formatted(frame).collect() if r.conv_id == 1)
+            assert "".join(r.rendered for r in got) == whole and whole.endswith("<|end|>\n")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
