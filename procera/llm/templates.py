@@ -53,7 +53,11 @@ OWN = 5
 SHINGLE = 5
 MOST = 1000
 ANY = "<*>"
-SALTS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D], np.uint64)
+SALTS = np.array([1, 0x14057B7EF767814F, 0x2545F4914F6CDD1D], np.uint64)
+_BASE = np.uint64(0x5851F42D4C957F2D)
+_ODD = mixed(np.arange(SHINGLE, dtype=np.uint64)) | np.uint64(1)
+_ANY = ANY.encode()
+_DIGITS = re.compile(rb"[0-9]")
 _VARIABLE = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _DIGIT = re.compile(r"[0-9]")
 GROWN = "line bigint, template bigint, tokens binary"
@@ -63,6 +67,10 @@ def digest(data: bytes) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(data), "little", signed=True)
 
 
+def leaf_of(count: int, leading: list[bytes]) -> int:
+    return digest(b"%d %s" % (count, b" ".join(leading)))
+
+
 def tokens(line: str) -> list[bytes]:
     """Tokens with variable ones generalised."""
     return (_VARIABLE.sub(ANY, line) if _DIGIT.search(line) else line).encode("utf-8", "surrogatepass").split()
@@ -75,31 +83,47 @@ def parsed(text: str | None) -> list[tuple[int, int, bytes] | None]:
         words = tokens(line)
         if words:
             whole = b" ".join(words)
-            leaf = b"%d %s" % (len(words), b" ".join(words[:DEPTH]))
-            out.append((digest(leaf), digest(whole), whole))
+            out.append((leaf_of(len(words), words[:DEPTH]), digest(whole), whole))
         else:
             out.append(None)
     return out
 
 
-def sketches(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each line with words: its number, its words, and its sketches (one row each)."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    start, end = word_spans(raw)
-    line = np.searchsorted(np.flatnonzero(raw == 10), start)
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(line)), bool), line[1:] != line[:-1])))
-    gram = word_ids(raw, start, end)
-    ids = gram
-    words = np.diff(np.append(first, len(line)))
-    from_end = np.repeat(first + words, words) - np.arange(len(line))
-    short = np.repeat(words < SHINGLE, words)
-    for step in range(1, SHINGLE):
-        near = np.zeros_like(ids)
-        near[:-step] = np.where(line[step:] == line[:-step], mixed(ids[step:] + np.uint64(step)), np.uint64(0))
-        gram = gram + near
-    whole = np.where(short, from_end == np.repeat(words, words), from_end >= SHINGLE)
-    least = [np.minimum.reduceat(np.where(whole, mixed(gram ^ salt), ~np.uint64(0)), first) if len(first) else gram for salt in SALTS]
-    return line[first], words, np.stack(least, axis=1).view(np.int64)
+class Lines:
+    """The lines with words of a text: their numbers, words, places of the first words, and sketches (one row each)."""
+
+    def __init__(self, text: str | None):
+        self.data = (text or "").encode("utf-8", "surrogatepass")
+        raw = np.frombuffer(self.data, np.uint8)
+        self.start, self.end = word_spans(raw)
+        line = np.searchsorted(np.flatnonzero(raw == 10), self.start)
+        self.first = np.flatnonzero(np.concatenate((np.ones(min(1, len(line)), bool), line[1:] != line[:-1])))
+        self.line = line[self.first]
+        self.words = np.diff(np.append(self.first, len(line)))
+        if not len(line):
+            self.sketches = np.zeros((0, len(SALTS)), np.int64)
+            return
+        ids = word_ids(raw, self.start, self.end)
+        gram = ids.copy()
+        for step in range(1, SHINGLE):
+            gram *= _BASE
+            gram[:-step] += ids[step:]
+        left = np.repeat(self.first + self.words, self.words) - np.arange(len(line))
+        whole = left >= SHINGLE  # a shingle within its line
+        for i in np.flatnonzero(self.words < SHINGLE).tolist():
+            at = self.first[i]
+            whole[at] = True
+            gram[at] = np.bitwise_xor.reduce(ids[at : at + self.words[i]] * _ODD[: self.words[i]])
+        gram = mixed(gram)
+        self.sketches = np.stack([np.minimum.reduceat(np.where(whole, gram * salt, ~np.uint64(0)), self.first) for salt in SALTS], axis=1).view(np.int64)
+
+    def leaves(self) -> set[int]:
+        """The leaves of all lines; words with a digit count as variable."""
+        out = set()
+        last = self.end[self.first + np.minimum(self.words, DEPTH) - 1]
+        for a, z, n in zip(self.start[self.first].tolist(), last.tolist(), self.words.tolist(), strict=True):
+            out.add(leaf_of(n, [_ANY if _DIGITS.search(w) else w for w in self.data[a:z].split()]))
+        return out
 
 
 LEAF, SKETCH = 0, 1
@@ -110,12 +134,12 @@ def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list[np.ndarray]] = [[] for _ in range(6)]
         for k2, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            text = text.as_py()
-            leaves = np.array(sorted({x[0] for x in parsed(text) if x}), np.int64)
-            line, words, both = sketches(text)
+            lines = Lines(text.as_py())
+            line, words = lines.line, lines.words
             if not len(line):
                 continue
-            values, at = np.unique(both.ravel(), return_index=True)
+            leaves = np.fromiter(lines.leaves(), np.int64)
+            values, at = np.unique(lines.sketches.ravel(), return_index=True)
             n, m = len(leaves), len(values)
             none = np.zeros(n, np.int64)
             of = at // len(SALTS)

@@ -16,7 +16,8 @@ def words(line):
 
 def hashed(texts):
     """Texts whose lines with sketches of their own make the wanted share: sketches as the operator hashes them, counted plainly."""
-    seen = {t: [(n, pair) for n, pair in zip(*(x.tolist() for x in templates.sketches(t)[1:]), strict=True)] for t in texts}
+    made = {t: templates.Lines(t) for t in texts}
+    seen = {t: [(n, pair) for n, pair in zip(lines.words.tolist(), lines.sketches.tolist(), strict=True)] for t, lines in made.items()}
     counts = Counter(x for lines in seen.values() for x in {y for _, pair in lines for y in pair})
     out = set()
     for t, lines in seen.items():
