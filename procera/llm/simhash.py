@@ -190,13 +190,32 @@ def _wide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array([n for _, n in found], pa.int64())], ["doc_id", "wide", "n"])
 
 
-def near(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the compared words of documents a and b (positions, pairwise) differ little."""
-    return np.bitwise_count(prints[a] ^ prints[b]).sum(1) <= APART
+def apart(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ in the compared words of documents a and b (positions, pairwise)."""
+    return np.bitwise_count(prints[a] ^ prints[b]).sum(1)
+
+
+def forest(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> list[int]:
+    """Pairs (positions in a and b) of a spanning forest of least cost."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    kept = []
+    for i in np.argsort(cost, kind="stable").tolist():
+        x, y = top(int(a[i])), top(int(b[i]))
+        if x != y:
+            above[y] = x
+            kept.append(i)
+    return kept
 
 
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that connect the similar documents of each band value: a spanning forest, in groups of up to PAIRS all links."""
+    """Edges that connect the similar documents of each band value: a spanning forest, in groups of up to PAIRS that of the closest ones."""
     for b in batches:
         groups = b.column(0)
         rows = groups.flatten().flatten()
@@ -209,21 +228,26 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few = np.flatnonzero(np.repeat(members <= PAIRS, members))
         of = np.repeat(np.arange(len(members)), members)[few]
         us, vs = [], []
+        close: list[list[np.ndarray]] = [[few[:0]], [few[:0]], [few[:0]]]
         for d in range(1, PAIRS):
             pair = np.flatnonzero(of[d:] == of[:-d]) if d < len(of) else few[:0]
             if not len(pair):
                 break
             x, y = few[pair], few[pair + d]
-            ok = near(prints, x, y)
-            us.append(ids[x[ok]])
-            vs.append(ids[y[ok]])
+            cost = apart(prints, x, y)
+            for column, values in zip(close, (x, y, cost), strict=True):
+                column.append(values[cost <= APART])
+        x, y, cost = map(np.concatenate, close)
+        chosen = forest(x, y, cost)
+        us.append(ids[x[chosen]])
+        vs.append(ids[y[chosen]])
         for g in np.flatnonzero(members > PAIRS):
             waiting = np.arange(start[g], start[g] + members[g])
             while len(waiting) > 1:
                 reached, waiting = [waiting[0]], waiting[1:]
                 while reached and len(waiting):
                     at = reached.pop()
-                    ok = near(prints, np.array([at]), waiting)
+                    ok = apart(prints, np.array([at]), waiting) <= APART
                     us.append(np.full(int(ok.sum()), ids[at]))
                     vs.append(ids[waiting[ok]])
                     reached += waiting[ok].tolist()
