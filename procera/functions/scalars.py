@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from procera.schema import MISSING_TEXT, NO_MONTH
+from procera.schema import MISSING_TEXT, NO_MONTH, OTHER_TYPE
 
 #: Tried in this order for every value by itself, so a row's result never depends on other rows.
 DATE_PATTERNS = ("d/M/yyyy", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss")
@@ -49,7 +49,7 @@ def thousands(n: Column) -> Column:
 
 def truncated_header(value: str | None, taken: set[str], width: int = 12) -> str:
     """Pivot header cut to `width`; a suffix keeps two cut headers apart."""
-    base = (value or "")[:width] or "Outro"
+    base = (value or "")[:width] or OTHER_TYPE
     name, n = base, 2
     while name in taken:
         name, n = f"{base}~{n}", n + 1

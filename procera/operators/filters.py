@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procera.schema import has
+from procera.schema import CHIP_LABELS, has
 
 RECORD_SEARCH = ("nome", "prontuario", "cpf", "cirurgiao", "municipio")
 PATIENT_SEARCH = ("nome", "prontuario", "cpf")
@@ -41,7 +41,7 @@ class Filters:
         return sum(bool(getattr(self, name)) for name in self.MEMBERSHIP)
 
     def chips(self) -> list[str]:
-        return [f"{name}: {value}" for name in self.MEMBERSHIP for value in getattr(self, name)]
+        return [f"{CHIP_LABELS[name]}: {value}" for name in self.MEMBERSHIP for value in getattr(self, name)]
 
     def cleared(self) -> Filters:
         return replace(self, **dict.fromkeys(self.MEMBERSHIP, ()))

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from procera.functions.scalars import month, month_or_marker, short_name, whole
-from procera.schema import RECORD_COLUMNS, has
+from procera.schema import COUNT_LABELS, RECORD_COLUMNS, has
+
+#: Distinct values that become columns.
+MOST_VALUES = 1000
 
 
 def record_view(df: DataFrame, display: bool = True) -> DataFrame:
@@ -39,30 +42,38 @@ def domain(df: DataFrame, column: str) -> DataFrame:
 
 
 def first_seen(df: DataFrame, column: str, order: str = "registro_id") -> list:
-    """Distinct values in order of first appearance, NULL included. One driver row per value."""
-    rows = df.groupBy(column).agg(F.min(order).alias("_at")).orderBy("_at").collect()
+    """Distinct values in order of first appearance, NULL included. One driver row per value, MOST_VALUES at most."""
+    rows = df.groupBy(column).agg(F.min(order).alias("_at")).orderBy("_at").limit(MOST_VALUES + 1).collect()
+    if len(rows) > MOST_VALUES:
+        raise ValueError(f"{column} has more than {MOST_VALUES} different values")
     return [r[0] for r in rows]
 
 
+def counted(df: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """Rows per value without NULL, the value under its label."""
+    label = COUNT_LABELS.get(column, column)
+    rows = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(label)).agg(F.count("*").alias("Total"))
+    return rows, label
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("Total"))
-    return counted.orderBy(F.desc("Total"), column)
+    rows, label = counted(df, column)
+    return rows.orderBy(F.desc("Total"), label)
 
 
 def top(df: DataFrame, column: str, k: int = 10) -> DataFrame:
-    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("Total"))
-    return counted.orderBy(F.desc("Total"), column).limit(k)
+    return value_counts(df, column).limit(k)
 
 
 def top_surgeons(df: DataFrame, k: int = 10) -> DataFrame:
-    return top(df, "cirurgiao", k).withColumn("nome_curto", short_name(F.col("cirurgiao")))
+    return top(df, "cirurgiao", k).withColumn("Nome", short_name(F.col(COUNT_LABELS["cirurgiao"])))
 
 
 def share(df: DataFrame, column: str) -> DataFrame:
     """Counts with their percentage; the window runs over one row per category."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("Total"))
+    rows, label = counted(df, column)
     percent = F.round(F.col("Total") * 100.0 / F.sum("Total").over(W.partitionBy()), 4)
-    return counted.withColumn("pct", percent).orderBy(F.desc("Total"), column)
+    return rows.withColumn("pct", percent).orderBy(F.desc("Total"), label)
 
 
 def monthly(df: DataFrame) -> DataFrame:

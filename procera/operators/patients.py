@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from procera.functions.scalars import day_text
-from procera.schema import MISSING_TEXT, has
+from procera.schema import MISSING_TEXT, REPEATED_COLUMNS, SHEET_HEAD, SHEET_ITEM, has
 
 
 def or_missing(df: DataFrame, name: str) -> F.Column:
@@ -43,26 +43,37 @@ def header(df: DataFrame) -> DataFrame:
     return grouped.select(key, *(F.col(f"_h.{c}").alias(c) for c in fields), "total")
 
 
+def shown(df: DataFrame, name: str) -> F.Column:
+    """The column as text; the placeholder for NULL and where the column itself is absent."""
+    return F.coalesce(or_missing(df, name), F.lit(MISSING_TEXT))
+
+
+def shown_day(df: DataFrame, name: str) -> F.Column:
+    return day_text(F.col(name)) if has(df, name) else F.lit(MISSING_TEXT)
+
+
 def sheet(df: DataFrame) -> DataFrame:
-    """One text per patient: a header block, then a numbered block per procedure."""
+    """One text per patient: a header block from the first record, then a numbered block per procedure."""
     key = key_of(df)
-    line = F.format_string(
-        "[%d] %s - %s - %s - %s\n",
-        F.col("ordem"),
-        day_text(F.col("data_inicio")),
-        F.coalesce(or_missing(df, "tipo_procedimento"), F.lit(MISSING_TEXT)),
-        F.coalesce(or_missing(df, "cirurgiao"), F.lit(MISSING_TEXT)),
-        F.coalesce(or_missing(df, "lateralidade"), F.lit(MISSING_TEXT)),
+    numbered = df.where(F.col(key).isNotNull()).withColumn("_ordem", F.row_number().over(W.partitionBy(key).orderBy("registro_id")))
+    item = F.format_string(
+        SHEET_ITEM,
+        F.col("_ordem"),
+        shown(df, "tipo_procedimento"),
+        shown_day(df, "data_inicio"),
+        shown(df, "lateralidade"),
+        shown(df, "duracao_minutos"),
+        shown(df, "cirurgiao"),
+        shown_day(df, "data_atendimento"),
+        shown_day(df, "data_alta"),
     )
-    numbered = df.where(F.col(key).isNotNull()).withColumn("ordem", F.row_number().over(W.partitionBy(key).orderBy("registro_id")))
-    lines = F.array_sort(F.collect_list(F.struct("ordem", line.alias("line"))))
-    first = F.min_by(F.struct(or_missing(df, "nome").alias("nome"), or_missing(df, "prontuario").alias("prontuario")), "registro_id")
-    grouped = numbered.groupBy(key).agg(lines.alias("_lines"), first.alias("_h"), F.count("*").alias("_n"))
-    body = F.array_join(F.transform("_lines", lambda x: x["line"]), "")
-    named = F.coalesce(F.col("_h.nome"), F.lit(MISSING_TEXT))
-    chart = F.coalesce(F.col("_h.prontuario"), F.lit(MISSING_TEXT))
-    shown = F.when(F.col(key) == "", MISSING_TEXT).otherwise(F.col(key))
-    head = F.format_string("%s\nCPF %s - %s\n%d\n", named, shown, chart, F.col("_n"))
+    fields = {c: shown(df, c) for c in ("nome", "prontuario", "idade", "sexo", "municipio")} | {"nascimento": shown_day(df, "dt_nascimento")}
+    first = F.min_by(F.struct(*(c.alias(name) for name, c in fields.items())), "registro_id")
+    grouped = numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_ordem", item.alias("item")))).alias("_items"), first.alias("_h"), F.count("*").alias("_n"))
+    body = F.array_join(F.transform("_items", lambda x: x["item"]), "")
+    h = lambda name: F.col(f"_h.{name}")
+    code = (F.when(F.col(key) == "", MISSING_TEXT).otherwise(F.col(key))) if key == "cpf" else F.col(key)
+    head = F.format_string(SHEET_HEAD, h("nome"), h("prontuario"), code, h("nascimento"), h("idade"), h("sexo"), h("municipio"), F.col("_n"))
     return grouped.select(key, F.concat(head, body).alias("texto"))
 
 
@@ -76,7 +87,7 @@ def repeated(df: DataFrame, more_than: int = 1) -> DataFrame:
     kept = df.where(F.col("cpf").isNotNull() & F.col("nome").isNotNull())
     grouped = kept.groupBy("cpf", "nome").agg(
         F.count("prontuario").alias("Total"),
-        F.array_join(F.array_sort(F.collect_set("tipo_procedimento")), " | ").alias("Procedimentos"),
+        F.array_join(F.array_sort(F.collect_set("tipo_procedimento")), " | ").alias("Tipos"),
         F.min_by("prontuario", F.when(F.col("prontuario").isNotNull(), F.col("registro_id"))).alias("Prontuario"),
     )
-    return grouped.where(F.col("Total") > more_than).orderBy(F.desc("Total"), "cpf", "nome")
+    return grouped.where(F.col("Total") > more_than).orderBy(F.desc("Total"), "cpf", "nome").withColumnsRenamed(REPEATED_COLUMNS)

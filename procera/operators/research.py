@@ -17,8 +17,10 @@ def editable(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.lower() in allowed]
 
 
-def merge_edits(df: DataFrame, edits: DataFrame, key: str = "_row", check: bool = True) -> DataFrame:
-    """Apply `(key, col, val)` edits. An edit to NULL empties the cell; the last of repeated edits by value order wins.
+def merge_edits(df: DataFrame, edits: DataFrame, key: str = "_row", check: bool = True, order: str = "_seq") -> DataFrame:
+    """Apply `(key, col, val)` edits. An edit to NULL empties the cell; of repeated edits of a cell the last by the column `order` wins.
+
+    Edits without such a column have no last one: a cell that is edited twice is refused, or with `check` off takes the greatest text.
 
     Values arrive as text and are cast to the column's own type; text that does not fit becomes NULL.
     """
@@ -29,7 +31,11 @@ def merge_edits(df: DataFrame, edits: DataFrame, key: str = "_row", check: bool
         refused = sorted(str(c) for c in asked - set(by_name))
         if refused:
             raise EditError(f"not editable: {', '.join(refused)}")
-    cells = [F.max(F.when(F.lower("col") == low, F.struct(F.col("val").alias("val")))).alias(f"_e_{low}") for low in by_name]
+    ordered = order in edits.columns
+    if check and not ordered and not edits.groupBy(key, F.lower("col")).count().where("count > 1").isEmpty():
+        raise EditError(f"a cell is edited twice and the edits have no column {order}")
+    own = lambda low: F.when(F.lower("col") == low, F.struct(*([F.col(order)] if ordered else []), F.col("val").alias("val")))
+    cells = [F.max(own(low)).alias(f"_e_{low}") for low in by_name]
     if not cells:
         return df
     wide = edits.groupBy(key).agg(*cells)
@@ -43,7 +49,8 @@ def save_over(df: DataFrame, path: str) -> None:
     """Replace the table at `path`, which `df` may itself read.
 
     The rows go to a sibling folder first and the folders are swapped after the
-    write succeeded, so a failed save leaves the old table.
+    write succeeded. A failed save leaves the old table, or says where it is; readers
+    find no table for the moment between the two moves.
     """
     spark: SparkSession = df.sparkSession
     if not df.columns:
@@ -53,9 +60,13 @@ def save_over(df: DataFrame, path: str) -> None:
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     staged, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{x}") for x in ("staged", "old"))
     df.write.mode("overwrite").parquet(staged.toString())
-    fs.delete(old, True)
     if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(staged, target)
+        fs.delete(old, True)
+        if not fs.rename(target, old):
+            raise OSError(f"cannot move {target} away; it is as it was")
+    if not fs.rename(staged, target):
+        if fs.exists(old) and not fs.rename(old, target):
+            raise OSError(f"cannot move {staged} to {target}; the old rows are in {old}")
+        raise OSError(f"cannot move {staged} to {target}; the old rows are back")
     fs.delete(old, True)
     spark.catalog.refreshByPath(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from procera.functions.scalars import truncated_header, whole
 from procera.operators.overview import first_seen
+from procera.schema import OTHER_TYPE, RANKING_COLUMNS, has
 
 
 def measures() -> list[F.Column]:
@@ -25,19 +26,33 @@ def ranking(df: DataFrame) -> DataFrame:
     return kept.groupBy("cirurgiao").agg(*measures()).orderBy(F.desc("Total"), "cirurgiao")
 
 
-def ranking_pivot(df: DataFrame, values: list[str] | None = None, truncate: bool = False) -> DataFrame:
-    """Ranking plus one chart-number count per procedure type.
+def cells(df: DataFrame, values: list[str | None] | None = None, truncate: bool = False) -> dict[str, F.Column]:
+    """One chart-number count per procedure type, by header.
 
-    A missing surgeon/type pair is NULL; a present pair without chart numbers
-    is 0. Columns follow first appearance unless `values` are given. One
-    conditional aggregation replaces a pass and a join per type.
+    A missing surgeon/type pair is NULL; a present pair without chart numbers is 0; a type that is NULL or empty equals no
+    record's type, so its cells are NULL. Columns follow first appearance unless `values` are given.
     """
-    values = [v for v in first_seen(df, "tipo_procedimento") if v is not None] if values is None else values
+    values = first_seen(df, "tipo_procedimento") if values is None else values
     taken: set[str] = set()
-    names = [truncated_header(v, taken) if truncate else v for v in values]
-    cells = []
-    for value, name in zip(values, names, strict=True):
-        here = F.col("tipo_procedimento") == value
-        cells.append(F.when(F.count(F.when(here, 1)) > 0, F.count(F.when(here, F.col("prontuario")))).alias(name))
+    out = {}
+    for value in values:
+        here = F.col("tipo_procedimento") == F.lit(value)
+        count = F.when(F.count(F.when(here, 1)) > 0, F.count(F.when(here, F.col("prontuario"))))
+        out[truncated_header(value, taken) if truncate else value or OTHER_TYPE] = count if value else F.lit(None).cast("bigint")
+    return out
+
+
+def ranking_pivot(df: DataFrame, values: list[str] | None = None, truncate: bool = False) -> DataFrame:
+    """Ranking plus a count per procedure type: one conditional aggregation in place of a pass and a join per type."""
+    by_type = [c.alias(name) for name, c in cells(df, values, truncate).items()]
+    kept = df.where(F.col("cirurgiao").isNotNull())
+    return kept.groupBy("cirurgiao").agg(F.count("prontuario").alias("Total"), *by_type).orderBy(F.desc("Total"), "cirurgiao")
+
+
+def ranking_grid(df: DataFrame) -> DataFrame:
+    """The ranking as shown: measures, dates as text, a column per type (headers cut), display names."""
+    by_type = cells(df, truncate=True) if has(df, "tipo_procedimento") else {}
     kept = df.where(F.col("cirurgiao").isNotNull())
-    return kept.groupBy("cirurgiao").agg(F.count("prontuario").alias("Total"), *cells).orderBy(F.desc("Total"), "cirurgiao")
+    ranked = kept.groupBy("cirurgiao").agg(*measures(), *(c.alias(f"_t_{name}") for name, c in by_type.items())).orderBy(F.desc("Total"), "cirurgiao")
+    day = lambda c: F.date_format(c, "dd/MM/yyyy") if c in ("Primeiro", "Ultimo") else F.col(c)
+    return ranked.select(*(day(c).alias(n) for c, n in RANKING_COLUMNS.items()), *(F.col(f"`_t_{name}`").alias(name) for name in by_type))

@@ -21,7 +21,18 @@ ORACLES: dict[str, str] = {}
 PERIOD = (dt.date(1995, 1, 1), dt.date(1996, 6, 30))
 TYPES = ("1-URGENT", "2-HIGH")
 ALL_TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-SELECTED = Filters(tipo_procedimento=TYPES, municipio=("BRAZIL", "CHINA", "FRANCE"), lateralidade=("O", "F"), tipo_atendimento=("BUILDING", "MACHINERY"))
+#: A selection of each filter, all of them present in the test tables.
+SELECTED = {
+    "tipo_procedimento": TYPES,
+    "cirurgiao": ("small ring ECONOMY", "red widget ECONOMY", "blue bolt SMALL"),
+    "municipio": tuple(f"NATION_{i}" for i in range(15)),
+    "lateralidade": ("O", "F"),
+    "tipo_atendimento": ("BUILDING", "MACHINERY"),
+}
+
+
+def one_of(column: str) -> str:
+    return f"{column} IN ({', '.join(repr(v) for v in SELECTED[column])})"
 
 
 def register(name: str, oracle: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable]:
@@ -36,10 +47,15 @@ def register(name: str, oracle: str) -> Callable[[Callable[[DataFrame], DataFram
 register("scan", "SELECT * FROM registros")(lambda df: df)
 register(
     "record_view",
-    """SELECT tipo_procedimento AS "Procedimento", prontuario AS "Prontuário", nome AS "Nome", cpf AS "CPF", municipio AS "Município",
-    tipo_atendimento AS "Atendimento", data_inicio AS "Início", duracao_minutos AS "Duração (min)", lateralidade AS "Lateralidade",
-    cirurgiao AS "Cirurgião" FROM registros""",
+    """SELECT tipo_procedimento AS "Tipo", prontuario AS "Prontuário", nome AS "Nome", cpf AS "CPF", dt_nascimento AS "Dt Nasc.", idade AS "Idade", sexo AS "Sexo",
+    municipio AS "Município", tipo_atendimento AS "Atendimento", data_inicio AS "Início", data_fim AS "Fim", duracao_minutos AS "Dur.(min)", lateralidade AS "Lado",
+    cirurgiao AS "Cirurgião", anestesista AS "Anestesista", centro_sala AS "Sala" FROM registros""",
 )(overview.record_view)
+register(
+    "record_export",
+    """SELECT tipo_procedimento, prontuario, nome, cpf, dt_nascimento, idade, sexo, municipio, tipo_atendimento, data_inicio, data_fim, duracao_minutos, lateralidade,
+    cirurgiao, anestesista, centro_sala FROM registros""",
+)(lambda df: overview.record_view(df, display=False))
 
 
 @register(
@@ -54,24 +70,19 @@ def parse_dates(df: DataFrame) -> DataFrame:
     return normalise_dates(df.select("registro_id", text.alias("data_inicio")))
 
 
-register("isin", "SELECT * FROM registros WHERE tipo_procedimento IN ('1-URGENT', '2-HIGH') AND municipio IN ('BRAZIL', 'CHINA', 'FRANCE') AND lateralidade IN ('O', 'F') AND tipo_atendimento IN ('BUILDING', 'MACHINERY')")(SELECTED.apply)
+for _c in SELECTED:
+    register(f"isin_{_c}", f"SELECT * FROM registros WHERE {one_of(_c)}")(Filters(**{_c: SELECTED[_c]}).apply)
+register("isin", "SELECT * FROM registros WHERE " + " AND ".join(map(one_of, SELECTED)))(Filters(**SELECTED).apply)
 register("period", "SELECT * FROM registros WHERE data_inicio >= TIMESTAMP '1995-01-01' AND data_inicio <= TIMESTAMP '1996-06-30'")(Filters(period=PERIOD).apply)
 register("period_end_of_day", "SELECT * FROM registros WHERE data_inicio >= TIMESTAMP '1995-01-01' AND data_inicio < TIMESTAMP '1996-07-01'")(Filters(period=PERIOD, end_of_day=True).apply)
 
 
-@register(
-    "filters_all",
-    """SELECT * FROM registros WHERE tipo_procedimento IN ('1-URGENT', '2-HIGH') AND municipio IN ('BRAZIL', 'CHINA', 'FRANCE', 'PERU') AND lateralidade IN ('O', 'F')
-    AND tipo_atendimento IN ('BUILDING', 'MACHINERY') AND cirurgiao LIKE '% %' AND data_inicio >= TIMESTAMP '1995-01-01' AND data_inicio <= TIMESTAMP '1997-06-30'""",
+register("filters_all", "SELECT * FROM registros WHERE " + " AND ".join(map(one_of, SELECTED)) + " AND data_inicio >= TIMESTAMP '1995-01-01' AND data_inicio <= TIMESTAMP '2000-06-30'")(
+    Filters(**SELECTED, period=(dt.date(1995, 1, 1), dt.date(2000, 6, 30))).apply
 )
-def filters_all(df: DataFrame) -> DataFrame:
-    chosen = Filters(tipo_procedimento=TYPES, municipio=("BRAZIL", "CHINA", "FRANCE", "PERU"), lateralidade=("O", "F"), tipo_atendimento=("BUILDING", "MACHINERY"), period=(dt.date(1995, 1, 1), dt.date(1997, 6, 30)))
-    return chosen.apply(df).where(F.col("cirurgiao").like("% %"))
-
-
 _RE_ANY = " OR ".join(f"regexp_matches(upper(coalesce({c}, 'None')), '{{0}}')" for c in ("nome", "prontuario", "cpf", "cirurgiao", "municipio"))
 _RE_PATIENT = " OR ".join(f"regexp_matches(upper(coalesce({c}, 'None')), '{{0}}')" for c in ("nome", "prontuario", "cpf"))
-register("search", f"SELECT * FROM registros WHERE {_RE_ANY.format('0012|BRA.IL')}")(lambda df: search(df, "0012|bra.il"))
+register("search", f"SELECT * FROM registros WHERE {_RE_ANY.format('0012|NATION.1[0-2]$')}")(lambda df: search(df, "0012|nation.1[0-2]$"))
 register("search_literal", "SELECT * FROM registros WHERE " + " OR ".join(f"contains(upper({c}), '0012')" for c in ("nome", "prontuario", "cpf", "cirurgiao", "municipio")))(lambda df: search(df, "0012", literal=True))
 register("patient_search", f"SELECT * FROM registros WHERE {_RE_PATIENT.format('NONE|#0000001')}")(lambda df: patient_search(df, "none|#0000001"))
 register("distinct", "SELECT DISTINCT cirurgiao FROM registros WHERE cirurgiao IS NOT NULL")(lambda df: overview.domain(df, "cirurgiao"))
@@ -82,16 +93,16 @@ register(
     "kpi",
     "SELECT count(*) AS total, count(DISTINCT cpf) AS pacientes, count(DISTINCT cirurgiao) AS cirurgioes, CAST(trunc(coalesce(avg(duracao_minutos), 0)) AS INTEGER) AS duracao_media FROM registros",
 )(overview.kpi)
-for _c in ("tipo_procedimento", "lateralidade", "tipo_atendimento"):
-    register(f"vc_{_c}", f"SELECT {_c}, count(*) AS Total FROM registros WHERE {_c} IS NOT NULL GROUP BY 1")(lambda df, c=_c: overview.value_counts(df, c))
+for _c, _label in (("tipo_procedimento", "Tipo"), ("lateralidade", "Lado"), ("tipo_atendimento", "Tipo")):
+    register(f"vc_{_c}", f"SELECT {_c} AS \"{_label}\", count(*) AS Total FROM registros WHERE {_c} IS NOT NULL GROUP BY 1")(lambda df, c=_c: overview.value_counts(df, c))
 register(
     "top10",
     """, t AS (SELECT cirurgiao, count(*) AS Total FROM registros WHERE cirurgiao IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
-    SELECT cirurgiao, Total, array_to_string(list_slice(regexp_split_to_array(trim(cirurgiao), '\\s+'), 1, 2), ' ') AS nome_curto FROM t""",
+    SELECT cirurgiao AS "Cirurgião", Total, array_to_string(list_slice(regexp_split_to_array(trim(cirurgiao), '\\s+'), 1, 2), ' ') AS "Nome" FROM t""",
 )(overview.top_surgeons)
-register("top10_municipio", "SELECT municipio, count(*) AS Total FROM registros WHERE municipio IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda df: overview.top(df, "municipio"))
-for _n, _c in (("share_lateralidade", "lateralidade"), ("share_atendimento", "tipo_atendimento")):
-    register(_n, f"SELECT {_c}, count(*) AS Total, round(count(*) * 100.0 / sum(count(*)) OVER (), 4)::DOUBLE AS pct FROM registros WHERE {_c} IS NOT NULL GROUP BY 1")(lambda df, c=_c: overview.share(df, c))
+register("top10_municipio", 'SELECT municipio AS "Município", count(*) AS Total FROM registros WHERE municipio IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10')(lambda df: overview.top(df, "municipio"))
+for _n, _c, _label in (("share_lateralidade", "lateralidade", "Lado"), ("share_atendimento", "tipo_atendimento", "Tipo")):
+    register(_n, f"SELECT {_c} AS \"{_label}\", count(*) AS Total, round(count(*) * 100.0 / sum(count(*)) OVER (), 4)::DOUBLE AS pct FROM registros WHERE {_c} IS NOT NULL GROUP BY 1")(lambda df, c=_c: overview.share(df, c))
 register("mensal", "SELECT strftime(data_inicio, '%Y-%m') AS mes, tipo_procedimento, count(*) AS Total FROM registros WHERE data_inicio IS NOT NULL AND tipo_procedimento IS NOT NULL GROUP BY 1, 2")(overview.monthly)
 
 
@@ -115,11 +126,18 @@ register(
     "SELECT cirurgiao, count(prontuario) AS Total, "
     + ", ".join(f"""CASE WHEN count(*) FILTER (WHERE tipo_procedimento = '{v}') > 0 THEN count(prontuario) FILTER (WHERE tipo_procedimento = '{v}') END AS "{v}\"""" for v in ALL_TYPES)
     + " FROM registros WHERE cirurgiao IS NOT NULL GROUP BY 1",
-)(surgeons.ranking_pivot)
+)(lambda df: surgeons.ranking_pivot(df, ALL_TYPES))
+register(
+    "ranking_grid",
+    """SELECT cirurgiao AS "Cirurgião", count(prontuario) AS "Total", count(DISTINCT cpf) AS "Pacientes únicos", CAST(trunc(coalesce(avg(duracao_minutos), 0)) AS INTEGER) AS "Duração média (min)",
+    strftime(min(data_inicio), '%d/%m/%Y') AS "Primeiro proc.", strftime(max(data_inicio), '%d/%m/%Y') AS "Último proc.", NULL::BIGINT AS "Outro", """
+    + ", ".join(f"""CASE WHEN count(*) FILTER (WHERE tipo_procedimento = '{v}') > 0 THEN count(prontuario) FILTER (WHERE tipo_procedimento = '{v}') END AS "{v[:12]}\"""" for v in ALL_TYPES)
+    + " FROM registros WHERE cirurgiao IS NOT NULL GROUP BY 1",
+)(surgeons.ranking_grid)
 register(
     "multi",
-    """SELECT cpf, nome, count(prontuario) AS Total, coalesce(string_agg(DISTINCT tipo_procedimento, ' | ' ORDER BY tipo_procedimento), '') AS Procedimentos,
-    arg_min(prontuario, registro_id) FILTER (WHERE prontuario IS NOT NULL) AS Prontuario
+    """SELECT cpf AS "CPF", nome AS "Nome", count(prontuario) AS "Procedimentos", coalesce(string_agg(DISTINCT tipo_procedimento, ' | ' ORDER BY tipo_procedimento), '') AS "Tipos realizados",
+    arg_min(prontuario, registro_id) FILTER (WHERE prontuario IS NOT NULL) AS "Prontuário"
     FROM registros WHERE cpf IS NOT NULL AND nome IS NOT NULL GROUP BY 1, 2 HAVING count(prontuario) > 1""",
 )(patients.repeated)
 register(
@@ -130,14 +148,20 @@ register(
 register(
     "patient_header",
     """, r AS (SELECT *, row_number() OVER (PARTITION BY cpf ORDER BY registro_id) AS k, count(*) OVER (PARTITION BY cpf) AS total FROM registros WHERE cpf IS NOT NULL)
-    SELECT cpf, nome, prontuario, municipio, tipo_atendimento, total FROM r WHERE k = 1""",
+    SELECT cpf, nome, prontuario, municipio, tipo_atendimento, sexo, idade, total FROM r WHERE k = 1""",
 )(patients.header)
 register(
     "ficha_text",
     """, r AS (SELECT *, row_number() OVER (PARTITION BY cpf ORDER BY registro_id) AS k FROM registros WHERE cpf IS NOT NULL),
-    l AS (SELECT *, '[' || k || '] ' || coalesce(strftime(data_inicio, '%d/%m/%Y'), '—') || ' - ' || coalesce(tipo_procedimento, '—') || ' - ' || coalesce(cirurgiao, '—') || ' - ' || coalesce(lateralidade, '—') || chr(10) AS line FROM r)
-    SELECT cpf, max(nome) FILTER (WHERE k = 1) || chr(10) || 'CPF ' || cpf || ' - ' || coalesce(max(prontuario) FILTER (WHERE k = 1), '—') || chr(10) || count(*) || chr(10) || string_agg(line, '' ORDER BY k) AS texto
-    FROM l GROUP BY cpf""",
+    l AS (SELECT *, chr(10) || k || '. ' || coalesce(tipo_procedimento, '—') || chr(10)
+      || '   Data: ' || coalesce(strftime(data_inicio, '%d/%m/%Y'), '—') || '  Lado: ' || coalesce(lateralidade, '—') || '  Duração: ' || coalesce(duracao_minutos::VARCHAR, '—') || ' min' || chr(10)
+      || '   Cirurgião: ' || coalesce(cirurgiao, '—') || chr(10)
+      || '   Internação: ' || coalesce(strftime(data_atendimento, '%d/%m/%Y'), '—') || '   Alta: ' || coalesce(strftime(data_alta, '%d/%m/%Y'), '—') || chr(10) AS item FROM r),
+    h AS (SELECT cpf, 'Nome      : ' || coalesce(nome, '—') || chr(10) || 'Prontuário: ' || coalesce(prontuario, '—') || '   CPF: ' || cpf || chr(10)
+      || 'Nasc.     : ' || coalesce(strftime(dt_nascimento, '%d/%m/%Y'), '—') || '   Idade: ' || coalesce(idade::VARCHAR, '—') || '   Sexo: ' || coalesce(sexo, '—') || chr(10)
+      || 'Município : ' || coalesce(municipio, '—') || chr(10) || repeat('─', 52) || chr(10) AS head FROM r WHERE k = 1)
+    SELECT cpf, max(head) || 'PROCEDIMENTOS REALIZADOS (' || count(*) || ')' || chr(10) || repeat('─', 52) || chr(10) || string_agg(item, '' ORDER BY k) AS texto
+    FROM l JOIN h USING (cpf) GROUP BY cpf""",
 )(patients.sheet)
 
 

@@ -8,23 +8,51 @@ from pyspark.sql import types as T
 # Column names, display names and placeholders that results carry.
 DATE_COLUMNS = ("dt_nascimento", "data_inicio", "data_fim", "data_atendimento", "data_alta")
 RECORD_COLUMNS = {
-    "tipo_procedimento": "Procedimento",
+    "tipo_procedimento": "Tipo",
     "prontuario": "Prontuário",
     "nome": "Nome",
     "cpf": "CPF",
+    "dt_nascimento": "Dt Nasc.",
     "idade": "Idade",
     "sexo": "Sexo",
     "municipio": "Município",
     "tipo_atendimento": "Atendimento",
     "data_inicio": "Início",
     "data_fim": "Fim",
-    "duracao_minutos": "Duração (min)",
-    "lateralidade": "Lateralidade",
+    "duracao_minutos": "Dur.(min)",
+    "lateralidade": "Lado",
     "cirurgiao": "Cirurgião",
     "anestesista": "Anestesista",
     "centro_sala": "Sala",
-    "data_alta": "Alta",
 }
+RANKING_COLUMNS = {
+    "cirurgiao": "Cirurgião",
+    "Total": "Total",
+    "Pacientes": "Pacientes únicos",
+    "Duracao_Media": "Duração média (min)",
+    "Primeiro": "Primeiro proc.",
+    "Ultimo": "Último proc.",
+}
+REPEATED_COLUMNS = {"cpf": "CPF", "nome": "Nome", "Total": "Procedimentos", "Tipos": "Tipos realizados", "Prontuario": "Prontuário"}
+COUNT_LABELS = {"tipo_procedimento": "Tipo", "lateralidade": "Lado", "cirurgiao": "Cirurgião", "tipo_atendimento": "Tipo", "municipio": "Município"}
+CHIP_LABELS = {"tipo_procedimento": "Tipo", "cirurgiao": "Cirurgião", "municipio": "Município", "lateralidade": "Lado", "tipo_atendimento": "Atendimento"}
+OTHER_TYPE = "Outro"
+SHEET_RULE = "─" * 52
+SHEET_HEAD = (
+    "Nome      : %s\n"
+    "Prontuário: %s   CPF: %s\n"
+    "Nasc.     : %s   Idade: %s   Sexo: %s\n"
+    "Município : %s\n"
+    f"{SHEET_RULE}\n"
+    "PROCEDIMENTOS REALIZADOS (%d)\n"
+    f"{SHEET_RULE}\n"
+)
+SHEET_ITEM = (
+    "\n%d. %s\n"
+    "   Data: %s  Lado: %s  Duração: %s min\n"
+    "   Cirurgião: %s\n"
+    "   Internação: %s   Alta: %s\n"
+)
 EDITABLE = ("IMC", "Tab", "ID")
 MISSING_TEXT = "—"
 NO_MONTH = "NaT"

@@ -55,7 +55,7 @@ def test_period_ends_at_midnight_unless_asked(facts):
     assert Filters(period=january[:1]).apply(facts).count() == 5
     assert Filters.default(facts).period == (dt.date(2024, 1, 31), dt.date(2024, 2, 2))
     assert Filters(period=january, cirurgiao=("W",)).active() == 1
-    assert Filters(cirurgiao=("W", "V")).chips() == ["cirurgiao: W", "cirurgiao: V"]
+    assert Filters(cirurgiao=("W", "V")).chips() == ["Cirurgião: W", "Cirurgião: V"]
 
 
 def test_search(facts):
@@ -93,8 +93,32 @@ def test_patients(facts):
     assert sorted(set(column(patients.history(facts), "cpf"))) == ["1", "2"]
     assert column(patients.rows_of(facts, "1"), "registro_id") == [1, 2]
     assert [r.nome for r in patients.header(facts).orderBy("cpf").collect()] == ["Ana", "Bob"]
+    assert repeated.columns == ["CPF", "Nome", "Procedimentos", "Tipos realizados", "Prontuário"]
     text = patients.sheet(facts).where("cpf = '2'").first().texto
-    assert text == "Bob\nCPF 2 - 11\n2\n[1] — - ANGIOPLASTIA MMII - X Y Z - —\n[2] 02/02/2024 - OTHER - W - —\n"
+    rule = "─" * 52
+    assert text == (
+        f"Nome      : Bob\nProntuário: 11   CPF: 2\nNasc.     : —   Idade: —   Sexo: —\nMunicípio : —\n{rule}\nPROCEDIMENTOS REALIZADOS (2)\n{rule}\n"
+        "\n1. ANGIOPLASTIA MMII\n   Data: —  Lado: —  Duração: 41 min\n   Cirurgião: X Y Z\n   Internação: —   Alta: —\n"
+        "\n2. OTHER\n   Data: 02/02/2024  Lado: —  Duração: 43 min\n   Cirurgião: W\n   Internação: —   Alta: —\n"
+    )
+
+
+def test_record_grid_shows_all_columns_in_order(spark):
+    full = registros(spark, SF)
+    assert overview.record_view(full).columns == ["Tipo", "Prontuário", "Nome", "CPF", "Dt Nasc.", "Idade", "Sexo", "Município", "Atendimento", "Início", "Fim", "Dur.(min)", "Lado", "Cirurgião", "Anestesista", "Sala"]
+    assert surgeons.ranking_grid(full).columns[:6] == ["Cirurgião", "Total", "Pacientes únicos", "Duração média (min)", "Primeiro proc.", "Último proc."]
+
+
+def test_orders(facts):
+    assert column(surgeons.ranking(facts), "cirurgiao") == ["X Y Z", "W"]
+    assert overview.first_seen(facts, "tipo_procedimento") == ["ANGIOPLASTIA MMII", "ANGIOPLASTIA CAROTIDA", None, "OTHER"]
+    assert column(overview.domain(facts, "cirurgiao"), "cirurgiao") == ["W", "X Y Z"]
+
+
+def test_too_many_columns_are_refused(facts, monkeypatch):
+    monkeypatch.setattr(overview, "MOST_VALUES", 2)
+    with pytest.raises(ValueError):
+        surgeons.ranking_pivot(facts)
 
 
 @pytest.mark.parametrize(("mean", "whole"), [(1.9, 1), (-1.9, -1), (None, 0)])
@@ -130,6 +154,11 @@ def test_edits(spark):
     sheet = spark.createDataFrame([(0, "a", 1, "n"), (1, "b", 2, "m")], "_row long, IMC string, tab int, nome string")
     edits = spark.createDataFrame([(0, "IMC", None), (1, "Tab", "7"), (0, "tab", "x")], "_row long, col string, val string")
     assert sorted(map(tuple, research.merge_edits(sheet, edits).collect())) == [(0, None, None, "n"), (1, "b", 7, "m")]
+    twice = [(0, "IMC", "10", 1), (0, "IMC", "9", 2), (1, "imc", "5", 9), (1, "IMC", None, 10)]
+    ordered = spark.createDataFrame(twice, "_row long, col string, val string, _seq long")
+    assert [r.IMC for r in research.merge_edits(sheet, ordered).orderBy("_row").collect()] == ["9", None]
+    with pytest.raises(research.EditError):
+        research.merge_edits(sheet, ordered.drop("_seq"))
     with pytest.raises(research.EditError):
         research.merge_edits(sheet, spark.createDataFrame([(0, "nome", "z")], "_row long, col string, val string"))
 
@@ -216,5 +245,6 @@ def test_rest_stands_without_the_optional_folder():
     from pathlib import Path
 
     root = Path(__file__).resolve().parents[1]
-    code = "import sys; sys.modules['procera.llm'] = None\nimport importlib.util as u\nfind = u.find_spec\nu.find_spec = lambda n, *a: None if n.startswith(('procera.llm', 'corpus_pipeline')) else find(n, *a)\nimport __spark_entry__ as e\nassert 'kpi' in e.queries() and not any(k.startswith('op') for k in e.queries()) and len(e.oracle_sql()) == len(e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=60)
+    code = "import sys; sys.modules['procera.llm'] = None\nimport __spark_entry__ as e\nassert 'kpi' in e.queries() and not any(k.startswith('op') for k in e.queries()) and 'pipeline' not in e.queries() and len(e.oracle_sql()) == len(e.queries())"
+    for broken in ("", "import sys; sys.modules['xxhash'] = None\n"):
+        subprocess.run([sys.executable, "-c", broken + (code if not broken else code.replace("sys.modules['procera.llm'] = None", "pass"))], cwd=root, check=True, timeout=60)
