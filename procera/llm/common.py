@@ -55,9 +55,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that `written` left for this session, once their results are stored."""
-    for item in [x for x in _written if x[0] is spark]:
+def mark() -> int:
+    """A point in time: tables written from here on are those `since` it."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, last: int = 0) -> None:
+    """Delete the tables that `written` left for this session since a `mark`, but for the `last` ones, once their results are stored."""
+    for item in [x for x in _written[since : len(_written) - last] if x[0] is spark]:
         path = spark._jvm.org.apache.hadoop.fs.Path(item[1])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         _written.remove(item)
