@@ -38,6 +38,8 @@ DISTANCE = 2
 MOST = 128
 #: Shingles whose bits are counted at a time.
 SLAB = 1 << 15
+#: Keys with over 1 / HOT of all rows are broadcast; there are fewer than HOT of them.
+HOT = 1000
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -112,16 +114,28 @@ def links(distinct: DataFrame) -> DataFrame:
     return groups.mapInArrow(_links, "u bigint, v bigint")
 
 
+def classed(rows: DataFrame, class_: DataFrame, key: str) -> DataFrame:
+    """`rows` joined with the one row that `class_` has for their key, which also counts them (copies, left out of the result).
+
+    Keys with over 1 / HOT of all rows are broadcast, so that no task gets all rows of one; the others are shuffled.
+    Rows whose key is NULL or not in `class_` give none.
+    """
+    class_ = written(class_, "simhash-classes")
+    crowded = F.col("copies") * HOT > (class_.agg(F.sum("copies")).first()[0] or 0)
+    hot = F.broadcast(class_.where(crowded).drop("copies"))
+    return rows.join(hot, key).union(rows.join(hot, key, "left_anti").join(class_.where(~crowded).drop("copies"), key))
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, fp (signed), component_id."""
     prints = written(fingerprints(docs), "simhash-prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "simhash-nodes")
     star = components(links(nodes.select("fp")))
     member = star.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(star.select(F.col("v"), F.col("v")).distinct())
-    roots = member.join(nodes, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = member.join(roots, "root").select("fp", "component_id", F.lit(True).alias("linked"))
-    class_ = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
-    return prints.join(class_, "fp").select("doc_id", "fp", "component_id")
+    roots = member.join(nodes, "fp").groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("copies"))
+    linked = classed(member, roots, "root").select("fp", "component_id", F.lit(True).alias("linked"))
+    class_ = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"), "copies")
+    return classed(prints, class_, "fp").select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -269,7 +283,7 @@ def similar(docs: DataFrame) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     prints = written(docs.select("doc_id", "text").mapInArrow(_wide, f"doc_id {kind}, wide array<bigint>, n bigint").withColumn("id", F.xxhash64("wide", "n")), "similar-prints")
-    nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.any_value("wide").alias("wide"), F.max("n").alias("n")), "similar-nodes")
+    nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.any_value("wide").alias("wide"), F.max("n").alias("n"), F.count("*").alias("copies")), "similar-nodes")
     per = 64 // STEP
     word = lambda i: F.get("wide", i.cast("int"))
     low = lambda j: F.call_function("shiftrightunsigned", word(F.floor(j / per)), (j % per * STEP).cast("int"))
@@ -292,10 +306,10 @@ def similar(docs: DataFrame) -> DataFrame:
     sized = (least * 100 >= most * RATIO) & ((most >= TINY) | (apart == 0))
     star = components(edges.join(whole("u"), "u").join(whole("v"), "v").where((apart <= FAR) & sized).select("u", "v"))
     member = star.select(F.col("u").alias("id"), F.col("v").alias("root")).union(star.select(F.col("v"), F.col("v")).distinct())
-    roots = member.join(nodes.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = member.join(roots, "root").select("id", "component_id", F.lit(True).alias("linked"))
-    class_ = nodes.select("id", "first").join(linked, "id", "left").select("id", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
-    return prints.select("doc_id", "id").join(class_, "id").select("doc_id", "component_id")
+    roots = member.join(nodes.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("copies"))
+    linked = classed(member, roots, "root").select("id", "component_id", F.lit(True).alias("linked"))
+    class_ = nodes.select("id", "first", "copies").join(linked, "id", "left").select("id", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"), "copies")
+    return classed(prints.select("doc_id", "id"), class_, "id").select("doc_id", "component_id")
 
 
 def one_each(docs: DataFrame, grouped_by: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -55,6 +55,16 @@ def test_edge_rows(spark):
     assert simhash.report(docs.limit(0)).count() == 0
 
 
+def test_crowded_classes_join_like_others(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 7 if i % 2 else 9) for i in range(60)] + [(60, None), (61, 77)], "doc_id long, key long")
+    class_ = spark.createDataFrame([(k, 10 * k if k else None, 30 if k == 9 else 5) for k in (0, 1, 2, 3, 4, 5, 6, 9)], "key long, component_id long, copies long")
+    want = result(rows.join(class_, "key").select("doc_id", "component_id"))
+    for most in (1, 3, 1000):  # all shuffled, one key broadcast, all broadcast
+        monkeypatch.setattr(simhash, "HOT", most)
+        assert result(simhash.classed(rows, class_, "key").select("doc_id", "component_id")) == want
+        assert simhash.classed(rows, class_.limit(0), "key").count() == 0
+
+
 def test_crowded_keys_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MOST", 3)
     fps = [0] + [1 << i for i in range(40)] + [(1 << i) | (1 << 50) for i in range(12)] + [7 << 20, 31 << 30]
