@@ -35,6 +35,8 @@ class Rule:
     least: int = 0
 
 
+#: Trigram queries as literal rows, so that no Python worker is started for them.
+QUERIES = "array<struct<rule:int,part:int,trigram:string,bit:bigint,full:bigint>>"
 #: Matches whose spans are gathered at once.
 BLOCK = 256
 #: Kinds that the base digest covers.
@@ -60,7 +62,7 @@ def searched(rule: Rule) -> str:
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, doc_id) of the given trigrams."""
     low = docs.select("doc_id", F.lower("text").alias("low"))
-    found = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
+    found = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)).cast("array<string>"))
     return low.select("doc_id", F.explode(found).alias("trigram"))
 
 
@@ -71,7 +73,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     for i, rule in enumerate(rules):
         for j, conjunction in enumerate(sorted(map(sorted, trigram_query(rule.regex)))):
             rows += [(i, j, t, 1 << k, (1 << len(conjunction)) - 1) for k, t in enumerate(conjunction)]
-    queries = spark.createDataFrame(rows, "rule int, part int, trigram string, bit long, full long")
+    queries = spark.range(1).select(F.inline(F.array(*(F.struct(*map(F.lit, r)) for r in rows)).cast(QUERIES)))
     hits = index(docs, sorted({r[2] for r in rows})).join(F.broadcast(queries), "trigram")  # one row per rule and trigram
     matched = hits.groupBy("doc_id", "rule", "part", "full").agg(F.bit_or("bit").alias("seen")).where("seen = full")
     return matched.groupBy("doc_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("rule"))).alias("mask"))

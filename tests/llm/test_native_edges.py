@@ -52,6 +52,15 @@ def test_secrets(spark):
     empty = {r.doc_id: r for r in secrets.report(docs).where("doc_id = 8").collect()}[8]
     assert (empty.n_assign, empty.spans, empty.base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
     assert secrets.report(docs.limit(0)).count() == 0
+    hex_only = tuple(r for r in secrets.RULES if r.kind == "hex")  # no rule asks for a trigram
+    got = secrets.scan(docs, hex_only).collect()
+    want = [[(m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", t or "")] for _, t in rows]
+    assert sorted([(s.start, s.end) for s in r.spans] for r in got) == sorted(want) and any(want)
+
+
+def test_secrets_start_no_python_worker(spark):
+    plan = secrets.candidates(spark.sql("SELECT 1L AS doc_id, 'x' AS text"), secrets.RULES)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan
 
 
 def test_trigram_queries_hold_for_every_match():
