@@ -150,15 +150,18 @@ def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """Per leaf and sketch: rows, and of one of them the line, its words and the text's; `lo` and `hi` are equal if one text has it."""
+    """Per leaf and sketch: rows, line, its words and the text's; `lo` and `hi` are equal if one text has it, and then the rest is that text's.
+
+    A text gives a sketch once and its copies give it alike, so least values are those of one row, and need no sort as the least of a struct does.
+    """
     rows = docs.select("k2", "text").mapInArrow(_marks, "kind bigint, value bigint, k2 bigint, line bigint, words bigint, total bigint")
-    one = F.min(F.struct("line", "words", "total")).alias("one")
-    return rows.groupBy("kind", "value").agg(F.count("*").alias("n"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), one)
+    of = (F.min(c).alias(c) for c in ("line", "words", "total"))
+    return rows.groupBy("kind", "value").agg(F.count("*").alias("n"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), *of)
 
 
 def evidence(marked: DataFrame) -> DataFrame:
     """(k2) of the texts whose own lines make OWN percent of their words."""
-    alone = marked.where((F.col("kind") == SKETCH) & (F.col("lo") == F.col("hi"))).select(F.col("lo").alias("k2"), "one.*")
+    alone = marked.where((F.col("kind") == SKETCH) & (F.col("lo") == F.col("hi"))).select(F.col("lo").alias("k2"), "line", "words", "total")
     own = alone.groupBy("k2", "line", "words", "total").agg(F.count("*").alias("n")).where(F.col("n") == len(SALTS))
     return own.groupBy("k2", "total").agg(F.sum("words").alias("own")).where(F.col("own") * 100 >= F.col("total") * OWN).select("k2")
 
