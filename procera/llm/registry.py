@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over whole tables with production parameters."""
+"""Registered queries of the operators, over whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procera.llm import chat, decontamination, html, mixing, quality, secrets, simhash, substring, suffixes, templates
+from procera.llm import centroids, chat, decontamination, html, mixing, neighbours, quality, secrets, simhash, substring, suffixes, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,14 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.report(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings")).drop("needed")
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_array": op2_suffix_array,
@@ -66,6 +74,8 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
     "op10_line_templates": op10_line_templates,
+    "op11_centroids": op11_centroids,
+    "op13_neighbours": op13_neighbours,
 }
 #: Where SQL can express the whole result.
 ORACLES: dict[str, str] = {
@@ -73,4 +83,6 @@ ORACLES: dict[str, str] = {
     "op4_secret_scan": secrets.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op13_neighbours": neighbours.ORACLE,
 }
