@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procera.llm import centroids, chat, decontamination, html, mixing, neighbours, quality, secrets, simhash, substring, suffixes, templates
+from procera.llm import alignment, centroids, chat, decontamination, html, mixing, neighbours, quality, secrets, simhash, substring, suffixes, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings")).drop("needed")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
 def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op9_mixing": op9_mixing,
     "op10_line_templates": op10_line_templates,
     "op11_centroids": op11_centroids,
+    "op12_alignment": op12_alignment,
     "op13_neighbours": op13_neighbours,
 }
 #: Where SQL can express the whole result.
