@@ -47,6 +47,8 @@ PART = 16 << 20
 #: Chunks taken at a time; chunks and characters of them that a worker remembers before it starts afresh.
 BLOCK = 1 << 16
 REMEMBERED, CHARACTERS = 250_000, 8 << 20
+#: Letters and digits next to which a text may be cut; others are taken for marks that are not.
+LETTERS = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f"
 #: Bits of B's id in a key.
 SHIFT = 32
 
@@ -62,20 +64,22 @@ def chunks_of(pieces: list[str]) -> str:
     """Pattern of the stretches between places where no token of either vocabulary goes on.
 
     The byte-level pattern always ends a token between a character that isn't white space and white space, after a single tab or line
-    feed that no white space follows, and between letters or digits and a mark. Pieces are read: a character is
-    used in a rule only if no piece has it there.
+    feed that no white space follows, between letters or digits and a mark, and between a mark and letters or digits (but for the
+    apostrophe, which it joins with some). Pieces are read: a character is used in a rule only if no piece has it there.
     """
     holds = lambda before, c, after: any(re.search(before + re.escape(c) + after, p) for p in pieces)
-    opens = "".join(c for c in " \t\n" if not holds(r"\S", c, ""))
-    shuts = "".join(c for c in "\t\n" if c in opens and not holds("", c, r"\S"))
-    marks = "".join(re.escape(c) for c in string.punctuation if c != "_" and not holds(r"[^\W_]", c, ""))
+    set_ = lambda chars: "".join(map(re.escape, chars))
+    opens = [c for c in " \t\n" if not holds(r"\S", c, "")]
+    shuts = [c for c in "\t\n" if c in opens and not holds("", c, r"\S")]
+    after = set_(c for c in string.punctuation if not holds(f"[{LETTERS}]", c, ""))
+    ahead = set_(c for c in string.punctuation if c != "'" and not holds("", c, f"[{LETTERS}]"))
     if not opens:
         return r"(?s:.+)"
-    mark, letter = r"(?:[^\w\s]|_)", r"[^\W_]"
-    on = f"(?![{marks}])" if marks else ""
-    stretch = f"(?:{mark}+{letter}*|{letter}+)(?:{on}{mark}+{letter}*)*"
-    alone = f"[{shuts}](?!\\s)|" if shuts else ""
-    return rf"{alone}\s*{stretch}(?:(?![{opens}])\s+(?:{stretch})?)*|\s+"
+    mark, letter = rf"[^\s{LETTERS}]", f"[{LETTERS}]"
+    marks = f"{mark}+(?:{f'(?<![{ahead}])' if ahead else ''}{letter}+)?"
+    stretch = f"(?:{letter}+|{marks})(?:{f'(?![{after}])' if after else ''}{marks})*"
+    alone = f"[{set_(shuts)}](?!\\s)|" if shuts else ""
+    return rf"{alone}\s*{stretch}(?:(?![{set_(opens)}])\s+(?:{stretch})?)*|\s+"
 
 
 class Grown:
@@ -119,7 +123,7 @@ class Pair:
         kinds = model_pb2.ModelProto.SentencePiece
         spelt = lambda p: bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace("▁", " ").encode()
         self.b_bytes = [spelt(p) for p in model.pieces]
-        normal = [p.piece.replace("▁", " ") for p in model.pieces if p.type != kinds.BYTE]
+        normal = [p.piece.replace("▁", " ") for p in model.pieces if p.type == kinds.NORMAL]
         # the space in front is put there by hand, so that a chunk inside a text gets none
         plain = model.normalizer_spec.name == "identity" and model.normalizer_spec.add_dummy_prefix and not model.normalizer_spec.remove_extra_whitespaces
         plain = plain and model.trainer_spec.model_type == model.trainer_spec.BPE and not any(p.type == kinds.USER_DEFINED for p in model.pieces)
@@ -323,9 +327,8 @@ def _answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = order[np.searchsorted(name, keys, sorter=order)] if len(keys) else np.zeros(0, np.int64)
             count, top = count[place], top[place].astype(np.int64)
             at = docs.field("at")
-            edges = at.offsets.to_numpy()
-            held = at.values.to_numpy()
-            times = docs.field("times").values.to_numpy()
+            edges = at.offsets.to_numpy() - at.offsets[0].as_py()
+            held, times = at.flatten().to_numpy(), docs.field("times").flatten().to_numpy()
             upto = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[edges])  # noqa: E731, B023
             columns = [docs.field(x) for x in ("doc_id", *SIZES)] + [pa.array(upto(times * top[held])), pa.array(upto(times * count[held])), docs.field("groups_sha256")]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *SIZES, "n_best", "count_sum", "groups_sha256"])
