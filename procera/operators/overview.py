@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from procera.functions.scalars import month, month_or_marker, short_name, whole
-from procera.schema import COUNT_LABELS, RECORD_COLUMNS, has
+from procera.schema import COUNT_LABELS, ORDER, RECORD_COLUMNS, has, ordered
 
 #: Distinct values that become columns.
 MOST_VALUES = 1000
@@ -41,14 +41,20 @@ def domain(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).dropna().distinct().orderBy(column)
 
 
-def first_seen(df: DataFrame, column: str, order: str = "registro_id") -> list:
+def first_seen(df: DataFrame, column: str, order: str = ORDER) -> list:
     """Distinct values in order of first appearance, NULL included. One driver row per value, MOST_VALUES at most."""
-    rows = df.groupBy(column).agg(F.min(order).alias("_at")).orderBy("_at").limit(MOST_VALUES + 1).collect()
+    rows = df.groupBy(column).agg(F.min(ordered(df, order)).alias("_at")).orderBy("_at").limit(MOST_VALUES + 1).collect()
     if len(rows) > MOST_VALUES:
         raise ValueError(f"{column} has more than {MOST_VALUES} different values")
     return [r[0] for r in rows]
 
 
+def appearance(df: DataFrame, column: str = "tipo_procedimento", order: str = ORDER) -> DataFrame:
+    """Distinct values without NULL and their rank of first appearance (from 1); the window runs over one row per value."""
+    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(ordered(df, order)).alias("_at"))
+    return first.select(column, F.row_number().over(W.orderBy("_at")).cast("bigint").alias("ordem"))
+
+
 def counted(df: DataFrame, column: str) -> tuple[DataFrame, str]:
     """Rows per value without NULL, the value under its label."""
     label = COUNT_LABELS.get(column, column)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procera.schema import EDITABLE, SchemaError
+from procera.schema import EDITABLE
+from procera.sources.versions import Version, VersionedTable
 
 
 class EditError(ValueError):
@@ -45,28 +46,10 @@ def merge_edits(df: DataFrame, edits: DataFrame, key: str = "_row", check: bool
     return joined.withColumns(changed).select(df.columns)
 
 
-def save_over(df: DataFrame, path: str) -> None:
-    """Replace the table at `path`, which `df` may itself read.
+def save_over(df: DataFrame, path: str, base: Version | int | None = None) -> Version:
+    """Replace the table at `path`, which `df` may itself read, by its next version.
 
-    The rows go to a sibling folder first and the folders are swapped after the
-    write succeeded. A failed save leaves the old table, or says where it is; readers
-    find no table for the moment between the two moves.
+    Readers through the loaders find the old rows until the new ones are whole, and never none. With `base`, the version
+    that `df` comes from, a save by somebody else in between is refused (`SaveConflict`). Row places that a loader added are not stored.
     """
-    spark: SparkSession = df.sparkSession
-    if not df.columns:
-        raise SchemaError("nothing to save")
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    staged, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{x}") for x in ("staged", "old"))
-    df.write.mode("overwrite").parquet(staged.toString())
-    if fs.exists(target):
-        fs.delete(old, True)
-        if not fs.rename(target, old):
-            raise OSError(f"cannot move {target} away; it is as it was")
-    if not fs.rename(staged, target):
-        if fs.exists(old) and not fs.rename(old, target):
-            raise OSError(f"cannot move {staged} to {target}; the old rows are in {old}")
-        raise OSError(f"cannot move {staged} to {target}; the old rows are back")
-    fs.delete(old, True)
-    spark.catalog.refreshByPath(path)
+    return VersionedTable(df.sparkSession, path).save(df, base)

@@ -14,7 +14,7 @@ def measures() -> list[F.Column]:
     return [
         F.count("prontuario").alias("Total"),
         F.countDistinct("cpf").alias("Pacientes"),
-        whole(F.avg("duracao_minutos")).alias("Duracao_Media"),
+        whole(F.avg("duracao_minutos")).alias("Dur_media"),
         F.min("data_inicio").alias("Primeiro"),
         F.max("data_inicio").alias("Ultimo"),
     ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from procera.functions.scalars import first_token, thousands
 from procera.operators import overview, patients, research, surgeons
 from procera.operators.filters import Filters, patient_search, search
-from procera.sources.adapter import WITH_REGISTROS, registros
+from procera.schema import ORDER
+from procera.sources.adapter import WITH_REGISTROS, registros, registros_by_place
 from procera.sources.loading import normalise_dates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,15 +37,18 @@ def one_of(column: str) -> str:
     return f"{column} IN ({', '.join(repr(v) for v in SELECTED[column])})"
 
 
-def register(name: str, oracle: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable]:
+def register(name: str, oracle: str, rows: Query = registros) -> Callable[[Callable[[DataFrame], DataFrame]], Callable]:
     def add(build: Callable[[DataFrame], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: build(registros(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: build(rows(spark, sf_dir))
         ORACLES[name] = f"{WITH_REGISTROS} {oracle}"
         return build
 
     return add
 
 
+register_by_place = partial(register, rows=registros_by_place)
+
+
 register("scan", "SELECT * FROM registros")(lambda df: df)
 register(
     "record_view",
@@ -118,7 +123,7 @@ def cir_mensal(df: DataFrame) -> DataFrame:
 register("first_token", "SELECT registro_id, regexp_split_to_array(trim(cirurgiao), '\\s+')[1] AS primeiro FROM registros")(lambda df: df.select("registro_id", first_token(F.col("cirurgiao")).alias("primeiro")))
 register(
     "ranking",
-    """SELECT cirurgiao, count(prontuario) AS Total, count(DISTINCT cpf) AS Pacientes, CAST(trunc(coalesce(avg(duracao_minutos), 0)) AS INTEGER) AS Duracao_Media,
+    """SELECT cirurgiao, count(prontuario) AS Total, count(DISTINCT cpf) AS Pacientes, CAST(trunc(coalesce(avg(duracao_minutos), 0)) AS INTEGER) AS Dur_media,
     min(data_inicio) AS Primeiro, max(data_inicio) AS Ultimo FROM registros WHERE cirurgiao IS NOT NULL GROUP BY 1""",
 )(surgeons.ranking)
 register(
@@ -127,42 +132,48 @@ register(
     + ", ".join(f"""CASE WHEN count(*) FILTER (WHERE tipo_procedimento = '{v}') > 0 THEN count(prontuario) FILTER (WHERE tipo_procedimento = '{v}') END AS "{v}\"""" for v in ALL_TYPES)
     + " FROM registros WHERE cirurgiao IS NOT NULL GROUP BY 1",
 )(lambda df: surgeons.ranking_pivot(df, ALL_TYPES))
-register(
-    "ranking_grid",
+_RANKING_GRID = (
     """SELECT cirurgiao AS "Cirurgião", count(prontuario) AS "Total", count(DISTINCT cpf) AS "Pacientes únicos", CAST(trunc(coalesce(avg(duracao_minutos), 0)) AS INTEGER) AS "Duração média (min)",
     strftime(min(data_inicio), '%d/%m/%Y') AS "Primeiro proc.", strftime(max(data_inicio), '%d/%m/%Y') AS "Último proc.", NULL::BIGINT AS "Outro", """
     + ", ".join(f"""CASE WHEN count(*) FILTER (WHERE tipo_procedimento = '{v}') > 0 THEN count(prontuario) FILTER (WHERE tipo_procedimento = '{v}') END AS "{v[:12]}\"""" for v in ALL_TYPES)
-    + " FROM registros WHERE cirurgiao IS NOT NULL GROUP BY 1",
-)(surgeons.ranking_grid)
-register(
-    "multi",
-    """SELECT cpf AS "CPF", nome AS "Nome", count(prontuario) AS "Procedimentos", coalesce(string_agg(DISTINCT tipo_procedimento, ' | ' ORDER BY tipo_procedimento), '') AS "Tipos realizados",
+    + " FROM registros WHERE cirurgiao IS NOT NULL GROUP BY 1"
+)
+register("ranking_grid", _RANKING_GRID)(surgeons.ranking_grid)
+_MULTI = """SELECT cpf AS "CPF", nome AS "Nome", count(prontuario) AS "Procedimentos", coalesce(string_agg(DISTINCT tipo_procedimento, ' | ' ORDER BY tipo_procedimento), '') AS "Tipos realizados",
     arg_min(prontuario, registro_id) FILTER (WHERE prontuario IS NOT NULL) AS "Prontuário"
-    FROM registros WHERE cpf IS NOT NULL AND nome IS NOT NULL GROUP BY 1, 2 HAVING count(prontuario) > 1""",
-)(patients.repeated)
-register(
-    "ficha",
-    """SELECT cpf, registro_id, row_number() OVER (PARTITION BY cpf ORDER BY registro_id) AS ordem, count(*) OVER (PARTITION BY cpf) AS total,
-    tipo_procedimento, coalesce(strftime(data_inicio, '%d/%m/%Y'), '—') AS data FROM registros WHERE cpf IS NOT NULL""",
-)(patients.history)
-register(
-    "patient_header",
-    """, r AS (SELECT *, row_number() OVER (PARTITION BY cpf ORDER BY registro_id) AS k, count(*) OVER (PARTITION BY cpf) AS total FROM registros WHERE cpf IS NOT NULL)
-    SELECT cpf, nome, prontuario, municipio, tipo_atendimento, sexo, idade, total FROM r WHERE k = 1""",
-)(patients.header)
-register(
-    "ficha_text",
-    """, r AS (SELECT *, row_number() OVER (PARTITION BY cpf ORDER BY registro_id) AS k FROM registros WHERE cpf IS NOT NULL),
+    FROM registros WHERE cpf IS NOT NULL AND nome IS NOT NULL GROUP BY 1, 2 HAVING count(prontuario) > 1"""
+_HISTORY = """SELECT cpf, {0}row_number() OVER (PARTITION BY cpf ORDER BY registro_id) AS ordem, count(*) OVER (PARTITION BY cpf) AS total,
+    tipo_procedimento, coalesce(strftime(data_inicio, '%d/%m/%Y'), '—') AS data FROM registros WHERE cpf IS NOT NULL"""
+_HEADER = """, r AS (SELECT *, row_number() OVER (PARTITION BY cpf ORDER BY registro_id) AS k, count(*) OVER (PARTITION BY cpf) AS total FROM registros WHERE cpf IS NOT NULL)
+    SELECT cpf, nome, prontuario, coalesce(strftime(dt_nascimento, '%d/%m/%Y'), '—') AS nascimento, idade, sexo, municipio, total FROM r WHERE k = 1"""
+_ITEMS = """, r AS (SELECT *, row_number() OVER (PARTITION BY cpf ORDER BY registro_id) AS k, count(*) OVER (PARTITION BY cpf) AS n FROM registros WHERE cpf IS NOT NULL),
     l AS (SELECT *, chr(10) || k || '. ' || coalesce(tipo_procedimento, '—') || chr(10)
       || '   Data: ' || coalesce(strftime(data_inicio, '%d/%m/%Y'), '—') || '  Lado: ' || coalesce(lateralidade, '—') || '  Duração: ' || coalesce(duracao_minutos::VARCHAR, '—') || ' min' || chr(10)
       || '   Cirurgião: ' || coalesce(cirurgiao, '—') || chr(10)
-      || '   Internação: ' || coalesce(strftime(data_atendimento, '%d/%m/%Y'), '—') || '   Alta: ' || coalesce(strftime(data_alta, '%d/%m/%Y'), '—') || chr(10) AS item FROM r),
-    h AS (SELECT cpf, 'Nome      : ' || coalesce(nome, '—') || chr(10) || 'Prontuário: ' || coalesce(prontuario, '—') || '   CPF: ' || cpf || chr(10)
+      || '   Internação: ' || coalesce(strftime(data_atendimento, '%d/%m/%Y'), '—') || '   Alta: ' || coalesce(strftime(data_alta, '%d/%m/%Y'), '—') || chr(10) AS item,
+      CASE WHEN k > 1 THEN '' ELSE 'Nome      : ' || coalesce(nome, '—') || chr(10) || 'Prontuário: ' || coalesce(prontuario, '—') || '   CPF: ' || cpf || chr(10)
       || 'Nasc.     : ' || coalesce(strftime(dt_nascimento, '%d/%m/%Y'), '—') || '   Idade: ' || coalesce(idade::VARCHAR, '—') || '   Sexo: ' || coalesce(sexo, '—') || chr(10)
-      || 'Município : ' || coalesce(municipio, '—') || chr(10) || repeat('─', 52) || chr(10) AS head FROM r WHERE k = 1)
-    SELECT cpf, max(head) || 'PROCEDIMENTOS REALIZADOS (' || count(*) || ')' || chr(10) || repeat('─', 52) || chr(10) || string_agg(item, '' ORDER BY k) AS texto
-    FROM l JOIN h USING (cpf) GROUP BY cpf""",
-)(patients.sheet)
+      || 'Município : ' || coalesce(municipio, '—') || chr(10) || repeat('─', 52) || chr(10)
+      || 'PROCEDIMENTOS REALIZADOS (' || n || ')' || chr(10) || repeat('─', 52) || chr(10) END AS head FROM r)"""
+_SHEET = _ITEMS + " SELECT cpf, string_agg(head || item, '' ORDER BY k) AS texto FROM l GROUP BY cpf"
+#: Procedures in a piece of a sheet, few enough that patients of the test tables have several pieces.
+FEW = 4
+register("multi", _MULTI)(patients.repeated)
+register("ficha", _HISTORY.format("registro_id, "))(patients.history)
+register("patient_header", _HEADER)(patients.header)
+register("ficha_text", _SHEET)(patients.sheet)
+register("ficha_pieces", _ITEMS + f" SELECT cpf, (k - 1) // {FEW} AS peca, string_agg(head || item, '' ORDER BY k) AS texto FROM l GROUP BY 1, 2")(lambda df: patients.sheet_pieces(df, FEW))
+# Rows without an identifier: their order is the one of the source.
+register_by_place("ranking_grid_by_place", _RANKING_GRID)(surgeons.ranking_grid)
+register_by_place("multi_by_place", _MULTI)(patients.repeated)
+register_by_place("ficha_by_place", _HISTORY.format(""))(lambda df: patients.history(df).drop(ORDER))
+register_by_place("patient_header_by_place", _HEADER)(patients.header)
+register_by_place("ficha_text_by_place", _SHEET)(patients.sheet)
+register_by_place(
+    "first_seen_by_place",
+    """, t AS (SELECT tipo_procedimento, min(registro_id) AS p FROM registros WHERE tipo_procedimento IS NOT NULL GROUP BY 1)
+    SELECT tipo_procedimento, row_number() OVER (ORDER BY p) AS ordem FROM t""",
+)(overview.appearance)
 
 
 @register(

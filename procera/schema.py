@@ -29,7 +29,7 @@ RANKING_COLUMNS = {
     "cirurgiao": "Cirurgião",
     "Total": "Total",
     "Pacientes": "Pacientes únicos",
-    "Duracao_Media": "Duração média (min)",
+    "Dur_media": "Duração média (min)",
     "Primeiro": "Primeiro proc.",
     "Ultimo": "Último proc.",
 }
@@ -53,6 +53,8 @@ SHEET_ITEM = (
     "   Cirurgião: %s\n"
     "   Internação: %s   Alta: %s\n"
 )
+#: What the loaders add: the place of a row in its source, for records and for the research sheet.
+ORDER, ROW = "registro_id", "_row"
 EDITABLE = ("IMC", "Tab", "ID")
 MISSING_TEXT = "—"
 NO_MONTH = "NaT"
@@ -79,6 +81,13 @@ def has(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
 
+def ordered(df: DataFrame, name: str = ORDER) -> str:
+    """The column that holds the rows' order. The loaders add it; a frame from elsewhere must bring one."""
+    if not has(df, name):
+        raise SchemaError(f"rows have no order: no column {name} (the loaders add it)")
+    return name
+
+
 def checked(df: DataFrame) -> DataFrame:
     """Reject what Spark would resolve ambiguously or print wrongly.
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procera.schema import ORDER
+from procera.sources.loading import with_order
+
 _BODY = """
 SELECT o_orderkey AS registro_id,
  CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE o_orderpriority END AS tipo_procedimento,
@@ -37,8 +40,17 @@ def unless(divisor: int, key: str, value) -> F.Column:
 
 def registros(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fact rows at the grain of `orders`; the dimension joins are left to the optimizer."""
+    return _shaped(spark, sf_dir, F.col("o_orderkey").alias("registro_id"))
+
+
+def registros_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows without an identifier of their own: their order is their place in the source file, as the reader tells it."""
+    return _shaped(spark, sf_dir, F.col("registro_id"))
+
+
+def _shaped(spark: SparkSession, sf_dir: str, place: F.Column) -> DataFrame:
     read = lambda name, *cols: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
-    orders = read("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    orders = with_order(spark.read.parquet(f"{sf_dir}/orders.parquet")).select(ORDER, "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     customer = read("customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = read("nation", "n_nationkey", "n_name")
     part = read("part", "p_partkey", "p_name", "p_type").where("p_partkey < 200")
@@ -51,7 +63,7 @@ def registros(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, person, day = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
     started = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
     return joined.select(
-        F.col("o_orderkey").alias("registro_id"),
+        place,
         unless(53, "o_orderkey", F.col("o_orderpriority")).alias("tipo_procedimento"),
         unless(61, "o_orderkey", (F.col("o_custkey") + 1000000).cast("string")).alias("prontuario"),
         F.col("c_name").alias("nome"),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procera.functions.scalars import parse_date
-from procera.schema import DATE_COLUMNS, FACT, checked, has
+from procera.schema import DATE_COLUMNS, FACT, ORDER, ROW, SchemaError, checked, has
+from procera.sources.versions import VersionedTable
 
 
 def resolve(candidates: Iterable[str]) -> str | None:
@@ -30,27 +31,40 @@ def normalise_dates(df: DataFrame, columns: Iterable[str] = DATE_COLUMNS) -> Dat
     return df.withColumns(parsed) if parsed else df
 
 
-def load_parquet(spark: SparkSession, path: str, schema: T.StructType = FACT) -> DataFrame:
-    """Lazy scan; a missing path gives an empty frame of `schema`."""
+def with_order(df: DataFrame, name: str = ORDER) -> DataFrame:
+    """`df`, a scan of files, with its rows' places in the source: file path and row index, from the reader, without a shuffle.
+
+    Places sort as the rows stand: files by path, rows as in the file. A frame that has the column keeps it.
+    """
+    if has(df, name):
+        return df
+    try:
+        return df.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name), "*")
+    except AnalysisException as e:
+        raise SchemaError(f"the source tells no row order; add a column {name}") from e
+
+
+def load_parquet(spark: SparkSession, path: str, schema: T.StructType = FACT, order: str = ORDER) -> DataFrame:
+    """Lazy scan, of the current version where the table has some, with the rows' order; a missing path gives an empty frame of `schema`."""
     try:
-        df = spark.read.parquet(path)
+        df = VersionedTable(spark, path).read()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return empty(spark, schema)
-    return normalise_dates(checked(df))
+    return normalise_dates(with_order(checked(df), order))
 
 
-def load_table(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
-    """Catalog table if present, else an empty frame (the optional research sheet)."""
-    return checked(spark.table(name)) if spark.catalog.tableExists(name) else empty(spark, schema)
+def load_table(spark: SparkSession, name: str, schema: T.StructType, order: str = ROW) -> DataFrame:
+    """Catalog table of Parquet files, with its rows' order, if present, else an empty frame (the optional research sheet)."""
+    return with_order(checked(spark.table(name)), order) if spark.catalog.tableExists(name) else empty(spark, schema)
 
 
-def load_sqlite(spark: SparkSession, path: str | None, table: str, schema: T.StructType = FACT) -> DataFrame:
-    """Table of a SQLite file through the Python data source; missing file or table: empty."""
-    from procera.sources.sqlite import SqliteDataSource, table_names
+def load_sqlite(spark: SparkSession, path: str | None, table: str, schema: T.StructType = FACT, order: str = ORDER) -> DataFrame:
+    """Table or view of a SQLite file through the Python data source, with its rows' order; missing file or relation: empty."""
+    from procera.sources.sqlite import SqliteDataSource, relation_names
 
-    if path is None or not os.path.exists(path) or table not in table_names(path):
+    if path is None or not os.path.exists(path) or table not in relation_names(path):
         return empty(spark, schema)
     spark.dataSource.register(SqliteDataSource)
-    return normalise_dates(checked(spark.read.format("sqlite_table").option("path", path).option("table", table).load()))
+    return normalise_dates(checked(spark.read.format("sqlite_table").options(path=path, table=table, order=order).load()))

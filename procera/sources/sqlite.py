@@ -1,4 +1,8 @@
-"""SQLite as a Python data source: typed schema, rowid-range splits, and writes.
+"""SQLite as a Python data source: typed schema, the rows' order, rowid-range splits, and writes.
+
+Tables with a rowid are read in splits of `rows` rowids; views and tables WITHOUT ROWID
+have none and are read whole, in one split. With the option `order` a column of that name comes first: the
+rowid, or the row's number in the scan. A relation that has such a column keeps its own.
 
 Filters run in Spark: with this Spark, what a Python reader pushed down for one query
 still holds for the next query on the same frame.
@@ -18,9 +22,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 BATCH = 8192
+#: Rowids of a split, and splits at most.
+SPLIT_ROWS, MOST_SPLITS = 200_000, 10_000
 KINDS = (("INT", "bigint", pa.int64()), ("REAL", "double", pa.float64()), ("FLOA", "double", pa.float64()), ("DOUB", "double", pa.float64()))
 
 
+class SourceError(ValueError):
+    """The relation cannot be read as what it declares."""
+
+
 def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
@@ -29,14 +39,25 @@ def connect(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
 
-def table_names(path: str) -> list[str]:
+def names(path: str, *kinds: str) -> list[str]:
     with connect(path) as db:
-        return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
+        return [r[0] for r in db.execute(f"SELECT name FROM sqlite_master WHERE type IN ({', '.join('?' * len(kinds))}) ORDER BY name", kinds)]
+
+
+def table_names(path: str) -> list[str]:
+    return names(path, "table")
+
+
+def relation_names(path: str) -> list[str]:
+    """Tables and views: whatever a SELECT takes."""
+    return names(path, "table", "view")
 
 
 def columns(path: str, table: str) -> list[tuple[str, str, pa.DataType]]:
     with connect(path) as db:
         found = db.execute(f"PRAGMA table_info({quoted(table)})").fetchall()
+    if not found:
+        raise SourceError(f"{path} has no relation {table}")
     out = []
     for _, name, declared, *_ in found:
         kind = next(((s, a) for key, s, a in KINDS if key in (declared or "").upper()), ("string", pa.string()))
@@ -44,40 +65,83 @@ def columns(path: str, table: str) -> list[tuple[str, str, pa.DataType]]:
     return out
 
 
+def rowid(path: str, table: str) -> str | None:
+    """The name under which the relation's rowid can be read; None for views and tables without one."""
+    taken = {name.lower() for name, *_ in columns(path, table)}
+    if table not in table_names(path):
+        return None
+    with connect(path) as db:
+        for name in ("_rowid_", "rowid", "oid"):
+            if name not in taken:
+                try:
+                    db.execute(f"SELECT {name} FROM {quoted(table)} LIMIT 0")
+                except sqlite3.OperationalError:
+                    return None
+                return name
+    return None
+
+
 class Span(InputPartition):
-    def __init__(self, low: int, high: int):
+    """Rowids from low to high (exclusive); the whole relation where there are none."""
+
+    def __init__(self, low: int | None = None, high: int | None = None):
         self.low, self.high = low, high
 
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table = options["path"], options["table"]
-        self.splits = int(options.get("splits", "1"))
+        self.rows = int(options.get("rows", SPLIT_ROWS))
         self.fields = columns(self.path, self.table)
+        self.rowid = rowid(self.path, self.table)
+        self.order = added_order(options, self.fields)
 
     def partitions(self) -> list[InputPartition]:
+        if self.rowid is None:
+            return [Span()]
         with connect(self.path) as db:
-            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
+            low, high = db.execute(f"SELECT min({self.rowid}), max({self.rowid}) FROM {quoted(self.table)}").fetchone()
         if low is None:
             return [Span(0, 0)]
-        step = max(1, -(-(high - low + 1) // self.splits))
+        step = max(self.rows, -(-(high - low + 1) // MOST_SPLITS))
         return [Span(a, a + step) for a in range(low, high + 1, step)]
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(name, kind) for name, _, kind in self.fields])
-        names = ", ".join(quoted(name) for name, *_ in self.fields)
+        fields = [(self.order, "bigint", pa.int64())] * bool(self.order) + self.fields
+        schema = pa.schema([(name, kind) for name, _, kind in fields])
+        asked = [quoted(name) for name, *_ in self.fields]
+        numbered = self.order and self.rowid is None
+        if self.order and self.rowid:
+            asked.insert(0, self.rowid)
+        text, given = f"SELECT {', '.join(asked)} FROM {quoted(self.table)}", []
+        if partition.low is not None:
+            text += f" WHERE {self.rowid} >= ? AND {self.rowid} < ? ORDER BY {self.rowid}"
+            given = [partition.low, partition.high]
         db = connect(self.path)
         try:
-            cursor = db.execute(f"SELECT {names} FROM {quoted(self.table)} WHERE rowid >= ? AND rowid < ? ORDER BY rowid", [partition.low, partition.high])
+            cursor, seen = db.execute(text, given), 0
             while rows := cursor.fetchmany(BATCH):
+                held = list(zip(*rows, strict=True))
+                if numbered:
+                    held.insert(0, tuple(range(seen + 1, seen + 1 + len(rows))))
+                seen += len(rows)
                 arrays = []
-                for (_, kind, arrow), values in zip(self.fields, zip(*rows, strict=True), strict=True):
-                    arrays.append(pa.array([None if v is None else str(v) for v in values] if kind == "string" else values, arrow))
+                for (name, kind, arrow), values in zip(fields, held, strict=True):
+                    try:
+                        arrays.append(pa.array([None if v is None else str(v) for v in values] if kind == "string" else values, arrow))
+                    except (pa.ArrowInvalid, pa.ArrowTypeError) as e:
+                        raise SourceError(f"column {name} of {self.table} is declared {kind} and holds something else: {e}") from e
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
         finally:
             db.close()
 
 
+def added_order(options: dict, fields: list[tuple[str, str, pa.DataType]]) -> str | None:
+    """The order column that the reader adds: the one asked for, unless the relation has it."""
+    name = options.get("order")
+    return name if name and name.lower() not in {f[0].lower() for f in fields} else None
+
+
 class Written(WriterCommitMessage):
     def __init__(self, path: str):
         self.path = path
@@ -139,7 +203,9 @@ class SqliteDataSource(DataSource):
         return "sqlite_table"
 
     def schema(self) -> str:
-        return ", ".join(f"`{name}` {kind}" for name, kind, _ in columns(self.options["path"], self.options["table"]))
+        fields = columns(self.options["path"], self.options["table"])
+        order = added_order(dict(self.options), fields)
+        return ", ".join(f"`{name}` {kind}" for name, kind in [(order, "bigint")] * bool(order) + [f[:2] for f in fields])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return SqliteReader(dict(self.options))
