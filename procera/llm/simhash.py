@@ -155,8 +155,8 @@ FAR = 222
 CROWD = 4096
 #: Group size up to which pairs are compared for many groups at once.
 PAIRS = 24
-#: Least ratio of shingle counts, in percent, and count below which only equal fingerprints link.
-RATIO, TINY = 80, 5
+#: Number of shingles below which only equal fingerprints link.
+TINY = 5
 
 
 def majority(rows: np.ndarray) -> np.ndarray:
@@ -204,9 +204,9 @@ def _wide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array([n for _, n in found], pa.int64())], ["doc_id", "wide", "n"])
 
 
-def apart(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits that differ in the compared words of documents a and b (positions, pairwise)."""
-    return np.bitwise_count(prints[a] ^ prints[b]).sum(1)
+def apart(prints: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+    """Bits that differ between documents a and b (positions, pairwise; one a stands for all)."""
+    return np.bitwise_count(prints[a] ^ prints[b]).sum(-1)
 
 
 def forest(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> list[int]:
@@ -228,55 +228,74 @@ def forest(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> list[int]:
     return kept
 
 
-def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that connect the similar documents of each band value: a spanning forest, in groups of up to PAIRS that of the closest ones."""
-    for b in batches:
-        groups = b.column(0)
-        rows = groups.flatten().flatten()
-        ids = rows[0].to_numpy()
-        prints = np.stack([rows[1 + i].to_numpy() for i in range(COMPARED)], axis=1).view(np.uint64)
-        members = np.diff(groups.offsets.to_numpy())
-        order = np.lexsort((ids, np.repeat(np.arange(len(members)), members)))  # the same links whatever the order of arrival
-        ids, prints = ids[order], prints[order]
-        start = np.cumsum(members) - members
-        few = np.flatnonzero(np.repeat(members <= PAIRS, members))
-        of = np.repeat(np.arange(len(members)), members)[few]
-        us, vs = [], []
-        close: list[list[np.ndarray]] = [[few[:0]], [few[:0]], [few[:0]]]
-        for d in range(1, PAIRS):
-            pair = np.flatnonzero(of[d:] == of[:-d]) if d < len(of) else few[:0]
-            if not len(pair):
-                break
-            x, y = few[pair], few[pair + d]
-            cost = apart(prints, x, y)
-            for column, values in zip(close, (x, y, cost), strict=True):
-                column.append(values[cost <= APART])
-        x, y, cost = map(np.concatenate, close)
-        chosen = forest(x, y, cost)
-        us.append(ids[x[chosen]])
-        vs.append(ids[y[chosen]])
-        for g in np.flatnonzero(members > PAIRS):
-            waiting = np.arange(start[g], start[g] + members[g])
-            while len(waiting) > 1:
-                reached, waiting = [waiting[0]], waiting[1:]
-                while reached and len(waiting):
-                    at = reached.pop()
-                    ok = apart(prints, np.array([at]), waiting) <= APART
-                    us.append(np.full(int(ok.sum()), ids[at]))
-                    vs.append(ids[waiting[ok]])
-                    reached += waiting[ok].tolist()
-                    waiting = waiting[~ok]
-        both = [np.concatenate(x) if x else ids[:0] for x in (us, vs)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], ["u", "v"])
+def near(words: int, limit: int, edges: bool) -> Callable:
+    """Of groups (gid, rows of id, n and `words` words) the edges (u, v) of a spanning forest of pairs at `limit` bits or fewer, or else the members (gid, id) that have such a partner.
+
+    A pair is an edge only if it passes the test itself. Documents of under TINY shingles only pass if all their bits agree.
+    """
+
+    def cost_of(prints: np.ndarray, n: np.ndarray, x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+        cost = apart(prints, x, y)
+        return np.where((cost > 0) & (np.maximum(n[x], n[y]) < TINY), words * 64 + 1, cost)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gids, groups = b.column(0).to_numpy(), b.column(1)
+            rows = groups.flatten().flatten()
+            ids, n = rows[0].to_numpy(), rows[1].to_numpy()
+            prints = np.stack([rows[2 + i].to_numpy() for i in range(words)], axis=1).view(np.uint64)
+            members = np.diff(groups.offsets.to_numpy())
+            of = np.repeat(np.arange(len(members)), members)
+            order = np.lexsort((ids, of))  # the same links whatever the order of arrival
+            ids, n, prints = ids[order], n[order], prints[order]
+            few = np.flatnonzero(members[of] <= PAIRS)
+            us, vs = [few[:0]], [few[:0]]
+            close: list[list[np.ndarray]] = [[few[:0]], [few[:0]], [few[:0]]]
+            for d in range(1, min(PAIRS, len(few))):
+                pair = np.flatnonzero(of[few[d:]] == of[few[:-d]])
+                if not len(pair):
+                    break
+                x, y = few[pair], few[pair + d]
+                cost = cost_of(prints, n, x, y)
+                for column, values in zip(close, (x, y, cost), strict=True):
+                    column.append(values[cost <= limit])
+            x, y, cost = map(np.concatenate, close)
+            chosen = forest(x, y, cost) if edges else slice(None)
+            us.append(x[chosen])
+            vs.append(y[chosen])
+            start = np.cumsum(members) - members
+            for g in np.flatnonzero(members > PAIRS):
+                waiting = np.arange(start[g], start[g] + members[g])
+                while len(waiting) > 1:
+                    reached, waiting = [waiting[0]], waiting[1:]
+                    while reached and len(waiting):
+                        at = reached.pop()
+                        ok = cost_of(prints[:, :COMPARED], n, at, waiting) <= limit  # bits of a part are bits of the whole
+                        if words > COMPARED:
+                            left = np.flatnonzero(ok)
+                            ok[left] = cost_of(prints, n, at, waiting[left]) <= limit
+                        us.append(np.full(int(ok.sum()), at))
+                        vs.append(waiting[ok])
+                        reached += waiting[ok].tolist()
+                        waiting = waiting[~ok]
+            u, v = np.concatenate(us), np.concatenate(vs)
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
+            else:
+                at = np.unique(np.concatenate((u, v)))
+                yield pa.RecordBatch.from_arrays([pa.array(gids[of[at]]), pa.array(ids[at])], ["gid", "id"])
+
+    return run
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, component_id of the documents whose 5-word shingles are similar (cosine of the sets 0.8 or more).
 
     What a SimHash measures is the cosine: two fingerprints differ in arccos(cosine) / pi of their bits, here in FAR of 1,024
-    or fewer. The wide fingerprint is cut into bands of BAND bits; documents that share a band and differ little on COMPARED
-    words are candidates, and the whole fingerprints of candidates decide. Bands of over CROWD documents are cut into
-    slices, and every slice is compared with every other in a task of its own.
+    or fewer. The wide fingerprint is cut into bands of BAND bits. Documents that share a band value meet in a group with COMPARED
+    words of their fingerprints; those that differ little from another one there meet again with all words, and only pairs that differ
+    in FAR bits or fewer are links. Links are thinned (to a spanning forest a group) after that test, never before it. Bands
+    of over CROWD documents are cut into slices, and every slice is compared with every other in a task of its own.
 
     NULL and empty texts have one fingerprint and are alike; texts of under TINY shingles only link if their fingerprints are
     equal. Equal texts share a node, so copies are never compared. component_id is the least doc_id, NULL if there is none.
@@ -290,21 +309,18 @@ def similar(docs: DataFrame) -> DataFrame:
     high = lambda j: F.when(j % per == per - 1, F.shiftleft(word(F.floor(j / per) + 1), STEP)).otherwise(F.lit(0))  # noqa: E731  a band that two words share
     value = lambda j: low(j).bitwiseOR(high(j)).bitwiseAND(F.lit((1 << BAND) - 1))
     keys = F.transform(F.sequence(F.lit(0), F.lit(WIDE * per - 2)), lambda j: F.shiftleft(j.cast("bigint"), 32).bitwiseOR(value(j)))
-    banded = nodes.select("id", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(COMPARED)), F.explode(keys).alias("key"))
+    banded = nodes.select("id", "n", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(COMPARED)), F.explode(keys).alias("key"))
     sizes = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "similar-bands")
     kept = banded.join(sizes, "key")
-    row = F.collect_list(F.struct("id", *(f"w{i}" for i in range(COMPARED)))).alias("rows")
-    light = kept.where(F.col("size") <= CROWD).groupBy("key").agg(row).select("rows")
+    row = lambda words: F.collect_list(F.struct("id", "n", *(F.col(f"w{i}") for i in range(words)))).alias("rows")
+    light = kept.where(F.col("size") <= CROWD).groupBy(F.xxhash64("key").alias("gid")).agg(row(COMPARED))
     slices = F.ceil(F.col("size") * 2 / CROWD).cast("int")
     heavy = kept.where(F.col("size") > CROWD).withColumns({"own": F.pmod(F.xxhash64("id"), slices).cast("int"), "other": F.explode(F.sequence(F.lit(0), slices - 1))})
-    heavy = heavy.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(row).select("rows")
-    edges = light.union(heavy).where(F.size("rows") > 1).mapInArrow(_alike, "u bigint, v bigint")
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "similar-candidates")
-    whole = lambda end: nodes.select(F.col("id").alias(end), F.col("wide").alias(f"w{end}"), F.col("n").alias(f"n{end}"))
-    apart = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
-    least, most = F.least("nu", "nv"), F.greatest("nu", "nv")
-    sized = (least * 100 >= most * RATIO) & ((most >= TINY) | (apart == 0))
-    star = components(edges.join(whole("u"), "u").join(whole("v"), "v").where((apart <= FAR) & sized).select("u", "v"))
+    heavy = heavy.groupBy(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("gid")).agg(row(COMPARED))
+    met = written(light.union(heavy).where(F.size("rows") > 1).mapInArrow(near(COMPARED, APART, False), "gid bigint, id bigint"), "similar-met")
+    whole = nodes.select("id", "n", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(WIDE)))
+    groups = met.join(whole, "id").groupBy("gid").agg(row(WIDE))
+    star = components(groups.mapInArrow(near(WIDE, FAR, True), "u bigint, v bigint"))
     member = star.select(F.col("u").alias("id"), F.col("v").alias("root")).union(star.select(F.col("v"), F.col("v")).distinct())
     roots = member.join(nodes.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("copies"))
     linked = classed(member, roots, "root").select("id", "component_id", F.lit(True).alias("linked"))

@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pytest
 import xxhash
 
 from procera.llm import simhash
@@ -118,3 +119,22 @@ def test_crowded_bands_lose_no_pair(spark, monkeypatch):
         rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[2 * g + 1] == 2 * g for g in range(40)) >= 38
+
+
+@pytest.mark.parametrize("pairs", [100, 6000])
+def test_pairs_among_boilerplate_are_found_at_any_size(spark, pairs):
+    """Any two documents share 65 % of their shingles, true pairs 84 %: neither the corpus' size nor its other links hide a pair."""
+    import random
+
+    r = random.Random(pairs)
+    words = lambda n: [f"{r.randrange(1 << 40):x}" for _ in range(n)]
+    shared = words(195)
+    rows = []
+    for i in range(pairs):
+        both = words(57)
+        rows += [(2 * i + k, " ".join(shared + both + words(48))) for k in (0, 1)]
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).collect()}
+    found = sum(got[2 * i] == got[2 * i + 1] for i in range(pairs)) / pairs
+    print("recall", pairs, found, "components", len(set(got.values())))
+    assert found >= 0.95
+    assert len(set(got.values())) >= 0.9 * pairs  # and unlike documents stay apart
