@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procera.schema import CHIP_LABELS, has
+from procera.schema import CHIP_LABELS, MONTH, has
 
 RECORD_SEARCH = ("nome", "prontuario", "cpf", "cirurgiao", "municipio")
 PATIENT_SEARCH = ("nome", "prontuario", "cpf")
@@ -50,6 +50,8 @@ class Filters:
         parts = [F.col(name).isin(list(getattr(self, name))) for name in self.MEMBERSHIP if getattr(self, name) and has(df, name)]
         if self.period is not None and len(self.period) == 2 and has(df, "data_inicio"):
             low, high = (F.lit(d.isoformat()).cast("timestamp_ntz") for d in self.period)
+            if has(df, MONTH):  # tables kept by month: only these folders are read
+                parts.append(F.col(MONTH).between(*(f"{d:%Y-%m}" for d in self.period)))
             parts.append(F.col("data_inicio") >= low)
             if self.end_of_day:
                 after = self.period[1] + dt.timedelta(days=1)

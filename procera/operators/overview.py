@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from procera.functions.scalars import month, month_or_marker, short_name, whole
+from procera.operators.filters import Filters
 from procera.schema import COUNT_LABELS, ORDER, RECORD_COLUMNS, has, ordered
 
 #: Distinct values that become columns.
@@ -49,6 +52,14 @@ def first_seen(df: DataFrame, column: str, order: str = ORDER) -> list:
     return [r[0] for r in rows]
 
 
+def domains(df: DataFrame, columns: Iterable[str] = Filters.MEMBERSHIP) -> DataFrame:
+    """All filters' domains in one pass over `df`: (coluna, valor), sorted, without NULL; absent columns have no rows."""
+    pairs = [F.struct(F.lit(c).alias("coluna"), F.col(c).cast("string").alias("valor")) for c in columns if has(df, c)]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "coluna string, valor string")
+    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("valor IS NOT NULL").distinct().orderBy("coluna", "valor")
+
+
 def appearance(df: DataFrame, column: str = "tipo_procedimento", order: str = ORDER) -> DataFrame:
     """Distinct values without NULL and their rank of first appearance (from 1); the window runs over one row per value."""
     first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(ordered(df, order)).alias("_at"))

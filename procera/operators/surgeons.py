@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from procera.functions.scalars import truncated_header, whole
 from procera.operators.overview import first_seen
-from procera.schema import OTHER_TYPE, RANKING_COLUMNS, has
+from procera.schema import ORDER, OTHER_TYPE, RANKING_COLUMNS, has, ordered
 
 
 def measures() -> list[F.Column]:
@@ -49,6 +49,25 @@ def ranking_pivot(df: DataFrame, values: list[str] | None = None, truncate: bool
     return kept.groupBy("cirurgiao").agg(F.count("prontuario").alias("Total"), *by_type).orderBy(F.desc("Total"), "cirurgiao")
 
 
+def ranking_map(df: DataFrame, order: str = ORDER) -> DataFrame:
+    """The ranking with its counts per type in a map, for any number of types: cirurgiao, Total, tipos.
+
+    Entries stand in the types' order of first appearance in `df`; types that are NULL or empty, and pairs that do not
+    occur, have no entry (Python's collect loses the order of entries, posexplode keeps it). Per pair of surgeon and type one row is shuffled, and no list of types is needed.
+    """
+    kept = df.where(F.col("cirurgiao").isNotNull())
+    pairs = df.groupBy("cirurgiao", "tipo_procedimento").agg(F.count("prontuario").alias("n"), F.min(ordered(df, order)).alias("at"))
+    typed = F.coalesce(F.col("tipo_procedimento"), F.lit("")) != ""
+    seen = pairs.where(typed).groupBy("tipo_procedimento").agg(F.min("at").alias("seen"))
+    entries = pairs.where(typed & F.col("cirurgiao").isNotNull()).join(seen, "tipo_procedimento")
+    listed = F.array_sort(F.collect_list(F.struct("seen", "tipo_procedimento", "n")))
+    as_map = F.map_from_entries(F.transform(listed, lambda x: F.struct(x["tipo_procedimento"], x["n"])))
+    by_type = entries.groupBy("cirurgiao").agg(as_map.alias("tipos"))
+    total = kept.groupBy("cirurgiao").agg(F.count("prontuario").alias("Total"))
+    none = F.create_map().cast("map<string,bigint>")
+    return total.join(by_type, "cirurgiao", "left").select("cirurgiao", "Total", F.coalesce("tipos", none).alias("tipos")).orderBy(F.desc("Total"), "cirurgiao")
+
+
 def ranking_grid(df: DataFrame) -> DataFrame:
     """The ranking as shown: measures, dates as text, a column per type (headers cut), display names."""
     by_type = cells(df, truncate=True) if has(df, "tipo_procedimento") else {}

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from procera.functions.scalars import first_token, thousands
 from procera.operators import overview, patients, research, surgeons
-from procera.operators.filters import Filters, patient_search, search
-from procera.schema import ORDER
+from procera.operators.filters import PATIENT_SEARCH, RECORD_SEARCH, Filters, patient_search, search
+from procera.operators.search_index import SearchIndex
+from procera.schema import MONTH, ORDER
 from procera.sources.adapter import WITH_REGISTROS, registros, registros_by_place
-from procera.sources.loading import normalise_dates
+from procera.sources.by_month import save_by_month
+from procera.sources.loading import load_parquet, normalise_dates
+from procera.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +93,34 @@ _RE_PATIENT = " OR ".join(f"regexp_matches(upper(coalesce({c}, 'None')), '{{0}}'
 register("search", f"SELECT * FROM registros WHERE {_RE_ANY.format('0012|NATION.1[0-2]$')}")(lambda df: search(df, "0012|nation.1[0-2]$"))
 register("search_literal", "SELECT * FROM registros WHERE " + " OR ".join(f"contains(upper({c}), '0012')" for c in ("nome", "prontuario", "cpf", "cirurgiao", "municipio")))(lambda df: search(df, "0012", literal=True))
 register("patient_search", f"SELECT * FROM registros WHERE {_RE_PATIENT.format('NONE|#0000001')}")(lambda df: patient_search(df, "none|#0000001"))
+
+
+def indexed(term: str, columns: tuple[str, ...] = RECORD_SEARCH, literal: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """Search by an index that is built over all rows first."""
+
+    def run(df: DataFrame) -> DataFrame:
+        return SearchIndex(df.sparkSession, new_path(df.sparkSession, "search-index")).build(df).search(df, term, columns, literal)
+
+    return run
+
+
+register("search_index", f"SELECT * FROM registros WHERE {_RE_ANY.format('0012|NATION.1[0-2]$')}")(indexed("0012|nation.1[0-2]$"))
+register("search_index_null", f"SELECT * FROM registros WHERE {_RE_ANY.format('NON[EF]|(WIDGET|BOLT) (SM|EC)+')}")(indexed("non[ef]|(widget|bolt) (sm|ec)+"))
+register("search_index_literal", "SELECT * FROM registros WHERE " + " OR ".join(f"contains(upper({c}), '0012')" for c in RECORD_SEARCH))(indexed("0012", literal=True))
+register("patient_search_index", f"SELECT * FROM registros WHERE {_RE_PATIENT.format('NONE|#0000001')}")(indexed("none|#0000001", PATIENT_SEARCH))
+
+
+@register("period_by_month", "SELECT * FROM registros WHERE data_inicio >= TIMESTAMP '1995-01-01' AND data_inicio <= TIMESTAMP '1996-06-30'")
+def period_by_month(df: DataFrame) -> DataFrame:
+    path = new_path(df.sparkSession, "by-month")
+    save_by_month(df, path)
+    return Filters(period=PERIOD).apply(load_parquet(df.sparkSession, path)).drop(MONTH)
+
+
+register(
+    "domains",
+    " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS coluna, {c} AS valor FROM registros WHERE {c} IS NOT NULL" for c in SELECTED),
+)(overview.domains)
 register("distinct", "SELECT DISTINCT cirurgiao FROM registros WHERE cirurgiao IS NOT NULL")(lambda df: overview.domain(df, "cirurgiao"))
 for _c in ("tipo_procedimento", "municipio", "lateralidade", "tipo_atendimento"):
     register(f"distinct_{_c}", f"SELECT DISTINCT {_c} FROM registros WHERE {_c} IS NOT NULL")(lambda df, c=_c: overview.domain(df, c))
@@ -126,6 +157,12 @@ register(
     """SELECT cirurgiao, count(prontuario) AS Total, count(DISTINCT cpf) AS Pacientes, CAST(trunc(coalesce(avg(duracao_minutos), 0)) AS INTEGER) AS Dur_media,
     min(data_inicio) AS Primeiro, max(data_inicio) AS Ultimo FROM registros WHERE cirurgiao IS NOT NULL GROUP BY 1""",
 )(surgeons.ranking)
+register(
+    "ranking_map",
+    """, f AS (SELECT tipo_procedimento AS tipo, min(registro_id) AS p FROM registros WHERE tipo_procedimento IS NOT NULL GROUP BY 1),
+    g AS (SELECT cirurgiao, tipo_procedimento AS tipo, count(prontuario) AS n FROM registros WHERE cirurgiao IS NOT NULL AND tipo_procedimento IS NOT NULL GROUP BY 1, 2)
+    SELECT cirurgiao, row_number() OVER (PARTITION BY cirurgiao ORDER BY p) AS coluna, tipo, n FROM g JOIN f USING (tipo)""",
+)(lambda df: surgeons.ranking_map(df).select("cirurgiao", F.posexplode("tipos").alias("at", "tipo", "n")).select("cirurgiao", (F.col("at") + 1).cast("bigint").alias("coluna"), "tipo", "n"))
 register(
     "ranking_pivot",
     "SELECT cirurgiao, count(prontuario) AS Total, "

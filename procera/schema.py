@@ -55,6 +55,8 @@ SHEET_ITEM = (
 )
 #: What the loaders add: the place of a row in its source, for records and for the research sheet.
 ORDER, ROW = "registro_id", "_row"
+#: Folder column of tables kept by month.
+MONTH = "mes_inicio"
 EDITABLE = ("IMC", "Tab", "ID")
 MISSING_TEXT = "—"
 NO_MONTH = "NaT"

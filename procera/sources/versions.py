@@ -1,7 +1,7 @@
 """Tables kept in versions: saving never leaves a reader without rows.
 
 Rows of a version are a folder of their own under ``_data``; a small file under ``_versions``,
-numbered and never overwritten, makes that folder the table. A reader takes the highest number; one that
+numbered and never overwritten, names that folder and its schema: it makes them the table. A reader takes the highest number; one that
 has begun keeps its folder until `vacuum` clears it. Of two writers that start from one
 version the second is told so (`SaveConflict`), as a number can be made once only.
 A plain Parquet folder becomes version 0 of itself: its files stay where they are.
@@ -12,12 +12,14 @@ create a file twice. What a writer leaves that fails before the number is made i
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from procera.schema import ORDER, ROW, SchemaError
 
@@ -32,6 +34,7 @@ class SaveConflict(RuntimeError):
 class Version:
     number: int
     folder: str
+    schema: StructType
 
 
 def own_columns(df: DataFrame) -> list[str]:
@@ -57,14 +60,14 @@ class VersionedTable:
                 return []
             raise
 
-    def _named(self, number: int) -> str | None:
-        """The folder of a version; None while its file is being written."""
+    def _named(self, number: int) -> dict | None:
+        """Folder and schema of a version; None while its file is being written."""
         stream = self._fs.open(self._file(self.path, "_versions", str(number)))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return text.removesuffix(END) if text.endswith(END) else None
+        return json.loads(text) if text.endswith(END) else None
 
     def versions(self) -> list[int]:
         return sorted(int(n) for s in self._listed("_versions") if (n := s.getPath().getName()).isdigit())
@@ -72,8 +75,8 @@ class VersionedTable:
     def current(self) -> Version | None:
         """The highest version; None for a path without one (a plain folder, or nothing)."""
         for number in reversed(self.versions()):
-            if folder := self._named(number):
-                return Version(number, f"{self.path}/_data/{folder}")
+            if named := self._named(number):
+                return Version(number, f"{self.path}/_data/{named['folder']}", StructType.fromJson(named["schema"]))
         return None
 
     def token(self) -> str:
@@ -87,7 +90,7 @@ class VersionedTable:
     def read(self) -> DataFrame:
         """The current version, or the plain folder; a path that doesn't exist raises as Spark does."""
         now = self.current()
-        return self.spark.read.parquet(now.folder if now else self.path)
+        return self.spark.read.schema(now.schema).parquet(now.folder) if now else self.spark.read.parquet(self.path)
 
     def save(self, df: DataFrame, base: Version | int | None = None, partition_by: tuple[str, ...] = ()) -> Version:
         """Make `df`'s rows the next version. With `base` (0: the plain folder) only if nobody saved since; without, the last save wins."""
@@ -95,17 +98,18 @@ class VersionedTable:
         if not kept:
             raise SchemaError("nothing to save")
         name = uuid.uuid4().hex
-        writer = df.select(*(f"`{c}`" for c in kept)).write
+        rows = df.select(*(f"`{c}`" for c in kept))
+        writer = rows.write
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/_data/{name}")
         number = 1 + (max(self.versions(), default=0) if base is None else base if isinstance(base, int) else base.number)
-        while not self._made(number, name):
+        while not self._made(number, {"folder": name, "schema": rows.schema.jsonValue()}):
             if base is not None:
                 raise SaveConflict(f"{self.path}: version {number} was saved by another writer")
             number += 1
         self.spark.catalog.refreshByPath(self.path)
-        return Version(number, f"{self.path}/_data/{name}")
+        return Version(number, f"{self.path}/_data/{name}", rows.schema)
 
-    def _made(self, number: int, name: str) -> bool:
+    def _made(self, number: int, named: dict) -> bool:
         if number <= max(self.versions(), default=0):
             return False
         try:
@@ -115,7 +119,7 @@ class VersionedTable:
                 return False
             raise
         try:
-            stream.write(bytearray((name + END).encode()))
+            stream.write(bytearray((json.dumps(named) + END).encode()))
         finally:
             stream.close()
         return True
@@ -124,12 +128,13 @@ class VersionedTable:
         """Delete versions but for the last `keep`, and folders of none, that are older than `seconds`: what readers may still hold stays."""
         numbers = self.versions()
         named = {n: self._named(n) for n in numbers}
-        stay = {named[n] for n in numbers[-keep:]}
+        folder = lambda n: (named[n] or {}).get("folder")
+        stay = {folder(n) for n in numbers[-keep:]}
         before = (time.time() - seconds) * 1000
         for s in self._listed("_data"):
             if s.getPath().getName() not in stay and s.getModificationTime() < before:
                 self._fs.delete(s.getPath(), True)
         left = {s.getPath().getName() for s in self._listed("_data")}
         for n in numbers[:-keep]:
-            if named[n] not in left:
+            if folder(n) not in left:
                 self._fs.delete(self._file(self.path, "_versions", str(n)), False)
