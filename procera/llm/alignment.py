@@ -43,7 +43,7 @@ from procera.llm.common import written
 FOLDER = "/opt/tokenizers"
 BYTES_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose documents share a table of keys.
-PART = 16 << 20
+PART = 8 << 20
 #: Chunks taken at a time; chunks and characters of them that a worker remembers before it starts afresh.
 BLOCK = 1 << 16
 REMEMBERED, CHARACTERS = 250_000, 8 << 20
@@ -137,6 +137,8 @@ class Pair:
         self.a_length = np.zeros(1 + max(self.a_bytes), np.int64)
         self.a_length[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
+        with_ = lambda n, *signs: np.array([[f"{i}{sign}" for i in range(n)] for sign in signs], object)
+        self.a_text, self.b_text = with_(len(self.a_length), ",", "|"), with_(len(self.b_length), ",", ";", "")
         self.forget()
 
     def forget(self) -> None:
@@ -170,26 +172,30 @@ class Pair:
         times = wide_b[in_a]
         other = np.repeat(first_b[in_a], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         keys = np.repeat(ids_a, times) << SHIFT | ids_b[other]
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        to_a, to_b = np.cumsum(wide_a).tolist(), np.cumsum(wide_b).tolist()
-        groups, p, q = [], 0, 0
-        for x, y in zip(to_a, to_b, strict=True):
-            groups.append(f"{','.join(text_a[p:x])}|{','.join(text_b[q:y])}")
-            p, q = x, y
         n_a, n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
         last = np.cumsum(n_a)
         upto = lambda per_group: np.concatenate(([0], np.cumsum(per_group)))[np.concatenate(([0], in_a + 1))[last]]
         group_end = upto(np.ones(len(both), np.int64))
         link_end = upto(wide_a * wide_b)
         shift = lambda x: np.diff(x, prepend=0)
+        # groups as text: a,a|b,b;a|b and so on, every token with the sign that follows it
+        to_a, to_b = np.cumsum(wide_a), np.cumsum(wide_b)
+        closes = np.ones(len(both), np.int64)
+        closes[group_end[n_a > 0] - 1] = 2
+        told = np.empty(len(ids_a) + len(ids_b), object)
+        told[np.arange(len(ids_a)) + first_b[in_a]] = self.a_text[np.bincount(to_a - 1, minlength=len(ids_a)), ids_a]
+        ending = np.zeros(len(ids_b), np.int64)
+        ending[to_b - 1] = closes
+        told[np.arange(len(ids_b)) + to_a[in_b]] = self.b_text[ending, ids_b]
+        told = told.tolist()
         base = self.keys.n
         self.keys.extend(keys)
         self.ends.extend(base + link_end)
         self.sizes.extend(np.stack([n_a, n_b, shift(group_end), shift(link_end), spelt.astype(np.int64)], axis=1).ravel())
         low = 0
-        for c, high in zip(chunks, group_end.tolist(), strict=True):
+        for c, high in zip(chunks, np.cumsum(n_a + n_b).tolist(), strict=True):
             self.number[c] = len(self.groups_of)
-            self.groups_of.append(";".join(groups[low:high]))
+            self.groups_of.append("".join(told[low:high]))
             self.characters += len(c)
             low = high
 
