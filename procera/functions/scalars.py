@@ -8,12 +8,30 @@ from pyspark.sql import functions as F
 from procera.schema import MISSING_TEXT, NO_MONTH, OTHER_TYPE
 
 #: Tried in this order for every value by itself, so a row's result never depends on other rows.
-DATE_PATTERNS = ("d/M/yyyy", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss")
+DATE_PATTERNS = tuple(
+    f"{day}{time}"
+    for day, times in (
+        ("d/M/yyyy", ("", " H:mm", " H:mm:ss")),
+        ("yyyy-MM-dd", ("", " HH:mm", " HH:mm:ss", "'T'HH:mm", "'T'HH:mm:ss")),
+        ("d-M-yyyy", ("", " H:mm", " H:mm:ss")),
+        ("d/M/yy", ("", " H:mm", " H:mm:ss")),
+    )
+    for time in times
+)
+#: Two-digit years up to this one are of the present century, later ones of the last.
+LAST_SHORT_YEAR = 2068
+
+
+def _parsed(text: Column, pattern: str) -> Column:
+    at = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    if "yyyy" in pattern:
+        return at
+    return F.when(F.year(at) > LAST_SHORT_YEAR, at - F.make_ym_interval(F.lit(100))).otherwise(at).cast("timestamp_ntz")
 
 
 def parse_date(text: Column) -> Column:
     """Text to timestamp without zone; NULL where no pattern fits (never an error)."""
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in DATE_PATTERNS))
+    return F.coalesce(*(_parsed(text, p) for p in DATE_PATTERNS))
 
 
 def month(ts: Column) -> Column:

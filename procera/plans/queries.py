@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from procera.functions.scalars import first_token, thousands
 from procera.operators import overview, patients, research, surgeons
 from procera.operators.filters import PATIENT_SEARCH, RECORD_SEARCH, Filters, patient_search, search
+from procera.operators.monthly_state import MonthlyState
 from procera.operators.search_index import SearchIndex
 from procera.schema import MONTH, ORDER
 from procera.sources.adapter import WITH_REGISTROS, registros, registros_by_place
 from procera.sources.by_month import save_by_month
-from procera.sources.loading import load_parquet, normalise_dates
+from procera.sources.loading import load_parquet, normalise_dates, rejected_dates
 from procera.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +79,31 @@ def parse_dates(df: DataFrame) -> DataFrame:
     return normalise_dates(df.select("registro_id", text.alias("data_inicio")))
 
 
+_PATTERNS = ["%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M", "%Y-%m-%dT%H:%M:%S", "%d-%m-%Y", "%d-%m-%Y %H:%M:%S", "%d/%m/%y", "%d/%m/%y %H:%M"]
+_RAW = (
+    ", raw AS (SELECT registro_id, CASE registro_id % 11 "
+    + " ".join(f"WHEN {i} THEN strftime(dt_nascimento, '{p}')" for i, p in enumerate(_PATTERNS))
+    + " WHEN 8 THEN '31/02/' || (registro_id % 5) WHEN 9 THEN ' ' ELSE 'sem data ' || (registro_id % 3) END AS txt FROM registros)"
+)
+
+
+def raw_dates(df: DataFrame) -> DataFrame:
+    """Birth dates as texts of every accepted form, and texts that are none."""
+    java = {"%d": "dd", "%m": "MM", "%Y": "yyyy", "%y": "yy", "%H": "HH", "%M": "mm", "%S": "ss", "T": "'T'"}
+    at, kind = F.col("dt_nascimento"), F.col("registro_id") % 11
+    text = F.when(kind == 8, F.concat(F.lit("31/02/"), F.col("registro_id") % 5)).when(kind == 9, F.lit(" ")).when(kind == 10, F.concat(F.lit("sem data "), F.col("registro_id") % 3))
+    for i, pattern in enumerate(_PATTERNS):
+        for a, b in java.items():
+            pattern = pattern.replace(a, b)
+        text = text.when(kind == i, F.date_format(at, pattern))
+    return df.select("registro_id", text.alias("dt_nascimento"))
+
+
+_FITS = f"coalesce({', '.join(f"try_strptime(txt, '{p}')" for p in sorted(_PATTERNS, key=lambda p: "%y" not in p))})"  # first: %Y takes two digits as well
+register("parse_dates_all", f"{_RAW} SELECT registro_id, {_FITS} AS dt_nascimento FROM raw")(lambda df: normalise_dates(raw_dates(df)))
+register("rejected_dates", f"{_RAW} SELECT 'dt_nascimento' AS coluna, txt AS texto, count(*) AS linhas FROM raw WHERE trim(txt) <> '' AND {_FITS} IS NULL GROUP BY txt")(
+    lambda df: rejected_dates(raw_dates(df))
+)
 for _c in SELECTED:
     register(f"isin_{_c}", f"SELECT * FROM registros WHERE {one_of(_c)}")(Filters(**{_c: SELECTED[_c]}).apply)
 register("isin", "SELECT * FROM registros WHERE " + " AND ".join(map(one_of, SELECTED)))(Filters(**SELECTED).apply)
@@ -129,6 +155,25 @@ register(
     "kpi",
     "SELECT count(*) AS total, count(DISTINCT cpf) AS pacientes, count(DISTINCT cirurgiao) AS cirurgioes, CAST(trunc(coalesce(avg(duracao_minutos), 0)) AS INTEGER) AS duracao_media FROM registros",
 )(overview.kpi)
+
+
+@register("kpi_by_month", ORACLES["kpi"].removeprefix(WITH_REGISTROS))
+def kpi_by_month(df: DataFrame) -> DataFrame:
+    """The state is built in two steps, as months arrive."""
+    state = MonthlyState(df.sparkSession, new_path(df.sparkSession, "monthly-state"))
+    early = F.col("data_inicio") < F.lit("1995-01-01").cast("timestamp_ntz")
+    state.add(df.where(early))
+    state.add(df.where(~early | F.col("data_inicio").isNull()))
+    return state.kpi()
+
+
+@register("kpi_of_months", ORACLES["kpi"].removeprefix(WITH_REGISTROS) + " WHERE strftime(data_inicio, '%Y-%m') IN ('1995-02', '1996-11')")
+def kpi_of_months(df: DataFrame) -> DataFrame:
+    state = MonthlyState(df.sparkSession, new_path(df.sparkSession, "monthly-state"))
+    state.add(df)
+    return state.kpi(["1995-02", "1996-11"])
+
+
 for _c, _label in (("tipo_procedimento", "Tipo"), ("lateralidade", "Lado"), ("tipo_atendimento", "Tipo")):
     register(f"vc_{_c}", f"SELECT {_c} AS \"{_label}\", count(*) AS Total FROM registros WHERE {_c} IS NOT NULL GROUP BY 1")(lambda df, c=_c: overview.value_counts(df, c))
 register(

@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,11 +24,38 @@ def empty(spark: SparkSession, schema: T.StructType = FACT) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def normalise_dates(df: DataFrame, columns: Iterable[str] = DATE_COLUMNS) -> DataFrame:
-    """Parse text dates; columns that already are timestamps keep their values."""
+def normalise_dates(df: DataFrame, columns: Iterable[str] = DATE_COLUMNS, observation: Observation | None = None) -> DataFrame:
+    """Parse text dates; columns that already are timestamps keep their values.
+
+    With an `observation`, the first action on the result tells per text column how many values no pattern fits, as `rejected_<column>`,
+    in the same pass. Texts that are NULL or blank are no dates and are not counted.
+    """
+    kinds = dict(df.dtypes)
+    present = [c for c in columns if has(df, c)]
+    texts = [c for c in present if kinds[c] == "string"]
+    parsed = {c: parse_date(F.col(c)) if c in texts else F.col(c).cast("timestamp_ntz") for c in present}
+    if not parsed:
+        return df
+    if observation is None or not texts:
+        return df.withColumns(parsed)
+    both = df.withColumns({f"_raw_{c}": F.col(c) for c in texts}).withColumns(parsed)
+    counts = [F.count_if(told(F.col(f"_raw_{c}")) & F.col(c).isNull()).alias(f"rejected_{c}") for c in texts]
+    return both.observe(observation, *counts).drop(*(f"_raw_{c}" for c in texts))
+
+
+def told(text: Column) -> Column:
+    """Whether a text says anything."""
+    return F.coalesce(F.trim(text) != "", F.lit(False))
+
+
+def rejected_dates(df: DataFrame, columns: Iterable[str] = DATE_COLUMNS) -> DataFrame:
+    """(coluna, texto, linhas): the texts of a raw frame that no pattern fits, and how many rows have them."""
     kinds = dict(df.dtypes)
-    parsed = {c: parse_date(F.col(c)) if kinds[c] == "string" else F.col(c).cast("timestamp_ntz") for c in columns if has(df, c)}
-    return df.withColumns(parsed) if parsed else df
+    pairs = [F.struct(F.lit(c).alias("coluna"), F.col(c).alias("texto")) for c in columns if has(df, c) and kinds[c] == "string"]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "coluna string, texto string, linhas bigint")
+    texts = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where(told(F.col("texto"))).groupBy("coluna", "texto").agg(F.count("*").alias("linhas"))
+    return texts.where(parse_date(F.col("texto")).isNull())
 
 
 def with_order(df: DataFrame, name: str = ORDER) -> DataFrame:
