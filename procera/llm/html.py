@@ -11,8 +11,8 @@ of a page don't make its article a template. Deleted are
   adverts and footers that are dealt out of a pool. An article's paragraphs are neither.
 
 Only then rules that need no count take what counting can't see, such as reader comments (always new) and furniture of
-hosts with few pages: elements and roles that are no article, and words of classes and ids. What is left becomes
-text, one line per block.
+hosts with few pages: elements and roles that are no article, and words of classes and ids. Inside <article> only words for
+adverts and comments count, as other words may say what the article is about. What is left becomes text, one line per block.
 
 A host has at most (blocks per page) * 100 template slots and (blocks per page) * 100 / SHARE template contents, so
 its list is bounded by its pages' size and not by their number.
@@ -62,6 +62,8 @@ SCOPE = frozenset("table ul ol dl div article section main body html aside nav h
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets masthead disclaimer reply replies".split()
 )
+#: Of these words, the ones that also mean an element inside an article; any other may be what the article is about.
+INTRUDERS = frozenset("ad ads advert adverts advertisement adsbygoogle comment comments commentlist disqus replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -202,8 +204,8 @@ def core(node: Node) -> bool:
     return node.tag in ("article", "main") or "role:main" in node.marks
 
 
-def furniture(node: Node, inside: bool, headed: set[int], cored: set[int]) -> bool:
-    """What no count is needed for. `inside`: below an article; `headed`, `cored`: elements with headings or articles below."""
+def furniture(node: Node, inside: bool, article: bool, headed: set[int], cored: set[int]) -> bool:
+    """What no count is needed for. `inside`: below a core; `article`: below <article>; `headed`, `cored`: elements with headings or cores below."""
     if node.tag in DROPPED or "hidden:" in node.marks:
         return True
     if node.tag in ("html", "body", "main") or "role:main" in node.marks:
@@ -211,7 +213,7 @@ def furniture(node: Node, inside: bool, headed: set[int], cored: set[int]) -> bo
     own_head = inside and id(node) in headed
     if node.tag == "header":
         return not own_head
-    said = bool(node.marks & FURNITURE) or any(f"role:{r}" in node.marks for r in ROLES)
+    said = bool(node.marks & (FURNITURE & INTRUDERS if article else FURNITURE)) or any(f"role:{r}" in node.marks for r in ROLES)
     if said and own_head and node.marks & HEADS and not node.marks & (FURNITURE - HEADS):
         return False
     return said and not (node.tag != "article" and id(node) in cored)
@@ -221,14 +223,15 @@ def pruned(root: Node) -> list[Node]:
     """Furniture deleted; the outermost <article> or <main> elements, or the whole page if there is none."""
     headed, cored = holding(root, HEADINGS), holding(root, CORES)
     roots: list[Node] = []
-    todo: list[tuple[Node, bool]] = [(root, False)]
+    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, article = todo.pop()
         if core(node) and not inside:
             roots.append(node)
             inside = True
-        node.children = [x for x in node.children if not (isinstance(x, Node) and furniture(x, inside, headed, cored))]
-        todo += [(x, inside) for x in reversed(node.children) if isinstance(x, Node)]
+        article = article or node.tag == "article"
+        node.children = [x for x in node.children if not (isinstance(x, Node) and furniture(x, inside, article, headed, cored))]
+        todo += [(x, inside, article) for x in reversed(node.children) if isinstance(x, Node)]
     return roots or [root]
 
 
@@ -290,28 +293,35 @@ def slots(root: Node) -> dict[int, int]:
     return out
 
 
-def content(subtree: Subtree, texts: list[str]) -> int:
-    node, _, first, last = subtree
-    return digest("\n".join((node.tag, *texts[first:last])))
+#: Modulus and base of the hashes of runs of texts.
+PRIME, BASE = (1 << 61) - 1, 0x1D3F5A7B9C2E4861
 
 
-#: Beyond this many characters a subtree's content is no template; so nested subtrees are hashed in linear time.
-LONG = 1 << 14
+class Contents:
+    """Hashes of the block subtrees' contents, each at once from prefix hashes over the page's texts, however deep they nest."""
 
+    def __init__(self, texts: list[str]):
+        self.upto, self.power = [0], [1]
+        for text in texts:
+            self.upto.append((self.upto[-1] * BASE + digest(text)) % PRIME)
+            self.power.append(self.power[-1] * BASE % PRIME)
 
-def counted(subtree: Subtree, lengths: list[int]) -> bool:
-    node, _, first, last = subtree
-    return node.tag not in ("html", "body") and lengths[last] - lengths[first] <= LONG
+    def of(self, subtree: Subtree) -> int:
+        node, _, first, last = subtree
+        return digest(f"{node.tag} {last - first} {(self.upto[last] - self.upto[first] * self.power[last - first]) % PRIME}")
+
+
+def counted(subtree: Subtree) -> bool:
+    return subtree[0].tag not in ("html", "body")
 
 
 def without(root: Node, template: set[int] | frozenset) -> Node:
     """The tree without the block subtrees whose slot or content is in `template`."""
     if template:
         texts, found = blocks([root])
-        lengths = [0, *accumulate(map(len, texts))]
-        named = slots(root)
+        named, contents = slots(root), Contents(texts)
         for x in found:
-            if counted(x, lengths) and (named[id(x[0])] in template or content(x, texts) in template):
+            if counted(x) and (named[id(x[0])] in template or contents.of(x) in template):
                 x[0].children = []
     return root
 
@@ -329,8 +339,8 @@ def _subtrees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts, found = blocks([root])
             if texts:
                 lengths = [0, *accumulate(map(len, texts))]
-                named = slots(root)
-                own = {(named[id(x[0])], content(x, texts)): lengths[x[3]] - lengths[x[2]] for x in found if counted(x, lengths)}
+                named, contents = slots(root), Contents(texts)
+                own = {(named[id(x[0])], contents.of(x)): lengths[x[3]] - lengths[x[2]] for x in found if counted(x)}
                 page = digest("\n".join(blocks(pruned(root))[0] or texts))
                 rows += [(host, slot, hash_, page, n) for (slot, hash_), n in own.items()]
                 rows.append((host, 0, page, page, lengths[-1]))

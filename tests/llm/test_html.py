@@ -133,3 +133,64 @@ def test_counting_decides_on_the_test_pages(spark, monkeypatch):
         lost += max(0, len(inner) - len(after))
     print("outside", outside, "left", left, "article", total, "lost", lost)
     assert left < 0.6 * outside and lost < 0.01 * total
+
+
+def test_words_of_classes_do_not_delete_what_an_article_says():
+    parts = "<p class='notice'>a</p><section class='related-work'><p>b</p></section><div class='promoted-gene'>c</div><table class='menu-prices'><tr><td>d</table>"
+    assert html.main_text(f"<article>{parts}<div class='comments'>e</div><div class='ad-box'>f</div><nav>g</nav><div role='search'>h</div></article>") == "a\nb\nc\nd"
+    assert html.main_text(f"<main>{parts}<p>x</p></main>") == "x"
+
+
+@pytest.mark.parametrize("size", [100, 17_000, 200_000])
+def test_furniture_of_any_length_is_counted(spark, size):
+    legal = "legal words " * (size // 12)
+    page = lambda i: f"<div><p>Own {'abc'[i % 3] * (i + 1)} text</p></div><div class='x'><div><p>{legal}</p><p>end</p></div></div>"
+    frame = spark.createDataFrame([(i, f"https://a.example/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extracted(frame).collect()} == {i: f"Own {'abc'[i % 3] * (i + 1)} text" for i in range(12)}
+
+
+def test_counts_by_definition(spark):
+    """Template contents and slots of every host of the table, counted in plain Python on subtrees spelt out in full."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    pages = {}
+    for r in rows:
+        name = (re.match(r"\w+://([^/:]+)", r.url) or [None, None])[1]
+        root = html.parse(r.html or "")
+        texts, found = html.blocks([root])
+        if name and texts:
+            chains = {id(root): ()}
+            todo = [root]
+            while todo:
+                node = todo.pop()
+                for x in node.children:
+                    if isinstance(x, html.Node):
+                        chains[id(x)] = (*chains[id(node)], (x.tag, tuple(sorted(m for m in x.marks if not m.isdigit()))))
+                        todo.append(x)
+            own = {(chains[id(x[0])], (x[0].tag, *texts[x[2] : x[3]])): sum(map(len, texts[x[2] : x[3]])) for x in found if x[0].tag not in ("html", "body")}
+            whole = sum(map(len, texts))
+            page = tuple(html.blocks(html.pruned(root))[0] or texts)
+            kept = pages.setdefault(name.lower(), {}).setdefault(page, [own, whole])
+            kept[0] = own | kept[0]
+    want = {}
+    for name, of in pages.items():
+        if len(of) < html.MIN_PAGES:
+            continue
+        counts, chars, length = {}, {}, sum(whole for _, whole in of.values())
+        for own, _ in of.values():
+            for key, n in own.items():
+                counts[key] = counts.get(key, 0) + 1
+                chars[key] = max(chars.get(key, 0), n)
+        by_content, by_slot = {}, {}
+        for (slot, content), n in counts.items():
+            by_content[content] = by_content.get(content, 0) + n
+            by_slot.setdefault(slot, []).append((n, chars[slot, content]))
+        same = [c for c, n in by_content.items() if n >= html.MIN_PAGES and n * 100 >= len(of) * html.SHARE]
+        dealt = []
+        for slot, held in by_slot.items():
+            n = sum(x for x, _ in held)
+            again = sum(x for x, _ in held if x >= 2 and x * 100 >= len(of))
+            if n >= html.MIN_PAGES and n * 100 >= len(of) and again * html.REPEATED >= n and sum(c for _, c in held) * html.THIN <= length:
+                dealt.append(slot)
+        want[name] = len(same) + len(dealt)
+    got = {r.host: len(r.template) for r in html.templates(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
+    assert got == {k: n for k, n in want.items() if n} and got
