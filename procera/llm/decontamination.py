@@ -13,6 +13,9 @@ Defined results: words are lower-cased in A-Z only; a text of one to four words
 is one shingle (the whole sequence); NULL or blank texts and items have none and
 match nothing. Each (document row, item row) pair is judged by itself; repeated
 rows give repeated pairs. Pairs carry doc_id and item_id as they are, NULL included.
+Texts of any length are taken whole: a document's shingles are one array of its row, an item's too. A
+containment of exactly the limit counts. An empty table of either kind gives no pairs. Other columns
+are not looked at, whatever their names, and stay where documents are returned.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procera.llm.common import let, packed, same, small, words, written
+from procera.llm.common import let, packed, small, words, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -53,33 +56,45 @@ def need(k: Column, percent: int) -> Column:
     return F.floor((k * percent + 99) / 100).cast("int")
 
 
+def row_key(id_: str) -> Column:
+    """Tells rows apart by id and text; rows equal in both share it and are judged alike."""
+    return F.struct(F.xxhash64(id_).alias("k1"), F.xxhash64("text").alias("k2"))
+
+
 def sketches(items: DataFrame, n: int, percent: int) -> DataFrame:
-    """One row per item and sketch hash."""
+    """One row per item and sketch hash, from (item, text)."""
     hashes = F.array_sort(F.array_distinct(shingles(F.col("text"), n, hashed)))
-    item = items.select("item_id", hashes.alias("h")).where(F.size("h") > 0)
+    item = items.select("item", hashes.alias("h")).where(F.size("h") > 0)
     k = F.size("h")
-    return item.select("item_id", need(k, percent).alias("need"), F.explode(F.slice("h", F.lit(1), k - need(k, percent) + 1)).alias("hash"))
+    return item.select("item", need(k, percent).alias("need"), F.explode(F.slice("h", F.lit(1), k - need(k, percent) + 1)).alias("hash")).distinct()
 
 
 def candidates(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Distinct (doc_id, item_id) that share a sketch hash and where the document is large enough for the item."""
+    """Distinct (key, item) of (key, text) and (item, text) that share a sketch hash and where the document is large enough for the item."""
     probes = small(written(sketches(items, n, percent), "decontamination-sketches"))
-    hashes = docs.select("doc_id", shingles(F.col("text"), n, hashed).alias("h"))
-    probed = hashes.select("doc_id", F.size("h").alias("size"), F.explode("h").alias("hash"))
-    return probed.join(probes, "hash").where(F.col("size") >= F.col("need")).select("doc_id", "item_id").distinct()
+    hashes = docs.select("key", shingles(F.col("text"), n, hashed).alias("h"))
+    probed = hashes.select("key", F.size("h").alias("size"), F.explode("h").alias("hash"))
+    return probed.join(probes, "hash").where(F.col("size") >= F.col("need")).select("key", "item").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Pairs with containment of at least `percent`: doc_id, item_id, n_shared, n_item, containment."""
-    found = small(written(candidates(docs, items, n, percent), "decontamination-candidates"))
-    sets = items.select(F.col("item_id").alias("_item_id"), F.array_distinct(shingles(F.col("text"), n, joined)).alias("item_set"))
+    """Pairs with containment of at least `percent`: doc_id, item_id, n_shared, n_item, containment.
+
+    Candidates are rows, told apart by id and text, so rows that share an id (NULL included) are verified for their own items only. A document's
+    shingles are built once, whatever the number of its items.
+    """
+    rows = docs.select(row_key("doc_id").alias("key"), "doc_id", "text")
+    asked = items.select(row_key("item_id").alias("item"), "item_id", "text")
+    pairs = written(candidates(rows, asked, n, percent), "decontamination-candidates")
+    sets = asked.select("item", "item_id", F.array_distinct(shingles(F.col("text"), n, joined)).alias("item_set"))
     sets = small(written(sets, "decontamination-items"), 10_000)
-    texts = docs.select(F.col("doc_id").alias("_doc_id"), "text").join(found, same(F.col("doc_id"), F.col("_doc_id")))
-    rows = texts.join(sets, same(F.col("item_id"), F.col("_item_id")))
-    exact = rows.withColumn("n_shared", F.size(F.array_intersect("item_set", shingles(F.col("text"), n, joined)))).withColumn("n_item", F.size("item_set"))
-    kept = exact.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    found = written(pairs.join(sets, "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "item_set")).alias("items")), "decontamination-found")
+    texts = rows.join(small(found.select("key")), "key", "left_semi").join(small(found), "key")  # texts without candidates move nowhere
+    shared = lambda item, own: F.struct(item["item_id"].alias("item_id"), F.size(F.array_intersect(item["item_set"], own)).alias("n_shared"), F.size(item["item_set"]).alias("n_item"))
+    judged = let(shingles(F.col("text"), n, joined), lambda own: F.transform("items", lambda item: shared(item, own)))
+    exact = texts.select("doc_id", F.explode(F.filter(judged, lambda x: x["n_shared"] * 100 >= x["n_item"] * percent)).alias("x")).select("doc_id", "x.*")
     ratio = F.col("n_shared").cast("double") / F.col("n_item")
-    return kept.select("doc_id", "item_id", F.col("n_shared").cast("bigint").alias("n_shared"), F.col("n_item").cast("bigint").alias("n_item"), ratio.alias("containment"))
+    return exact.select("doc_id", "item_id", F.col("n_shared").cast("bigint").alias("n_shared"), F.col("n_item").cast("bigint").alias("n_item"), ratio.alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

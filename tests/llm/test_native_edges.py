@@ -135,3 +135,18 @@ def test_very_many_matches_in_one_text(spark):
     assert time.perf_counter() - began < 15
     assert got[1].n_assign == n and got[1].spans == ",".join(f"assign:{13 * i}:{13 * i + 12}" for i in range(n))
     assert got[2].n_assign == 2 * secrets.BLOCK
+
+
+def test_rows_that_share_an_id_are_verified_for_their_own_items(spark):
+    """Many rows without an id, each with an item of its own: candidates grow with the rows, not with rows times items."""
+    item = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    n = 400
+    docs = spark.createDataFrame([(None, f"start {item(i)} end of row {i}") for i in range(n)] + [(5, item(0)), (5, f"{item(1)} {item(2)}"), (5, item(0))], "doc_id long, text string")
+    items = spark.createDataFrame([(i, item(i), "x", 1) for i in range(n)] + [(0, item(0), "y", 2), (None, item(3), "z", 3)], "item_id long, text string, key string, n_shared int")
+    keyed = docs.select(decontamination.row_key("doc_id").alias("key"), "text")
+    asked = items.select(decontamination.row_key("item_id").alias("item"), "text")
+    assert decontamination.candidates(keyed, asked).count() == n + 1 + 3
+    got = sorted(((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontamination.contained(docs, items).collect()), key=str)
+    want = [(None, i, 8, 8) for i in range(n)] + [(None, 0, 8, 8), (None, None, 8, 8)] + [(5, 0, 8, 8)] * 4 + [(5, 1, 8, 8), (5, 2, 8, 8)]
+    assert got == sorted(want, key=str)
+    assert decontamination.clean(docs, items).isEmpty()
