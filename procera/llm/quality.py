@@ -13,6 +13,9 @@ the whole corpus. Thresholds reach the documents by a join.
 Defined results: NULL text has no words, fails the base rules and is rejected.
 NULL lang or source form groups like any other value. Documents that fail the
 base rules do not enter the sketches. Repeated rows count each for themselves.
+A value on a fence, and equal values whatever their number, stay. Texts of any length are measured whole.
+An empty table stays empty, and a group all of whose documents fail the base rules has no fence of its own. Extra columns
+stay where documents are returned, whatever their names, and are not looked at.
 """
 
 from __future__ import annotations

@@ -3,6 +3,10 @@
 A query is a set of conjunctions, each a set of lower-cased trigrams: a text that
 matches the expression contains every trigram of some conjunction. The empty
 conjunction is "no condition", so a query holding it must scan fully.
+
+Defined results: these are queries on rules, not on rows, so NULL, empty and very long texts, ties, repeated rows, empty tables and
+clashing columns are matters of the scan (see `secrets`): a text without trigrams, NULL included, meets the empty conjunction
+only. An empty expression asks for nothing. Expressions that Python's parser refuses raise its error.
 """
 
 from __future__ import annotations
