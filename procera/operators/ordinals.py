@@ -32,3 +32,13 @@ def numbered(df: DataFrame, key: str, order: str = ORDER, ordinal: str = "ordem"
     inside = dealt.withColumn(_INSIDE, F.row_number().over(W.partitionBy(key, _PART).orderBy(order)))
     joined = inside.join(starts, [key, _PART])
     return joined.select(*(F.col(f"`{c}`") for c in df.columns), (F.col(_BEFORE) + F.col(_INSIDE)).alias(ordinal), total)
+
+
+def placed(df: DataFrame, position: str = "posicao") -> DataFrame:
+    """Rows of a sorted frame with their position in it (from 1), as a grid shows them; partitions count for themselves."""
+    dealt = written(df.withColumn(_PART, F.monotonically_increasing_id()), "placed")
+    part, inside = F.shiftrightunsigned(_PART, 33), F.col(_PART).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("_of")).agg(F.count("*").alias("_n"))  # a row a partition
+    starts = sizes.select("_of", F.coalesce(F.sum("_n").over(W.orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(_BEFORE))
+    joined = dealt.join(F.broadcast(starts), part == F.col("_of"))
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), (F.col(_BEFORE) + inside + 1).alias(position))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from procera.functions.scalars import first_token, thousands
 from procera.operators import overview, patients, research, surgeons
 from procera.operators.filters import PATIENT_SEARCH, RECORD_SEARCH, Filters, patient_search, search
+from procera.operators.export import to_csv
 from procera.operators.monthly_state import MonthlyState
+from procera.operators.ordinals import placed
 from procera.operators.search_index import SearchIndex
 from procera.schema import MONTH, ORDER
 from procera.sources.adapter import WITH_REGISTROS, registros, registros_by_place
@@ -271,4 +273,45 @@ def edit_merge(df: DataFrame) -> DataFrame:
     return research.merge_edits(sheet, new.unionByName(gone), check=False)
 
 
+# Order as it is shown: positions in the sorted results.
+register(
+    "order_value_counts",
+    """, t AS (SELECT cirurgiao, count(*) AS Total FROM registros WHERE cirurgiao IS NOT NULL GROUP BY 1)
+    SELECT cirurgiao AS "Cirurgião", Total, row_number() OVER (ORDER BY Total DESC, cirurgiao) AS posicao FROM t""",
+)(lambda df: placed(overview.value_counts(df, "cirurgiao")))
+register(
+    "order_ranking",
+    """, t AS (SELECT cirurgiao, count(prontuario) AS Total FROM registros WHERE cirurgiao IS NOT NULL GROUP BY 1)
+    SELECT cirurgiao, Total, row_number() OVER (ORDER BY Total DESC, cirurgiao) AS posicao FROM t""",
+)(lambda df: placed(surgeons.ranking(df)).select("cirurgiao", "Total", "posicao"))
+register(
+    "order_multi",
+    """, t AS (SELECT cpf, nome, count(prontuario) AS n FROM registros WHERE cpf IS NOT NULL AND nome IS NOT NULL GROUP BY 1, 2 HAVING count(prontuario) > 1)
+    SELECT cpf AS "CPF", nome AS "Nome", row_number() OVER (ORDER BY n DESC, cpf, nome) AS posicao FROM t""",
+)(lambda df: placed(patients.repeated(df)).select("CPF", "Nome", "posicao"))
+register(
+    "order_domain", "SELECT valor, row_number() OVER (ORDER BY valor) AS posicao FROM (SELECT DISTINCT municipio AS valor FROM registros WHERE municipio IS NOT NULL)"
+)(lambda df: placed(overview.domain(df, "municipio").withColumnRenamed("municipio", "valor")))
+
+
+@register("save_over", "SELECT * REPLACE ('novo' AS lateralidade) FROM registros WHERE lateralidade = 'O' AND registro_id % 2 = 0")
+def save_over(df: DataFrame) -> DataFrame:
+    """Saved, read, changed, and saved over what was read."""
+    path = new_path(df.sparkSession, "saved")
+    research.save_over(df.where("lateralidade = 'O'"), path)
+    research.save_over(load_parquet(df.sparkSession, path).where("registro_id % 2 = 0").withColumn("lateralidade", F.lit("novo")), path)
+    return load_parquet(df.sparkSession, path)
+
+
+_PLAIN = "registro_id tipo_procedimento prontuario nome cpf idade sexo municipio tipo_atendimento duracao_minutos lateralidade cirurgiao anestesista centro_sala".split()
+
+
+@register("export_patient", f"SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _PLAIN)} FROM registros WHERE cpf = (SELECT min(cpf) FROM registros)")
+def export_patient(df: DataFrame) -> DataFrame:
+    """All columns of one patient as exported, read back as text (dates are left out: their form in a file is the writer's)."""
+    path = new_path(df.sparkSession, "export")
+    to_csv(patients.rows_of(df, df.agg(F.min("cpf")).first()[0]), path)
+    return df.sparkSession.read.option("header", True).csv(path).select(_PLAIN)
+
+
 register("fmt", "SELECT format('{:,}', count(*)) AS total FROM registros")(lambda df: df.agg(thousands(F.count("*")).alias("total")))
