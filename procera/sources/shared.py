@@ -1,5 +1,7 @@
 """Tables that cut lineage, in the folder that driver and executors share.
 
+Results are lazy and read these tables, so they stay until `release`.
+
 Defined results: a frame without rows is written and read like others, with its schema.
 """
 
@@ -11,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this session has put into the shared folder. Frames that still read it must be stored before."""
+    for item in [x for x in _made if x[0] is spark]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(item[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(item)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ import threading
 import pytest
 
 from procera.operators import research
-from procera.sources import loading
+from procera.sources import loading, shared
 from procera.sources.versions import SaveConflict, VersionedTable
 from procera.streaming.refresh import TimedCache, file_state, table_state
 
@@ -108,3 +108,14 @@ def test_a_save_drops_only_its_own_frames(spark, tmp_path):
     assert state() != before and file_state(f"{base}.none")() == (None, None)
     for cache in caches:
         cache.clear()
+
+
+def test_shared_tables_are_released(spark):
+    from pathlib import Path
+
+    kept = shared.written(spark.range(3).limit(0), "kept")
+    folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert kept.isEmpty() and kept.columns == ["id"] and folder.exists()
+    shared.release(spark)
+    assert not folder.exists()
+    shared.release(spark)  # nothing is left to delete
