@@ -229,25 +229,26 @@ def forest(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> list[int]:
 
 
 def near(words: int, limit: int, edges: bool) -> Callable:
-    """Of groups (gid, rows of id, n and `words` words) the edges (u, v) of a spanning forest of pairs at `limit` bits or fewer, or else the members (gid, id) that have such a partner.
+    """Of groups (gid, rows of id, `words` words and, for edges, n) the edges (u, v) of a spanning forest of pairs at `limit` bits or fewer, or else the members (gid, id) that have such a partner.
 
-    A pair is an edge only if it passes the test itself. Documents of under TINY shingles only pass if all their bits agree.
+    A pair is an edge only if it passes the test itself. Documents of under TINY shingles are linked only if all their bits agree.
     """
 
-    def cost_of(prints: np.ndarray, n: np.ndarray, x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+    def cost_of(prints: np.ndarray, n: np.ndarray | None, x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
         cost = apart(prints, x, y)
-        return np.where((cost > 0) & (np.maximum(n[x], n[y]) < TINY), words * 64 + 1, cost)
+        return cost if n is None else np.where((cost > 0) & (np.maximum(n[x], n[y]) < TINY), words * 64 + 1, cost)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             gids, groups = b.column(0).to_numpy(), b.column(1)
             rows = groups.flatten().flatten()
-            ids, n = rows[0].to_numpy(), rows[1].to_numpy()
-            prints = np.stack([rows[2 + i].to_numpy() for i in range(words)], axis=1).view(np.uint64)
+            ids = rows[0].to_numpy()
+            prints = np.stack([rows[1 + i].to_numpy() for i in range(words)], axis=1).view(np.uint64)
             members = np.diff(groups.offsets.to_numpy())
             of = np.repeat(np.arange(len(members)), members)
             order = np.lexsort((ids, of))  # the same links whatever the order of arrival
-            ids, n, prints = ids[order], n[order], prints[order]
+            n = rows[1 + words].to_numpy()[order] if edges else None
+            ids, prints = ids[order], prints[order]
             few = np.flatnonzero(members[of] <= PAIRS)
             us, vs = [few[:0]], [few[:0]]
             close: list[list[np.ndarray]] = [[few[:0]], [few[:0]], [few[:0]]]
@@ -270,7 +271,7 @@ def near(words: int, limit: int, edges: bool) -> Callable:
                     reached, waiting = [waiting[0]], waiting[1:]
                     while reached and len(waiting):
                         at = reached.pop()
-                        ok = cost_of(prints[:, :COMPARED], n, at, waiting) <= limit  # bits of a part are bits of the whole
+                        ok = cost_of(prints[:, :COMPARED], None, at, waiting) <= limit  # bits of a part are bits of the whole
                         if words > COMPARED:
                             left = np.flatnonzero(ok)
                             ok[left] = cost_of(prints, n, at, waiting[left]) <= limit
@@ -309,17 +310,17 @@ def similar(docs: DataFrame) -> DataFrame:
     high = lambda j: F.when(j % per == per - 1, F.shiftleft(word(F.floor(j / per) + 1), STEP)).otherwise(F.lit(0))  # noqa: E731  a band that two words share
     value = lambda j: low(j).bitwiseOR(high(j)).bitwiseAND(F.lit((1 << BAND) - 1))
     keys = F.transform(F.sequence(F.lit(0), F.lit(WIDE * per - 2)), lambda j: F.shiftleft(j.cast("bigint"), 32).bitwiseOR(value(j)))
-    banded = nodes.select("id", "n", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(COMPARED)), F.explode(keys).alias("key"))
+    banded = nodes.select("id", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(COMPARED)), F.explode(keys).alias("key"))
     sizes = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "similar-bands")
     kept = banded.join(sizes, "key")
-    row = lambda words: F.collect_list(F.struct("id", "n", *(F.col(f"w{i}") for i in range(words)))).alias("rows")
-    light = kept.where(F.col("size") <= CROWD).groupBy(F.xxhash64("key").alias("gid")).agg(row(COMPARED))
+    row = lambda words, *more: F.collect_list(F.struct("id", *(F.col(f"w{i}") for i in range(words)), *more)).alias("rows")
+    light = kept.where(F.col("size") <= CROWD).groupBy("key").agg(row(COMPARED)).select(F.xxhash64("key").alias("gid"), "rows")  # by the key that the join has dealt by
     slices = F.ceil(F.col("size") * 2 / CROWD).cast("int")
     heavy = kept.where(F.col("size") > CROWD).withColumns({"own": F.pmod(F.xxhash64("id"), slices).cast("int"), "other": F.explode(F.sequence(F.lit(0), slices - 1))})
     heavy = heavy.groupBy(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("gid")).agg(row(COMPARED))
     met = written(light.union(heavy).where(F.size("rows") > 1).mapInArrow(near(COMPARED, APART, False), "gid bigint, id bigint"), "similar-met")
     whole = nodes.select("id", "n", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(WIDE)))
-    groups = met.join(whole, "id").groupBy("gid").agg(row(WIDE))
+    groups = met.join(whole, "id").groupBy("gid").agg(row(WIDE, "n"))
     star = components(groups.mapInArrow(near(WIDE, FAR, True), "u bigint, v bigint"))
     member = star.select(F.col("u").alias("id"), F.col("v").alias("root")).union(star.select(F.col("v"), F.col("v")).distinct())
     roots = member.join(nodes.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("copies"))
