@@ -4,14 +4,15 @@ Each text is encoded by a byte-level vocabulary (A, over space + text) and by on
 (B, which puts a space in front). Byte offsets at which tokens of both end cut the tokens into
 groups; every A and B token of one group are linked. An id pair counts the documents that hold it linked.
 
-1. A task encodes documents and gathers them in parts of PART bytes of text. A pair is one packed int64, A's id in the
-   high half; np.unique over a part gives its keys and partial counts, and documents point into the part's keys.
+1. A task encodes documents and numbers them in parts of PART characters of text. A pair is one packed int64, A's id in the
+   high half; np.unique over a part gives its keys and partial counts, and documents point into the part's keys. A row is a
+   document; the first one of a part brings the part's keys.
 2. The parts' keys are sorted by one range-partitioned global sort; adjacent equal keys are summed.
-3. Each part gets its shard of the counts, sorted by key, finds its keys there by searchsorted,
-   and its documents sum them up.
+3. Each part meets its shard of the counts, finds its keys there by searchsorted, and its documents sum them up.
 
 Only keys and counts are shuffled twice, never texts. A key has at most one row a part, so no key is hot. The highest count
-of every A id is a table with a row an id of the vocabulary.
+of every A id is a table with a row an id of the vocabulary. No row is longer than what a document or a part's keys need,
+and what is taken at a time is one part, however many of them a task has.
 
 Encoding goes by chunks that repeat (see `chunks_of`): where no token of either vocabulary can go on, both end, so tokens and
 groups of a text are those of its chunks in a row, and a chunk once seen is looked up. Where A is not of the byte-level kind, a text is one chunk.
@@ -30,7 +31,7 @@ import re
 import string
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import batched, chain
+from itertools import batched, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from procera.llm.common import written
 #: Where executors find the vocabularies.
 FOLDER = "/opt/tokenizers"
 BYTES_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text whose documents share a table of keys.
-PART = 8 << 20
+#: Characters of text whose documents share a table of keys, and what a document counts for besides its text.
+PART, ROW = 8 << 20, 64
 #: Chunks taken at a time; chunks and characters of them that a worker remembers before it starts afresh.
 BLOCK = 1 << 16
 REMEMBERED, CHARACTERS = 250_000, 8 << 20
@@ -251,44 +252,47 @@ def pair(bytes_file: str, pieces_file: str) -> Pair:
 SIZES = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _lists(edges: np.ndarray, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
+def _lists(edges: np.ndarray, values: pa.Array, nulls: pa.Array | None = None) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values, mask=nulls)
 
 
 def _edges(lengths: Iterable[int]) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(np.fromiter(lengths, np.int64))))
 
 
-def _part(ids: list, found: list[Document], kind: pa.DataType) -> pa.RecordBatch:
+def _part(place: int, ids: list, found: list[Document], kind: pa.DataType) -> pa.RecordBatch:
+    """A row a document; the first one has the part's keys, and in how many of its documents each is."""
     keys, at, n = np.unique(np.concatenate([f.keys for f in found]), return_inverse=True, return_counts=True)
     edges = _edges(len(f.keys) for f in found)
-    docs = [
+    first, others = np.repeat([0, len(keys)], [1, len(ids)]), pa.array(np.arange(len(ids)) > 0)
+    row = [
+        pa.array(np.full(len(ids), place)),
         pa.array(ids, kind),
         *(pa.array([f.sizes[i] for f in found], pa.int64()) for i in range(4)),
         pa.array([f.groups for f in found]),
         _lists(edges, pa.array(at, pa.int32())),
         _lists(edges, pa.array(np.concatenate([f.times for f in found]), pa.int64())),
+        _lists(first, pa.array(keys), others),
+        _lists(first, pa.array(n, pa.int64()), others),
     ]
-    docs = pa.StructArray.from_arrays(docs, ["doc_id", *SIZES, "groups_sha256", "at", "times"])
-    row = [_lists([0, len(keys)], pa.array(keys)), _lists([0, len(keys)], pa.array(n, pa.int64())), _lists([0, len(ids)], docs)]
-    return pa.RecordBatch.from_arrays(row, ["keys", "n", "docs"])
+    return pa.RecordBatch.from_arrays(row, ["place", "doc_id", *SIZES, "groups_sha256", "at", "times", "keys", "n"])
 
 
 def _parts(files: tuple[str, str], part: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, none = pair(*files), Document()
-        ids, texts, size, kind = [], [], 0, None
+        ids, texts, size, kind, places = [], [], 0, None, count()
 
         def out() -> pa.RecordBatch:
             told = both.documents([t for t in texts if t])
-            return _part(ids, [next(told) if t else none for t in texts], kind)
+            return _part(next(places), ids, [next(told) if t else none for t in texts], kind)
 
         for b in batches:
             kind = b.schema.field(0).type
             for id_, text in zip(b.column(0), b.column(1), strict=True):
                 ids.append(id_.as_py())
                 texts.append(text.as_py())
-                size += len(texts[-1] or "")
+                size += ROW + len(texts[-1] or "")
                 if size >= part:
                     yield out()
                     ids, texts, size = [], [], 0
@@ -321,23 +325,20 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(np.concatenate(held))
 
 
-def _answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts with their shards to documents."""
-    for b in batches:
-        for i in range(b.num_rows):
-            keys = b.column(0).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
-            docs = b.column(1).slice(i, 1).flatten()
-            shard = b.column(2).slice(i, 1).flatten()
-            name, count, top = (shard.field(j).to_numpy(zero_copy_only=False) for j in range(3))
-            order = np.argsort(name)
-            place = order[np.searchsorted(name, keys, sorter=order)] if len(keys) else np.zeros(0, np.int64)
-            count, top = count[place], top[place].astype(np.int64)
-            at = docs.field("at")
-            edges = at.offsets.to_numpy() - at.offsets[0].as_py()
-            held, times = at.flatten().to_numpy(), docs.field("times").flatten().to_numpy()
-            upto = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[edges])  # noqa: E731, B023
-            columns = [docs.field(x) for x in ("doc_id", *SIZES)] + [pa.array(upto(times * top[held])), pa.array(upto(times * count[held])), docs.field("groups_sha256")]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *SIZES, "n_best", "count_sum", "groups_sha256"])
+def _answered(docs: pa.Table, shard: pa.Table) -> pa.Table:
+    """The documents of a part with its shard of the counts."""
+    docs = docs.combine_chunks()
+    one = lambda of, c: of.column(c).combine_chunks()
+    keys, at = one(docs, "keys").flatten().to_numpy(), one(docs, "at")
+    name, times, top = (one(shard, c).to_numpy(zero_copy_only=False) for c in ("key", "count", "top"))
+    order = np.argsort(name)
+    place = order[np.searchsorted(name, keys, sorter=order)] if len(keys) else np.zeros(0, np.int64)
+    times, top = times[place], top[place].astype(np.int64)
+    edges = at.offsets.to_numpy() - at.offsets[0].as_py()
+    held, often = at.flatten().to_numpy(), one(docs, "times").flatten().to_numpy()
+    upto = lambda x: pa.array(np.diff(np.concatenate(([0], np.cumsum(x)))[edges]), pa.int64())
+    columns = [*(docs.column(x) for x in ("doc_id", *SIZES)), upto(often * top[held]), upto(often * times[held]), docs.column("groups_sha256")]
+    return pa.Table.from_arrays(columns, ["doc_id", *SIZES, "n_best", "count_sum", "groups_sha256"])
 
 
 def files_in(folder: str) -> tuple[str, str]:
@@ -345,16 +346,16 @@ def files_in(folder: str) -> tuple[str, str]:
 
 
 def parts(docs: DataFrame, files: tuple[str, str], part: int = PART) -> DataFrame:
-    """Written parts: their keys, documents with each of them (n), and their documents."""
-    kind = dict(docs.dtypes)["doc_id"]
-    doc = f"struct<doc_id:{kind},{','.join(f'{x}:bigint' for x in SIZES)},groups_sha256:string,at:array<int>,times:array<bigint>>"
-    found = docs.select("doc_id", "text").mapInArrow(_parts(files, part), f"keys array<bigint>, n array<bigint>, docs array<{doc}>")
-    return written(found.select(F.monotonically_increasing_id().alias("part"), "*"), "alignment-parts")
+    """Written documents, numbered by part; the first of each also has the part's keys and the documents with each of them (n)."""
+    row = f"place bigint, doc_id {dict(docs.dtypes)['doc_id']}, {', '.join(f'{x} bigint' for x in SIZES)}, groups_sha256 string, at array<int>, times array<bigint>, keys array<bigint>, n array<bigint>"
+    found = docs.select("doc_id", "text").mapInArrow(_parts(files, part), row)
+    number = F.shiftleft(F.spark_partition_id().cast("bigint"), 33) + F.col("place")
+    return written(found.select(number.alias("part"), "*").drop("place"), "alignment-parts")
 
 
 def shards(of: DataFrame) -> DataFrame:
     """Written rows (key, part, count over all parts, first), sorted by key within ranges."""
-    rows = of.select("part", F.explode(F.arrays_zip("keys", "n")).alias("x")).select(F.col("x.keys").alias("key"), "part", F.col("x.n").alias("n"))
+    rows = of.where("keys IS NOT NULL").select("part", F.explode(F.arrays_zip("keys", "n")).alias("x")).select(F.col("x.keys").alias("key"), "part", F.col("x.n").alias("n"))
     dealt = rows.repartitionByRange("key").sortWithinPartitions("key", "part")
     return written(dealt.mapInArrow(_summed, "key bigint, part bigint, count bigint, first boolean"), "alignment-shards")
 
@@ -371,6 +372,6 @@ def report(docs: DataFrame, folder: str = FOLDER, part: int = PART) -> DataFrame
     held = parts(docs, files_in(folder), part)
     counted = shards(held).withColumn("a", F.shiftright("key", SHIFT))
     best = F.broadcast(counted.groupBy("a").agg(F.max("count").alias("best")))  # a row an id of A's vocabulary
-    shard = counted.join(best, "a").groupBy("part").agg(F.collect_list(F.struct("key", "count", (F.col("count") == F.col("best")).alias("top"))).alias("shard"))
-    joined = held.select("part", "keys", "docs").join(shard, "part", "left").select("keys", "docs", F.coalesce("shard", F.array().cast("array<struct<key:bigint,count:bigint,top:boolean>>")).alias("shard"))
-    return joined.mapInArrow(_answered, f"doc_id {kind}, {', '.join(f'{x} bigint' for x in (*SIZES, 'n_best', 'count_sum'))}, groups_sha256 string")
+    shard = counted.join(best, "a").select("part", "key", "count", (F.col("count") == F.col("best")).alias("top"))
+    met = held.drop("n").groupBy("part").cogroup(shard.groupBy("part"))
+    return met.applyInArrow(_answered, f"doc_id {kind}, {', '.join(f'{x} bigint' for x in (*SIZES, 'n_best', 'count_sum'))}, groups_sha256 string")

@@ -7,6 +7,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from procera.llm import alignment
@@ -117,5 +118,19 @@ def test_edges_and_counts(spark, part):
     assert alignment.report(df.limit(0)).isEmpty() and alignment.report(df.where("text IS NULL")).first().n_links == 0
 
 
+def test_rows_are_documents_and_parts_are_bounded(spark):
+    texts = ["the cat sat", "the dog", None, "the " * 300] * 50 + [None, ""] * 500
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    held = alignment.parts(df, files_in(FOLDER), 6400)
+    rows = held.select("part", "doc_id", "n_links", F.size("at").alias("n_at"), F.size("keys").alias("n_keys")).collect()
+    groups = [linked(whole(t)) for t in texts]
+    assert sorted((r.doc_id, r.n_links, r.n_at) for r in rows) == [(i, sum(g.values()), len(g)) for i, g in enumerate(groups)]
+    for name in {r.part for r in rows}:
+        mine = [r for r in rows if r.part == name]
+        assert sum(alignment.ROW + len(texts[r.doc_id] or "") for r in mine[:-1]) < 6400
+        assert [r.n_keys for r in mine if r.n_keys is not None] == [len(set().union(*(groups[r.doc_id] for r in mine)))]
+    assert "collect_list" not in alignment.report(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nothing_is_spelt_by_nothing():
     assert Document().sizes == (0, 0, 0, 0) and Document().groups == ""
